@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_rules
+from . import decontaminate, jaccard_join, line_rules, packing, quality_model, secret_scan
 
 QUERIES = {
     "op4_line_rules": line_rules.op4_line_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_quality_model": quality_model.op7_quality_model,
+    "op9_packing": packing.op9_packing,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES = {"op4_line_rules": line_rules.ORACLE_SQL}
