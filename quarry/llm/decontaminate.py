@@ -172,19 +172,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8,
     return out
 
 
+def _clean(ids: list[int], texts: list[str], n: int, least: float, radius: int):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items, cache = Items(ids, texts, n, radius), WordHashes()
+        for b in batches:
+            yield pd.Series([next(items.found(t, least, cache), None) is None for t in b], dtype=bool)
+
+    return clean
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 15, block_items: int = 4096) -> DataFrame:
     """The rows of docs that hold no item; columns stay."""
     blocks = max(1, math.ceil(benchmark.count() / block_items))
     for k in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").toPandas()
         ids, texts = own["item_id"].tolist(), own["text"].tolist()
-
-        def clean(batches: Iterator[pd.Series], ids=ids, texts=texts) -> Iterator[pd.Series]:
-            items, cache = Items(ids, texts, n, radius), WordHashes()
-            for b in batches:
-                yield pd.Series([next(items.found(t, least, cache), None) is None for t in b], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")("text"))
+        docs = docs.where(F.pandas_udf(_clean(ids, texts, n, least, radius), "boolean")("text"))
     return docs
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_rules, packing, quality_model, secret_scan
+from . import chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_rules, packing, quality_model, secret_scan, warc_bundles
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_line_rules": line_rules.op4_line_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_model": quality_model.op7_quality_model,
+    "op8_warc_bundles": warc_bundles.op8_warc_bundles,
     "op9_packing": packing.op9_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-ORACLES = {"op4_line_rules": line_rules.ORACLE_SQL}
+ORACLES = {"op4_line_rules": line_rules.ORACLE_SQL, "op8_warc_bundles": warc_bundles.ORACLE_SQL}
