@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 #: White-space-free chunks whose ids a worker keeps.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 #: Pieces of one (length, bucket) group, about.
 BUCKET = 20_000
 WORD_BPE = "word_bpe_49k.json"
