@@ -1,5 +1,7 @@
 """The registered queries and the SQL for the same rows."""
 
+from quarry.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "call_edges"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
