@@ -11,6 +11,7 @@ Null text: an empty document of the one id `end_id`.  Repeated rows and null doc
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 #: White-space-free chunks whose ids a worker keeps.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
 #: Pieces of one (length, bucket) group, about.
 BUCKET = 20_000
 WORD_BPE = "word_bpe_49k.json"
@@ -61,11 +62,17 @@ class Encoder:
                 yield b"".join(map(found.__getitem__, own))
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One for each worker, kept from task to task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for d, ids in zip(b["doc_id"], encoder.encode(b["text"].tolist()), strict=True):
