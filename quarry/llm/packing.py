@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .shared import stored, table
 
-#: White-space-free chunks whose ids a worker keeps.
-CACHE_CHUNKS = 400_000
+#: Words whose ids a worker keeps; beyond that it starts anew.
+CACHE_WORDS = 600_000
+#: Words that the tokenizer gets in one string.
+AT_ONCE = 500
 #: Pieces of one (length, bucket) group, about.
 BUCKET = 20_000
 WORD_BPE = "word_bpe_49k.json"
@@ -38,28 +41,69 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+#: The tokenizer's words in lower-case Latin-1 (letters, single digits and number signs, runs of anything else).
+LETTERS = rb"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+NUMBERS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[^\t-\r \x85\xa0%s%s]+" % (LETTERS, NUMBERS, LETTERS, NUMBERS))
+LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+
+
 class Encoder:
-    """Ids as bytes.  The tokenizer's pre-tokens never span white space, so chunks between ASCII white space encode alone and are kept."""
+    """Ids as bytes.  Words never span white space, so each is encoded once and kept.
+
+    In Latin-1, composition changes nothing and words are found by WORD.  Chunks with other letters or with the marks of a
+    special token go to the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = [k for t, k in self.words.get_vocab(False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.words.get_vocab_size(), bool)
+        self.ends[ends] = True
+        self.kept: dict[bytes | str, bytes] = {}
+
+    def split(self, text: str) -> list[bytes | str]:
+        """Words in lower-case Latin-1, and other chunks as they are."""
+        if "<|" not in text:
+            try:
+                return WORD.findall(text.encode("latin-1").translate(LOWER))
+            except UnicodeEncodeError:
+                pass
+        out: list[bytes | str] = []
+        for c in text.encode("utf-8", "replace").split():
+            c = c.decode()
+            if c.isascii() and "<|" not in c:
+                out += WORD.findall(c.encode().lower())
+            else:
+                out.append(c)
+        return out
+
+    def learn(self, new: list[bytes | str]) -> None:
+        words, chunks = [w for w in new if isinstance(w, bytes)], [c for c in new if isinstance(c, str)]
+        groups = [words[k : k + AT_ONCE] for k in range(0, len(words), AT_ONCE)]
+        for own, e in zip(groups, self.words.encode_batch_fast([b" ".join(g).decode("latin-1") for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            ids = ids.tobytes()
+            self.kept.update(zip(own, map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self.kept[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for k in range(0, len(texts), 64):
-            chunks = [(t or "").encode("utf-8", "replace").split() for t in texts[k : k + 64]]
-            new = list({c for own in chunks for c in own if c not in self.kept})
-            found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True)}
-            if len(self.kept) + len(found) <= CACHE_CHUNKS:
-                self.kept |= found
-                found = self.kept
-            else:
-                found = {c: self.kept.get(c) or found.get(c) or b"" for own in chunks for c in own}
-            for own in chunks:
-                yield b"".join(map(found.__getitem__, own))
+            split = [self.split(t or "") for t in texts[k : k + 64]]
+            words = set().union(*split)
+            if len(self.kept) > CACHE_WORDS:
+                self.kept.clear()
+            self.learn(list(words.difference(self.kept)))
+            for own in split:
+                yield b"".join(map(self.kept.__getitem__, own))
 
 
 @functools.cache

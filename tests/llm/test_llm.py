@@ -264,3 +264,14 @@ def test_chat_format(spark, monkeypatch, chunk):
         roles = [p.split("|>")[0] for p in text.split("<|") if not p.startswith("end") and p]
         assert all(a != b for a, b in zip(roles, roles[1:], strict=False)) and (not roles or roles[-1] == "assistant" and text.endswith("<|end|>\n"))
     assert chat_format.format_chats(df.where("false")).count() == 0
+
+
+def test_encoder_matches_the_tokenizer(monkeypatch):
+    """Random strings of Latin-1, other scripts, composed letters, contractions and special tokens, with a cache that overflows."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    encoder, r = packing.Encoder(packing.tokenizer_path()), random.Random(7)
+    latin = [chr(c) for c in range(256)]
+    mixed = latin + [*"’“—İΣσςſKé́ñ中文😀"] + ["<|endoftext|>", "<|startoftext|>", "'s", "'RE", " ", " "]
+    texts = ["", None, " \n"] + ["".join(r.choice(a) for _ in range(r.randrange(60))) for a in (latin, mixed) for _ in range(1500)]
+    right = encoder.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert list(encoder.encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in right]
