@@ -2,8 +2,8 @@
 
 Base spans come from three patterns on the text itself.  The worklist then unwraps layers: per cent escapes, backslash escapes
 (\\uXXXX, \\xXX), base64 runs and, inside those, compressed data (gzip, zlib, bzip2, xz, zstd).  Every layer is scanned with the
-same patterns and put on the list again, until nothing new comes out; a layer already seen is not taken twice, which ends
-cycles.  A span of a layer is mapped back through all layers to code points of the text: escapes map character
+same patterns and put on the list again, until nothing new comes out.  A layer text is unwrapped once, which ends cycles; its
+finds are mapped back to every place that it was decoded from, down to code points of the text: escapes map character
 by character, a base64 run maps as a whole.  Decompressed data over `largest` characters (64 M) is not unwrapped further.
 
 Spans are (start, kind, end), end exclusive, sorted by start, then kind as listed, then end.  Null and empty texts have none.
@@ -53,29 +53,27 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text.  Its pieces (own start, source start, source end, step) lead back to the layer that it came from;
+    """A decoded text.  Its pieces (own start, source start, source end, step) lead back to the text that it came from;
     with step 1 the piece maps character by character, with step 0 as a whole."""
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, int]], below: Layer | None):
-        self.text, self.pieces, self.below = text, pieces, below
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, int]]):
+        self.text, self.pieces = text, pieces
         self.starts = [p[0] for p in pieces]
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        if self.below is None:
-            return start, end
         own, s, _, step = self.pieces[bisect_right(self.starts, start) - 1]
         first = s + (start - own) * step
         own, s, e, step = self.pieces[bisect_right(self.starts, end - 1) - 1]
-        return self.below.source(first, s + end - own if step else e)
+        return first, s + end - own if step else e
 
 
-def _escaped(layer: Layer, groups: re.Pattern, read) -> Layer | None:
-    """The layer with its escapes decoded; read(group) yields (characters, length of their escape)."""
+def _escaped(text: str, groups: re.Pattern, read) -> Layer | None:
+    """The text with its escapes decoded; read(group) yields (characters, length of their escape)."""
     out, pieces, at, done = [], [], 0, 0
-    for m in groups.finditer(layer.text):
+    for m in groups.finditer(text):
         if m.start() > done:
             pieces.append((at, done, m.start(), 1))
-            out.append(layer.text[done : m.start()])
+            out.append(text[done : m.start()])
             at += m.start() - done
         s = m.start()
         for chars, n in read(m[0]):
@@ -86,9 +84,9 @@ def _escaped(layer: Layer, groups: re.Pattern, read) -> Layer | None:
         done = m.end()
     if not done:
         return None
-    pieces.append((at, done, len(layer.text), 1))
-    out.append(layer.text[done:])
-    return Layer("".join(out), pieces, layer)
+    pieces.append((at, done, len(text), 1))
+    out.append(text[done:])
+    return Layer("".join(out), pieces)
 
 
 def _percent(group: str) -> Iterator[tuple[str, int]]:
@@ -133,47 +131,67 @@ def _unpacked(data: bytes) -> bytes | None:
         return None
 
 
-def _runs(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-            for _ in range(32):  # compressed data may be compressed again
-                inner = _unpacked(data)
-                if inner is None or inner == data:
-                    break
-                data = inner
-            text = None if inner is None else data.decode()
-        except (binascii.Error, UnicodeDecodeError):
-            continue
-        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text):
-            yield Layer(text, [(0, m.start(), m.end(), 0)], layer)
+def _decoded(run: str) -> str | None:
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) % 4 == 1:
+        return None
+    try:
+        data = base64.b64decode(run + "=" * (-len(run) % 4))
+        for _ in range(32):  # compressed data may be compressed again
+            inner = _unpacked(data)
+            if inner is None or inner == data:
+                break
+            data = inner
+        text = None if inner is None else data.decode()
+    except (binascii.Error, UnicodeDecodeError):
+        return None
+    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
+
+
+def _layers(text: str) -> Iterator[tuple[str, list[Layer]]]:
+    """(decoded text, its places in text); a run that stands several times is decoded once."""
+    runs: dict[str, list[tuple[int, int]]] = {}
+    for m in BASE64.finditer(text):
+        runs.setdefault(m[0], []).append(m.span())
+    for run, places in runs.items():
+        if (inner := _decoded(run)) is not None:
+            yield inner, [Layer("", [(0, s, e, 0)]) for s, e in places]
+    for mark, groups, read in (("%", PERCENT, _percent), ("\\", BACKSLASH, _backslash)):
+        if mark in text and (layer := _escaped(text, groups, read)):
+            inner, layer.text = layer.text, ""
+            yield inner, [layer]
+
+
+def _key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text."""
     text = text or ""
     base = scan(text)
-    found, seen, work = set(base), {hash(text)}, [Layer(text, [], None)]
+    top = _key(text)
+    found, work = {top: set(base)}, [(top, text)]
+    above: dict[bytes, list[tuple[bytes, Layer]]] = {}
     while work:
-        layer = work.pop()
-        new = list(_runs(layer))
-        if "%" in layer.text:
-            new.append(_escaped(layer, PERCENT, _percent))
-        if "\\" in layer.text:
-            new.append(_escaped(layer, BACKSLASH, _backslash))
-        for x in new:
-            if x is None:
-                continue
-            for start, kind, end in scan(x.text):
-                s, e = x.source(start, end)
-                found.add((s, kind, e))
-            if (key := hash(x.text)) not in seen:
-                seen.add(key)
-                work.append(x)
-    return base, sorted(found)
+        outer, text = work.pop()
+        for inner, places in _layers(text):
+            key = _key(inner)
+            if key not in found:
+                found[key] = set(scan(inner))
+                work.append((key, inner))
+            above.setdefault(key, []).extend((outer, x) for x in places)
+    # Finds go up to every place of their text, until no place gets a new one.
+    fresh = {key: set(x) for key, x in found.items() if x and key in above}
+    while fresh:
+        key, new = fresh.popitem()
+        for outer, layer in above[key]:
+            got = {(s, kind, e) for start, kind, end in new for s, e in (layer.source(start, end),)} - found[outer]
+            if got:
+                found[outer] |= got
+                if outer in above:
+                    fresh.setdefault(outer, set()).update(got)
+    return base, sorted(found[top])
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:

@@ -216,6 +216,18 @@ def test_secrets(spark):
     assert secret_scan.without_secrets(documents(spark, [(1, text, "s")])).first()["text"].startswith("é [assign]")
 
 
+def test_secrets_in_every_copy():
+    plain = "password=hunter2222"
+    run = base64.b64encode(base64.b64encode(plain.encode())).decode()
+    deep = base64.b64encode(f"{run} and {run}".encode()).decode()
+    packed = base64.b64encode(gzip.compress(run.encode(), mtime=0)).decode()
+    for x in (run, deep, packed):
+        text = f"é {x} then {x}\n%C3%A9 {x}"
+        at = [k for k in range(len(text)) if text.startswith(x, k)]
+        assert len(at) == 3 and {(k, 0, k + len(x)) for k in at} <= set(secret_scan.spans(text)[1])
+        assert secret_scan.redacted(text) == "é [assign] then [assign]\n%C3%A9 [assign]"
+
+
 def test_licenses(spark):
     text = "é before. " + license_scan.TEMPLATES["mit"].upper() + " After."
     edited = license_scan.TEMPLATES["isc"].replace("purpose", "good purpose").replace("fee", "charge")
