@@ -9,6 +9,9 @@ when what remains has fewer than `min_words` words or less than `min_left` of it
 Base rules per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; base_failed when
 n_words < 10 or 100 * n_repeat_words > 20 * n_words.  kept is false for base_failed or depleted documents.
 
+cleaned(), the pipeline's stage, goes further: near copies count once, too (`_gone_beside_copies`).  line_rules() counts distinct
+texts, as the SQL of its query does.
+
 Null and empty texts: all counts 0, base_failed.  Repeated rows and a null doc_id: each row gets its own result.
 Windows and lines are compared by 64-bit hashes within one text or one host; a text is known by two 64-bit hashes.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, stored, table
 
 WS = r"[ \\t-\\r]"
 TRIM = r"' \t\n\x0B\f\r'"
@@ -99,6 +102,46 @@ def _judged(docs: DataFrame, max_docs: int, max_share: float, min_words: int, mi
     return gone.join(copies, ["host", "k1", "k2"]).selectExpr("host as g_host", "k1 as g1", "k2 as g2", "gone", "gone_words div rows as gone_words")
 
 
+def _gone_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> DataFrame:
+    """host, k1, k2, gone and gone_words like _judged, where texts that share most of their lines count as one.
+
+    A text whose words stand mostly in lines above the limits is either one of a group of near copies, whose lines stand mostly
+    in such texts, or made of lines that other texts hold beside their own.  Only the former are grouped, by the one of their
+    shared lines that most of such texts hold, so a group with lines edited here and there falls into a few parts, however
+    many texts it has.  Lines and texts of the host are then counted anew, each part as one text.
+    """
+    each = docs.select(F.coalesce("source", F.lit("")).alias("host"), *_keys(text), F.explode(F.expr(f"filter({_normal(text)}, l -> l != '')")).alias("l"))
+    each = each.select("host", "k1", "k2", F.xxhash64("l").alias("h"), F.size(F.split("l", " ")).alias("w"))
+    lines = each.groupBy("host", "h", "k1", "k2").agg(F.sum("w").alias("w"))
+    trimmed = f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM coalesce(`{text}`, ''))"
+    copies = docs.select(F.coalesce("source", F.lit("")).alias("host"), *_keys(text), F.expr(f"if({trimmed} = '', 0, size(split({trimmed}, '{WS}+')))").alias("words"))
+    copies = stored(copies.groupBy("host", "k1", "k2").agg(F.count("*").alias("rows"), F.first("words").alias("words")), "copies")
+    of_host = copies.groupBy("host").agg(F.count("*").alias("n_docs"))
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("c")).where(F.col("c") > max_docs)
+    often = often.join(of_host, "host").selectExpr("xxhash64(host, h) as line", "host as of", "h as same", "c", f"c > {max_share} * n_docs as above")
+    # As in removed_lines(), a very common line can be split.
+    held = lines.withColumn("line", F.xxhash64("host", "h")).join(often, "line").where("host = of and h = same").drop("of", "same")
+    held = stored(held.select("host", "k1", "k2", "h", "line", "w", "c", "above"), "held-lines")
+
+    texts = ["host", "k1", "k2"]
+    mostly = held.where("above").groupBy(*texts).agg(F.sum("w").alias("gone_words")).join(copies, texts).where("2 * gone_words > rows * words").select(*texts)
+    near = stored(held.join(mostly, texts), "near-copies")
+    shared = near.where("above").groupBy("line", "c").agg(F.count("*").alias("a")).where("2 * a > c").selectExpr("line as of", "a")
+    part = near.where("above").join(shared, F.col("line") == F.col("of")).groupBy(*texts).agg(F.max(F.struct("a", "line")).alias("m")).selectExpr(*texts, "m.line as part")
+    part = stored(part, "parts")
+    # Of n texts in parts, all but one a part are taken off the counts.
+    fewer = near.join(part, texts).groupBy("host", "h", "part").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.sum(F.expr("n - 1")).alias("less"))
+    parts = part.groupBy("host", "part").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum(F.expr("n - 1")).alias("less_docs"))
+    counted = held.select("host", "h", "c").distinct().join(fewer, ["host", "h"], "left").join(of_host.join(parts, "host", "left"), "host")
+    common = counted.selectExpr("host", "h", "c - coalesce(less, 0) as c", "n_docs - coalesce(less_docs, 0) as n").where(f"c > {max_docs} and c > {max_share} * n")
+    common = common.selectExpr("xxhash64(host, h) as line", "host as of", "h as same")
+    hit = held.join(common, "line").where("host = of and h = same").groupBy(*texts).agg(F.collect_set("h").alias("gone"), F.sum("w").alias("gone_words"))
+    out = stored(hit.join(copies, texts).selectExpr("host as g_host", "k1 as g1", "k2 as g2", "gone", "gone_words div rows as gone_words"), "gone")
+    for x in (copies, held, near, part):
+        discard(x)
+    return out
+
+
 def line_rules(docs: DataFrame, max_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
     """Per row of docs (doc_id, text, source): the base counts, base_failed, n_removed_words, depleted and kept."""
     gone = _judged(docs, max_docs, max_share, min_words, min_left).select(F.xxhash64("g_host", "g1", "g2").alias("t"), "g_host", "g1", "g2", "gone_words")
@@ -110,8 +153,8 @@ def line_rules(docs: DataFrame, max_docs: int = 20, max_share: float = 0.05, min
 
 
 def cleaned(docs: DataFrame, max_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
-    """The kept rows with docs' own columns, without the removed lines; n_chars follows the text where there is such a column."""
-    gone = _judged(docs, max_docs, max_share, min_words, min_left).select(F.xxhash64("g_host", "g1", "g2").alias("g_t"), "g_host", "g1", "g2", "gone", "gone_words")
+    """The kept rows with docs' own columns, without the removed lines, near copies counted once; n_chars follows the text where there is such a column."""
+    gone = _gone_beside_copies(docs, max_docs, max_share).select(F.xxhash64("g_host", "g1", "g2").alias("g_t"), "g_host", "g1", "g2", "gone", "gone_words")
     base = F.expr(_base_sql().replace("{text}", "`text`"))
     k1, k2 = _keys("text")
     held = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce("source", F.lit("")).alias("g_h"), k1.alias("g_k1"), k2.alias("g_k2"), base.alias("b"))

@@ -89,6 +89,15 @@ def test_line_rules(spark):
     assert line_rules.line_rules(documents(spark, rows).where("false")).count() == 0
 
 
+def test_near_copies_do_not_deplete_each_other(spark):
+    common, page = "this line stands on every page of the host", [words(k, 12) for k in range(8)]
+    near = [(500 + k, "\n".join([*page[: k % 8], f"own{k} {page[k % 8]}", *page[k % 8 + 1 :], common]), "h") for k in range(300)]
+    rows = [(k, f"{words(1000 + k, 30)}\n{common}", "h") for k in range(40)] + [(100, common * 2 + f"\n{common}\n{common}", "h")] + near
+    clean = {r["doc_id"]: r["text"] for r in line_rules.cleaned(documents(spark, rows)).collect()}
+    assert all(clean[d] == t.removesuffix("\n" + common) for d, t, _ in near)
+    assert all(common not in clean[k] for k in range(40)) and len(clean[0].split()) == 30
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(3)
     items = [(k, words(1000 + k, r.choice([3, 14, 40]))) for k in range(12)] + [(50, None), (51, "")]
