@@ -15,6 +15,8 @@ triangle inequality says which documents a region must hold and which of them mu
    directly, within windows of size, of place, of distance to the last pivot and of a sketch that bounds the difference from
    below, and between different parts only.
 5. Links are closed to components by alternating large and small stars.
+6. Steps 3 and 4 leave out pairs of one part, so links are counted afterwards: the classes of a component are dealt to blocks,
+   and each pair of blocks is counted in one task as a product of incidence matrices.  A pair is never a row.
 
 Null or empty texts have an empty set: n_shingles 0, linked with nothing, component_id = their own doc_id.  Repeated rows
 are documents of one class.  A null doc_id never becomes a component_id while the group has another one.
@@ -37,6 +39,8 @@ from .shared import WordHashes, discard, ngram_hashes, sample_rows, stored, tabl
 
 #: Pivots tried in a region before what is left is compared within its windows.
 ROUNDS = 3
+#: Classes in a block, about, where the links of a component are counted; columns of an incidence matrix at a time.
+BLOCK, COLUMNS = 256, 8192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -127,18 +131,66 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sample: int = 4096) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links and component_id.
+def link_counts(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sid, linked): the rows of all other classes that a class links with.  members: sid, root, rows and nb, the blocks of its component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+
+        def matrix(ids: list[np.ndarray], start: int) -> np.ndarray:
+            out = np.zeros((len(ids), COLUMNS), np.float32)
+            for k, x in enumerate(ids):
+                a, b = np.searchsorted(x, (start, start + COLUMNS))
+                out[k, x[a:b] - start] = 1
+            return out
+
+        def counted(key: tuple, held: list[tuple]) -> pd.DataFrame:
+            sids, weights = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
+            sets = [np.unique(ngram_hashes(word_array(words_of(x[3]), cache), n)) for x in held]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            cells = np.unique(np.concatenate(sets))
+            ids = [np.searchsorted(cells, x) for x in sets]
+            one = key[1] == key[2]
+            cut = len(held) if one else sum(x[0] == key[1] for x in held)  # sorted: the lower block first
+            rest = 0 if one else cut
+            both = np.zeros((cut, len(held) - rest), np.int64)
+            for start in range(0, len(cells), COLUMNS):
+                a = matrix(ids[:cut], start)
+                both += (a @ (a if one else matrix(ids[cut:], start)).T).astype(np.int64)
+            link = 100 * both >= percent * (sizes[:cut, None] + sizes[None, rest:] - both)
+            if one:
+                np.fill_diagonal(link, False)
+                return pd.DataFrame({"sid": sids, "linked": link @ weights})
+            return pd.DataFrame({"sid": sids, "linked": np.concatenate((link @ weights[cut:], weights[:cut] @ link))})
+
+        last, held = None, []
+        for b in batches:
+            for root, lo, hi, *row in b[["root", "lo", "hi", "b", "sid", "rows", "text"]].itertuples(index=False, name=None):
+                if (root, lo, hi) != last:
+                    if held:
+                        yield counted(last, held)
+                    last, held = (root, lo, hi), []
+                held.append(row)
+        if held:
+            yield counted(last, held)
+
+    own = members.join(texts, "sid").withColumn("b", F.expr("pmod(xxhash64(sid), nb)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = own.selectExpr("root", "least(b, j) as lo", "greatest(b, j) as hi", "b", "sid", "rows", "text").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "b")
+    return dealt.mapInPandas(run, "sid long, linked long").groupBy("sid").agg(F.sum("linked").alias("linked"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sample: int = 4096, count_links: bool = True) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links (with count_links) and component_id.
 
     Two documents link when 100 * |x & y| >= percent * |x | y| over their distinct n-word shingles (fewer words: the whole
-    sequence).  class_id numbers the distinct sets; n_links counts the links found for the class; component_id is the
-    smallest doc_id reachable by links.
+    sequence).  class_id is the set's hash (null without words), the same however rows are dealt; n_links counts the
+    other rows that the row links with, those with an equal set among them; component_id is the smallest doc_id reachable by links.
     """
     docs = docs.select("doc_id", "text")
     whole = stored(shingled(docs, n, percent, word_order(docs, order_sample)), "shingled")
     rows = stored(whole.drop("head", "sketch"), "rows")
-    classes = whole.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "head", "sketch")).alias("c"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("sid"), "cid", "c.doc_id", "c.n", "c.head", "c.sketch"), "classes")
+    classes = whole.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "head", "sketch")).alias("c"), F.count("*").alias("rows"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("sid"), "cid", "rows", "c.doc_id", "c.n", "c.head", "c.sketch"), "classes")
     discard(whole)
 
     posts = classes.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "cell"))
@@ -206,12 +258,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
         on += f" and {100 + percent} * ({bits}) <= {100 - percent} * (a.n + b.n)"
         learn(a.join(b, F.expr(on)).selectExpr("a.sid as p", "b.sid as x").distinct())
 
-    counts = links.selectExpr("explode(array(p, x)) as sid").groupBy("sid").agg(F.count("*").alias("n_links"))
-    nodes = classes.select("sid", "cid").join(roots, classes.sid == roots.node, "left").join(counts, "sid", "left").selectExpr("cid as of", "sid as class_id", "coalesce(root, sid) as root", "coalesce(n_links, 0) as n_links")
-    labelled = stored(rows.select("doc_id", "n_shingles", "cid").join(nodes, F.col("cid") == F.col("of"), "left").drop("of", "cid"), "labelled")
+    nodes = classes.select("sid", "cid", "rows").join(roots, classes.sid == roots.node, "left").drop("node")
+    if count_links:
+        nodes = stored(nodes, "nodes")
+        size = nodes.where("root is not null").groupBy("root").agg(F.count("*").alias("m"), F.sum("rows").alias("whole")).selectExpr("root as of", "m", "whole")
+        # Two classes that are a component are linked.
+        members = stored(nodes.join(size, F.col("root") == F.col("of")).selectExpr("sid as member", "root", "rows", "m", "whole", f"(m + {BLOCK - 1}) div {BLOCK} as nb"), "members")
+        many = members.where("m > 2").selectExpr("member as sid", "root", "rows", "nb")
+        counts = link_counts(many, _texts(docs, many.selectExpr("sid as p", "sid as x"), heads, n, repeated), n, percent)
+        counts = counts.unionByName(members.where("m = 2").selectExpr("member as sid", "whole - rows as linked"))
+        nodes = nodes.join(counts, "sid", "left")
+    kept = ["n_links"] if count_links else []
+    n_links = ["coalesce(linked, 0) + rows - 1 as n_links"] if count_links else []
+    nodes = nodes.selectExpr("cid as of", "coalesce(root, sid) as root", *n_links)
+    labelled = rows.select("doc_id", "n_shingles", "cid").join(nodes, F.col("cid") == F.col("of"), "left").drop("of")
+    labelled = stored(labelled.withColumn("class_id", F.lower(F.hex("cid"))).drop("cid"), "labelled")
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component")).selectExpr("root as of", "component")
     out = labelled.join(least, F.col("root") == F.col("of"), "left")
-    return out.selectExpr("doc_id", "n_shingles", "class_id", "n_links", "if(root is null, doc_id, component) as component_id")
+    return out.selectExpr("doc_id", "n_shingles", "class_id", *[f"coalesce({x}, 0) as {x}" for x in kept], "if(root is null, doc_id, component) as component_id")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +283,7 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     null or repeated, the first row.  Rows without words all stay."""
     unique = not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").take(1)
     keyed = docs.withColumn("row_key", F.col("doc_id")) if unique else stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), n, percent)
+    found = jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), n, percent, count_links=False)
     keep = found.where("component_id = doc_id").select(F.col("doc_id").alias("row_key"))
     return keyed.join(keep, "row_key", "left_semi").select(*docs.columns)
 
@@ -251,4 +315,4 @@ def _texts(docs: DataFrame, pairs: DataFrame, heads: DataFrame, n: int, repeated
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Four-word shingles at 85 of 100, over all documents."""
-    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")

@@ -66,6 +66,26 @@ def test_jaccard_against_brute_force(spark):
     assert {x["doc_id"] for x in kept.collect()} == {d for d, c in want.items() if d == c} and "row_key" in kept.columns
 
 
+def test_links_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    r, rows = random.Random(2), []
+    for g, copies in enumerate((1, 2, 3, 30, 9)):
+        base = words(g, 60).split()
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2])):
+                own[r.randrange(len(own))] = f"e{r.randrange(99)}"
+            rows.append((len(rows), " ".join(own), "s"))
+    rows += [(len(rows), None, "s"), (len(rows) + 1, "two words", "s")]
+    sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if (w := jaccard_join.words_of(t)) else set() for _, t, _ in rows]
+    links = {d: sum(d != e and bool(a) and 100 * len(a & b) >= 85 * len(a | b) for e, b in enumerate(sets)) for d, a in enumerate(sets)}
+    got = [jaccard_join.jaccard_components(documents(spark, rows).repartition(k), 4, 85).collect() for k in (1, 5)]
+    for found in got:
+        assert {x["doc_id"]: x["n_links"] for x in found} == links and max(links.values()) > 8
+        assert all((x["class_id"] == y["class_id"]) == (sets[x["doc_id"]] == sets[y["doc_id"]]) for x in found for y in found)
+    assert len({frozenset((x["doc_id"], x["class_id"]) for x in found) for found in got}) == 1
+
+
 def test_jaccard_edges(spark):
     got = jaccard_join.jaccard_components(documents(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and sum(x["n_shingles"] == 0 for x in got) == 3
