@@ -65,12 +65,12 @@ def find_tests(symbols: DataFrame, files: DataFrame, name: str, limit: int = 20)
 def test_coverage(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """All (symbol name, test) pairs in which the test's body holds the name.
 
-    A name of identifier characters can only stand inside an identifier token.  So the bodies' distinct tokens are matched with the
+    A name of the lexer's name characters (letters and digits of any script, _ and $) can only stand inside a token of them.  So the bodies' distinct tokens are matched with the
     distinct names once: every substring of a token that is as long as some name is looked up by equality, which needs neither a
     theta join nor all pairs; then the tokens lead back to the tests.
     """
     tests = tests_of(symbols, files)
-    tokens = tests.select("project", "path", F.col("name").alias("test"), "start_line", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))).alias("token"))
+    tokens = tests.select("project", "path", F.col("name").alias("test"), "start_line", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0)))).alias("token"))
     names = symbols.select("name").distinct()
     lengths = F.broadcast(names.groupBy(F.length("name").alias("n")).agg(F.count("*").alias("c")).select("n"))  # as many rows as names have lengths
     parts = tokens.select("token").distinct().join(lengths, F.expr("length(token) >= n"))

@@ -114,6 +114,13 @@ def test_coverage_equals_naive(spark):
     assert {r["name"] for r in graph.untested_symbols(s, f).collect()} == {"lost"}
 
 
+def test_coverage_of_names_in_other_scripts(spark):
+    f = files(spark, [("test_a.py", "def test_a():\n    naïve_größe(1)\n"), ("lib.py", "def naïve_größe(x):\n    pass\n\ndef größe(x):\n    pass\n\ndef größer(x):\n    pass\n")])
+    s = symbols.extract_symbols(f)
+    assert ("test_a", "naïve_größe") in {(r["test"], r["name"]) for r in graph.test_coverage(s, f).collect()}
+    assert {r["name"] for r in graph.untested_symbols(s, f).collect()} <= {"größe", "größer"}
+
+
 def test_trace_ends_cycles(spark):
     pairs = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c")], "caller string, callee string")
     assert {(r["symbol"], r["depth"]) for r in graph.trace_callers(pairs, "a").collect()} == {("b", 1), ("c", 2)}
