@@ -266,6 +266,17 @@ def test_licenses(spark):
     assert 0.9 < got[(2, "isc")]["coverage"] < 1 and (3, "cc-by-nc-4.0-notice") in got and not any(d == 4 for d, _ in got)
 
 
+def test_whole_licenses():
+    own = license_scan.Templates(license_scan.TEMPLATES)
+    bsd3 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + license_scan.BSD_DISCLAIMER
+    mit = license_scan.TEMPLATES["mit"]
+    terms = mit[: mit.index(" THE SOFTWARE IS PROVIDED")]
+    cc = [license_scan.TEMPLATES[x] for x in ("cc-by-4.0-notice", "cc-by-sa-4.0-notice")]
+    for text, want in ((mit, "mit"), (terms, "mit-terms"), (bsd3, "bsd-3-clause"), (license_scan.BSD + license_scan.BSD_DISCLAIMER, "bsd-2-clause"), (cc[0], "cc-by-4.0-notice"), (cc[1], "cc-by-sa-4.0-notice")):
+        found = own.found(f"Before. {text} After.", 0.8, license_scan.WordHashes())
+        assert [x[0] for x in found] == [want] and found[0][4] >= len("Before. ") + len(text.rstrip(".")) - 1
+
+
 def brute_cost(roles):
     """Least cost by exhaustive search over states."""
     best = {chat_format.NONE: 0.0}
