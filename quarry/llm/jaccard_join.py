@@ -1,21 +1,23 @@
 """N-gram Jaccard join: a metric-space join over sets of word shingles, exact, returned as connected components.
 
-d(x, y) = 1 - |x & y| / |x | y| is a metric.  Documents meet in regions, each region has a pivot document, and the
-triangle inequality says which documents a region must hold and which of them must still be compared:
+d(x, y) = 1 - |x & y| / |x | y| is a metric; two documents link when it is at most r.
 
 1. Documents with equal sets (distance 0) form one class; only classes go on.
 2. First split.  Document pivots alone cannot split sparse sets: almost every distance is 1, so every document would lie
    in every window.  The first pivots are therefore single shingles.  d(x, {s}) is below 1 exactly for the shingles of x,
    and a set within r of x lacks at most (1 - t)|x| of x's shingles, so a document needs copies only in the regions of
-   its first (1 - t)|x| + 1 shingles, in an order that all documents share (rarest words first).
-3. In each region the smallest class is the pivot.  Its distance to every class of the region is computed once for all
-   regions that share the pivot.  Links are closed to parts; a region with one part is settled, whatever its size, so a
-   group of n copies costs n comparisons.
-4. Else the region is joined again with a pivot of another part, chosen by a hash of region and part.  What is left after that is compared
-   directly, within windows of size, of place, of distance to the last pivot and of a sketch that bounds the difference from
-   below, and between different parts only.
+   its first (1 - t)|x| + 1 shingles, in an order that all documents share: what many documents hold comes last.
+3. A region of more than `LEAF` classes draws document pivots.  A class goes to the Voronoi region of its nearest pivot when that is
+   within 2r; by the triangle inequality all its links lie within 3r of that pivot, so boundary classes are copied to each pivot
+   that they are within 3r of.  What is beyond 2r of all pivots can link only among itself and forms the region that is left, which is
+   split again with eight times as many pivots until few classes are left for the pivots drawn.  A pivot has met its
+   whole region and is settled.
+4. Links are closed to parts; a region with one part is settled, whatever its size, so a group of n copies costs about n comparisons.
+   In the Voronoi regions of document pivots, what is outside the largest part is compared with all, in blocks (`between_parts`).
+   In other regions pairs of different parts are compared within windows of size, of place and of a sketch that bounds the
+   difference from below.
 5. Links are closed to components by alternating large and small stars.
-6. Steps 3 and 4 leave out pairs of one part, so links are counted afterwards: the classes of a component are dealt to blocks,
+6. The steps before leave out pairs of one part, so links are counted afterwards: the classes of a component are dealt to blocks,
    and each pair of blocks is counted in one task as a product of incidence matrices.  A pair is never a row.
 
 Null or empty texts have an empty set: n_shingles 0, linked with nothing, component_id = their own doc_id.  Repeated rows
@@ -27,6 +29,7 @@ changes the cost only, never the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,8 +40,12 @@ from pyspark.sql import functions as F
 from .components import connected
 from .shared import WordHashes, discard, ngram_hashes, sample_rows, stored, table, word_array
 
-#: Pivots tried in a region before what is left is compared within its windows.
-ROUNDS = 3
+#: Classes that a region may have to be compared directly, and how much the number of pivots grows from one split to the next.
+LEAF, MORE = 32, 8
+#: Longs of the sketch that goes with a class into its regions, and of the whole sketch.
+NARROW, WIDE = 4, 16
+#: Shingles of the sample that the shared order puts last.
+OFTEN = 200_000
 #: Classes in a block, about, where the links of a component are counted; columns of an incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
 
@@ -48,63 +55,66 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_order(docs: DataFrame, order_sample: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and log frequencies of the most frequent words in a bounded sample of rows."""
+def shingle_order(docs: DataFrame, n: int, order_sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that several documents of a bounded sample hold."""
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache = WordHashes()
         for b in batches:
-            words = pd.Series([w for t in b["text"] for w in set(words_of(t))], dtype=object)
-            n = words.value_counts()
-            yield pd.DataFrame({"word": [xxhash.xxh64_intdigest(w) for w in n.index], "n": n.to_numpy()}).astype({"word": "uint64"}).assign(word=lambda x: x["word"].astype("int64"))
+            yield pd.Series([np.unique(ngram_hashes(word_array(words_of(t), cache), n)).astype(np.int64) for t in b])
 
-    found = sample_rows(docs, "doc_id", order_sample).select("text").mapInPandas(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).toPandas()
-    h = found["word"].to_numpy("int64").astype("uint64")
+    # Copies of one text say nothing of what different texts share.
+    texts = sample_rows(docs, "doc_id", order_sample).select("text").dropDuplicates()
+    each = texts.select(F.explode(F.pandas_udf(held, "array<long>")("text")).alias("h"))
+    found = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
+    h = found["h"].to_numpy("int64").astype("uint64")
     by = np.argsort(h)
-    return h[by], (4 * np.log2(found["n"].to_numpy("float64")[by] + 1)).astype("int64")
+    return h[by], found["n"].to_numpy("int64")[by]
 
 
 def shingled(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_shingles, cid (a 128-bit hash of the set), head (the shingles whose regions the document enters, in order) and
-    sketch: for 256 classes of shingles whether the set holds an odd number, so that sketches differ in at most |x - y| + |y - x| bits."""
-    known, cost = order
+    sketch: for 1024 classes of shingles whether the set holds an odd number, so that sketches differ in at most |x - y| + |y - x| bits."""
+    known, count = order
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
-            sizes, cids, heads, sketches = [], [], [], []
-            for text in b["text"]:
-                w = word_array(words_of(text), cache)
-                sets, first = np.unique(ngram_hashes(w, n), return_index=True)
+            rows = []
+            for text in b:
+                sets = np.unique(ngram_hashes(word_array(words_of(text), cache), n))
                 m = len(sets)
-                head = sets[:0]
-                if m:
-                    c = np.zeros(len(w), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-                        c = np.where(known[at] == w, cost[at], 0)
-                    span = len(w) - n + 1
-                    c = sum(c[k : k + span] for k in range(n)) if span > 0 else c[:1]
-                    head = sets[np.lexsort((sets, c[first]))[: m - (percent * m + 99) // 100 + 1]]
-                sizes.append(m)
-                cids.append(xxhash.xxh3_128_digest(sets.tobytes()) if m else None)
-                heads.append(head.astype(np.int64))
-                odd = np.bincount((sets & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": sizes, "cid": cids, "head": heads, "sketch": sketches})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, cid binary, head array<long>, sketch array<long>")
+                c = np.zeros(m, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+                    c = np.where(known[at] == sets, count[at], 0)
+                # sets is sorted, so that a stable sort by count breaks ties by hash.
+                head = sets[np.argsort(c, kind="stable")[: m - (percent * m + 99) // 100 + 1]] if m else sets
+                odd = np.bincount((sets & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+                rows.append((m, xxhash.xxh3_128_digest(sets.tobytes()) if m else None, head.astype(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "cid", "head", "sketch"])
+
+    out = F.pandas_udf(run, "struct<n_shingles long, cid binary, head array<long>, sketch array<long>>")
+    return docs.select("doc_id", out("text").alias("s")).select("doc_id", "s.*")
 
 
 def able(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs (p, x) whose heads leave it open that they are linked.
+    """The pairs (p, x, far) whose sketches and heads leave it open that they are linked or, with far, that they are within 3r.
 
     All shared shingles that come before the end of both heads lie in both, so the set whose head ends first shares at most
     the heads' common shingles and what follows its head.
     """
-    h = heads.select("sid", "n", "head")
+    h = heads.select("sid", "n", "head", "sketch")
+    both = pairs.join(h.withColumnsRenamed({"sid": "x", "n": "x_n", "head": "x_head", "sketch": "x_sketch"}), "x")
+    both = both.join(h.withColumnsRenamed({"sid": "p", "n": "p_n", "head": "p_head", "sketch": "p_sketch"}), "p")
+    bits = " + ".join(f"bit_count(p_sketch[{k}] ^ x_sketch[{k}])" for k in range(WIDE))
     most = "(size(array_intersect(p_head, x_head)) + greatest(p_n - size(p_head), x_n - size(x_head)))"
-    both = pairs.join(h.withColumnsRenamed({"sid": "x", "n": "x_n", "head": "x_head"}), "x").join(h.withColumnsRenamed({"sid": "p", "n": "p_n", "head": "p_head"}), "p")
-    return both.where(f"100 * {most} >= {percent} * (p_n + x_n - {most})").select("p", "x")
+    return both.where(f"{differ(bits, 'p_n', 'x_n', percent)} and (far or 100 * {most} >= {percent} * (p_n + x_n - {most}))").select("p", "x")
+
+
+def differ(bits: str, a: str, b: str, percent: int) -> str:
+    """Whether sets of a and b shingles whose sketches differ in so many bits can be linked or, where far holds, within 3r."""
+    return f"({200 - (100 - percent)} - if(far, {2 * (100 - percent)}, 0)) * ({bits}) <= if(far, 3, 1) * {100 - percent} * ({a} + {b})"
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -131,55 +141,113 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     )
 
 
-def link_counts(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sid, linked): the rows of all other classes that a class links with.  members: sid, root, rows and nb, the blocks of its component."""
+def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right (None: the left ones), as products of incidence matrices."""
+    cells = np.unique(np.concatenate([*left, *(right or [])]))
+    ids, other = ([np.searchsorted(cells, x) for x in sets] for sets in (left, right or []))
+
+    def matrix(ids: list[np.ndarray], start: int) -> np.ndarray:
+        out = np.zeros((len(ids), COLUMNS), np.float32)
+        for k, x in enumerate(ids):
+            a, b = np.searchsorted(x, (start, start + COLUMNS))
+            out[k, x[a:b] - start] = 1
+        return out
+
+    both = np.zeros((len(left), len(left if right is None else right)), np.int64)
+    for start in range(0, len(cells), COLUMNS):
+        a = matrix(ids, start)
+        both += (a @ (a if right is None else matrix(other, start)).T).astype(np.int64)
+    return both
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], rest: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Consecutive rows with equal keys."""
+    last, held = None, []
+    for b in batches:
+        for row in b[[*keys, *rest]].itertuples(index=False, name=None):
+            if row[: len(keys)] != last:
+                if held:
+                    yield last, held
+                last, held = row[: len(keys)], []
+            held.append(row[len(keys) :])
+    if held:
+        yield last, held
+
+
+def between_parts(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (p, x) that join the parts of each region.  members: region, sid, own (in its own Voronoi region), root.
+
+    What is outside the region's largest part is compared with all of the region: both are dealt to blocks of about `BLOCK` classes and each pair of
+    blocks is one task's product, which gives no more links than it has classes.  So a region of m classes, s of them outside
+    the largest part, moves m * s / BLOCK rows or so.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
+        for _, held in _groups(batches, ["region", "tb", "qb"], ["asks", "sid", "own", "root", "text"]):
+            asks = [x for x in held if x[0]]
+            all_ = [x for x in held if not x[0]]
+            if not asks or not all_:
+                continue
+            left, right = ([np.unique(ngram_hashes(word_array(words_of(x[4]), cache), n)) for x in side] for side in (asks, all_))
+            both = _common(left, right)
+            whole = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - both
+            own = np.array([x[2] for x in asks])[:, None] | np.array([x[2] for x in all_])[None, :]
+            up: dict[int, int] = {}
+
+            def top(v: int) -> int:
+                while (w := up.get(v, v)) != v:
+                    up[v] = up.get(w, w)
+                    v = w
+                return v
+
+            out = []
+            for i, j in zip(*(x.tolist() for x in np.nonzero((100 * both >= percent * whole) & own)), strict=True):
+                a, b = top(asks[i][3]), top(all_[j][3])
+                if a != b:
+                    up[a] = b
+                    out.append((asks[i][1], all_[j][1]))
+            yield pd.DataFrame(out, columns=["p", "x"]).astype("int64")
+
+    parts = members.groupBy("region", "root").agg(F.count("*").alias("m"))
+    size = parts.groupBy("region").agg(F.sum("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("most"), F.max("m").alias("l")).where("m > l")
+    size = size.selectExpr("region as of", "most", f"(m + {BLOCK - 1}) div {BLOCK} as nt", f"(m - l + {BLOCK - 1}) div {BLOCK} as nq")
+    held = members.join(size, F.col("region") == F.col("of")).drop("of")
+    held = stored(held.withColumns({"t": F.expr("pmod(xxhash64(sid), nt)"), "q": F.expr("pmod(xxhash64(sid, 1), nq)")}), "in-parts")
+    dealt = held.selectExpr("region", "sid", "own", "root", "false as asks", "t as tb", "explode(sequence(0, nq - 1)) as qb")
+    dealt = dealt.unionByName(held.where("root != most").selectExpr("region", "sid", "own", "root", "true as asks", "explode(sequence(0, nt - 1)) as tb", "q as qb"))
+    dealt = dealt.join(texts.withColumnRenamed("sid", "of"), F.col("sid") == F.col("of")).drop("of")
+    return dealt.repartition("region", "tb", "qb").sortWithinPartitions("region", "tb", "qb").mapInPandas(run, "p long, x long")
 
-        def matrix(ids: list[np.ndarray], start: int) -> np.ndarray:
-            out = np.zeros((len(ids), COLUMNS), np.float32)
-            for k, x in enumerate(ids):
-                a, b = np.searchsorted(x, (start, start + COLUMNS))
-                out[k, x[a:b] - start] = 1
-            return out
 
-        def counted(key: tuple, held: list[tuple]) -> pd.DataFrame:
+def link_counts(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sid, linked): the rows of all other classes that a class links with.  members: sid, root, rows and nb, the blocks of its component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+        for key, held in _groups(batches, ["root", "lo", "hi"], ["b", "sid", "rows", "text"]):
             sids, weights = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
             sets = [np.unique(ngram_hashes(word_array(words_of(x[3]), cache), n)) for x in held]
             sizes = np.array([len(x) for x in sets], np.int64)
-            cells = np.unique(np.concatenate(sets))
-            ids = [np.searchsorted(cells, x) for x in sets]
             one = key[1] == key[2]
             cut = len(held) if one else sum(x[0] == key[1] for x in held)  # sorted: the lower block first
             rest = 0 if one else cut
-            both = np.zeros((cut, len(held) - rest), np.int64)
-            for start in range(0, len(cells), COLUMNS):
-                a = matrix(ids[:cut], start)
-                both += (a @ (a if one else matrix(ids[cut:], start)).T).astype(np.int64)
+            if not one and cut in (0, len(held)):
+                continue
+            both = _common(sets[:cut], None if one else sets[cut:])
             link = 100 * both >= percent * (sizes[:cut, None] + sizes[None, rest:] - both)
             if one:
                 np.fill_diagonal(link, False)
-                return pd.DataFrame({"sid": sids, "linked": link @ weights})
-            return pd.DataFrame({"sid": sids, "linked": np.concatenate((link @ weights[cut:], weights[:cut] @ link))})
-
-        last, held = None, []
-        for b in batches:
-            for root, lo, hi, *row in b[["root", "lo", "hi", "b", "sid", "rows", "text"]].itertuples(index=False, name=None):
-                if (root, lo, hi) != last:
-                    if held:
-                        yield counted(last, held)
-                    last, held = (root, lo, hi), []
-                held.append(row)
-        if held:
-            yield counted(last, held)
+                yield pd.DataFrame({"sid": sids, "linked": link @ weights})
+            else:
+                yield pd.DataFrame({"sid": sids, "linked": np.concatenate((link @ weights[cut:], weights[:cut] @ link))})
 
     own = members.join(texts, "sid").withColumn("b", F.expr("pmod(xxhash64(sid), nb)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = own.selectExpr("root", "least(b, j) as lo", "greatest(b, j) as hi", "b", "sid", "rows", "text").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "b")
     return dealt.mapInPandas(run, "sid long, linked long").groupBy("sid").agg(F.sum("linked").alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sample: int = 4096, count_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sample: int = 16_384, count_links: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links (with count_links) and component_id.
 
     Two documents link when 100 * |x & y| >= percent * |x | y| over their distinct n-word shingles (fewer words: the whole
@@ -187,30 +255,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
     other rows that the row links with, those with an equal set among them; component_id is the smallest doc_id reachable by links.
     """
     docs = docs.select("doc_id", "text")
-    whole = stored(shingled(docs, n, percent, word_order(docs, order_sample)), "shingled")
+    whole = stored(shingled(docs, n, percent, shingle_order(docs, n, order_sample)), "shingled")
     rows = stored(whole.drop("head", "sketch"), "rows")
     classes = whole.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "head", "sketch")).alias("c"), F.count("*").alias("rows"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("sid"), "cid", "rows", "c.doc_id", "c.n", "c.head", "c.sketch"), "classes")
     discard(whole)
 
-    posts = classes.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "cell"))
-    shared = posts.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select(F.col("cell").alias("of"))
-    # Joined on an expression of the key, so that both sides are exchanged and a hot cell can be split.
-    cells = stored(posts.join(shared, posts.cell == shared.of).select("cell", "sid", "n", "pos"), "cells")
-
-    heads = stored(classes.join(cells.select("sid").distinct(), "sid"), "heads")
+    posts = classes.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "region"))
+    shared = posts.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").selectExpr("region as of", "c")
+    # Joined on an expression of the key, so that both sides are exchanged and a hot region can be split.
+    first = stored(posts.join(shared, posts.region == shared.of).select("region", "sid", "n", "pos", "c"), "regions")
+    heads = stored(classes.join(first.select("sid").distinct(), "sid"), "heads")
     repeated = bool(rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").take(1))
 
-    def fits(a: str, b: str) -> str:
-        """Windows of size and place: sets of such sizes that meet there can still be within r."""
-        most = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
-        return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and 100 * {most} >= {percent} * ({a}.n + {b}.n - {most})"
-
     reach = (100 - percent) / 100
-    tried = links = roots = None
+    tried = links = None
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
 
     def learn(pairs: DataFrame) -> None:
+        """Compares the pairs (p, x, far) that were not compared before and closes the links anew."""
         nonlocal tried, links, roots
+        pairs = pairs.selectExpr("least(p, x) as p", "greatest(p, x) as x", "far").groupBy("p", "x").agg(F.max("far").alias("far"))
         if tried is not None:
             pairs = pairs.join(tried.select("p", "x"), ["p", "x"], "left_anti")
         pairs = stored(able(pairs, heads, percent), "pairs")
@@ -220,43 +285,62 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
         found = stored(compared(pairs, texts, n), "distances")
         discard(texts)
         tried = found if tried is None else tried.unionByName(found)
-        links = tried.where(f"100 * both >= {percent} * whole").select("p", "x")
+        new = found.where(f"100 * both >= {percent} * whole").select("p", "x")
+        links = new if links is None else links.unionByName(new)
         roots = connected(links.selectExpr("p as a", "x as b"))
 
-    start = open_ = cells.selectExpr("cell", "sid", "n", "pos", "sid as root")
-    for _ in range(ROUNDS):
-        # Later pivots come from another part than the first, a different one in each region that holds the same documents,
-        # so that one round tries as many pivots of a group as it has regions.
-        ranked = open_.withColumn("rank", F.xxhash64("cell", "root")).groupBy("cell")
-        by_rank = F.struct("rank", "sid", "n", "pos", "root")
-        pivots = ranked.agg(F.min(F.struct("sid", "n", "pos", "root")).alias("v"), F.max(by_rank).alias("w"), F.min(by_rank).alias("u"))
-        other = "if(w.root = v.root, struct(u.sid, u.n, u.pos, u.root), struct(w.sid, w.n, w.pos, w.root))"
-        pivots = pivots.selectExpr("cell as of", f"{'v' if tried is None else other} as v")
-        held = stored(open_.join(pivots, F.col("cell") == F.col("of")).drop("of"), "regions")
-        near = held.where("sid != v.sid and root != v.root").selectExpr("v.sid as p", "sid as x", "named_struct('n', n, 'pos', pos) as s", "v").where(fits("s", "v"))
-        learn(near.selectExpr("least(p, x) as p", "greatest(p, x) as x").distinct())
-        # What is at the pivot's part or beyond its window for all others is settled.
-        seen = tried.selectExpr("p as a", "x as b", "1 - both / whole as d")
+    def in_parts(members: DataFrame) -> DataFrame:
+        return members.join(roots.selectExpr("node as of", "root"), F.col("sid") == F.col("of"), "left").drop("of").withColumn("root", F.expr("coalesce(root, sid)"))
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """The members (region, sid, n, pos) of regions with several parts, with their part and their region's classes."""
+        known = stored(in_parts(members), "parts")
+        size = known.groupBy("region").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").selectExpr("xxhash64(region) as key", "region as of", "c")
+        out = stored(known.join(size, (F.xxhash64("region") == F.col("key")) & (F.col("region") == F.col("of"))).drop("key", "of"), "open")
+        discard(known)
+        return out
+
+    columns = ["region", "sid", "n", "pos"]
+    open_, leaves, voronoi, k = first, [], [], 1
+    while open_.take(1):
+        # Pivots by a hash that does not hang on the region, so that regions with the same members have the same pivots.
+        drawn = open_.groupBy("region", F.expr(f"pmod(xxhash64(sid), {k})")).agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("v"))
+        pivots = stored(drawn.selectExpr("region as of", "v.sid as p", "v.n as p_n"), "pivots")
+        held = open_.join(pivots, F.col("region") == F.col("of")).where("sid != p").withColumn("far", F.col("c") > LEAF)
+        near = held.where(f"100 * least(n, p_n) >= if(far, {max(0, 3 * percent - 200)}, {percent}) * greatest(n, p_n)")
+        learn(near.select("p", F.col("sid").alias("x"), "far"))
+        if k == 1:  # one pivot closes the groups of copies in small regions
+            leaves.append(open_.where(f"c <= {LEAF}"))
+        k *= MORE
+        large = open_.where(f"c > {LEAF}")
+        met = large.join(pivots, F.col("region") == F.col("of")).where("sid != p").select("region", "sid", "p")
+        seen = tried.selectExpr("p as a", "x as b", "1 - both / whole as d").where(f"d <= {3 * reach} + 1e-9")
         seen = seen.unionByName(seen.selectExpr("b as a", "a as b", "d"))
-        now = held.drop("root", "d").join(seen, (F.col("v.sid") == F.col("a")) & (F.col("sid") == F.col("b")), "left").drop("a", "b")
-        now = now.join(roots.withColumnsRenamed({"node": "of", "root": "found"}), F.col("sid") == F.col("of"), "left")
-        before = open_
-        now = stored(now.selectExpr("cell", "sid", "n", "pos", "if(sid = v.sid, 0.0, d) as d", "coalesce(found, sid) as root"), "after")
-        mixed_ = now.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").selectExpr("cell as of")
-        open_ = stored(now.join(mixed_, F.col("cell") == F.col("of")).drop("of"), "open")
-        for x in (held, now, *([before] if before is not start else [])):
-            discard(x)
-        if not open_.take(1):
-            break
-    else:
-        # What is left of the regions: pairs of different parts, within windows of size, place and distance to the last pivot.
-        # Their sketches differ in no more bits than sets within r differ in shingles.
-        left = open_.join(heads.selectExpr("sid", *[f"sketch[{k}] as s{k}" for k in range(4)]), "sid")
-        a, b = left.alias("a"), left.alias("b")
-        bits = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(4))
-        on = f"a.cell = b.cell and a.sid < b.sid and a.root != b.root and (a.d is null or b.d is null or abs(a.d - b.d) <= {reach} + 1e-9) and {fits('a', 'b')}"
-        on += f" and {100 + percent} * ({bits}) <= {100 - percent} * (a.n + b.n)"
-        learn(a.join(b, F.expr(on)).selectExpr("a.sid as p", "b.sid as x").distinct())
+        # Regions that share a pivot share its Voronoi region.
+        around = stored(met.join(seen, (F.col("p") == F.col("a")) & (F.col("sid") == F.col("b"))).select("region", "sid", "p", "d"), "around")
+        home = around.where(f"d <= {2 * reach} + 1e-9").groupBy("region", "sid").agg(F.min(F.struct("d", "p")).alias("v")).selectExpr("sid", "v.p as p", "true as own")
+        voronoi.append(around.selectExpr("sid", "p", "false as own").unionByName(home).groupBy("p", "sid").agg(F.max("own").alias("own")).withColumnRenamed("p", "region"))
+        done = around.where(f"d <= {2 * reach} + 1e-9").select("region", "sid").unionByName(pivots.selectExpr("of as region", "p as sid")).distinct().selectExpr("region as r", "sid as s")
+        rest = large.join(done, (F.col("region") == F.col("r")) & (F.col("sid") == F.col("s")), "left_anti").select(*columns)
+        open_ = mixed(rest)
+        few = max(LEAF, 4 * k)
+        leaves.append(open_.where(f"c <= {few}"))
+        open_ = open_.where(f"c > {few}")
+
+    if leaves:
+        inner = stored(in_parts(reduce(DataFrame.unionByName, voronoi)), "voronoi")
+        if inner.take(1):
+            found = stored(between_parts(inner, _texts(docs, inner.selectExpr("sid as p", "sid as x"), heads, n, repeated), n, percent), "block-links")
+            links = links.unionByName(found)
+            roots = connected(links.selectExpr("p as a", "x as b"))
+        left = mixed(reduce(DataFrame.unionByName, [x.select(*columns) for x in leaves]))
+        left = left.join(heads.selectExpr("sid as of", *[f"sketch[{j}] as s{j}" for j in range(NARROW)]), F.col("sid") == F.col("of")).drop("of")
+        bits = " + ".join(f"bit_count(a.s{j} ^ b.s{j})" for j in range(NARROW))
+        # Windows of size and place: sets of such sizes that meet there first can still be linked.
+        most = "least(a.n - a.pos, b.n - b.pos)"
+        fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and 100 * {most} >= {percent} * (a.n + b.n - {most})"
+        on = f"a.region = b.region and a.sid < b.sid and a.root != b.root and {fits} and {100 + percent} * ({bits}) <= {100 - percent} * (a.n + b.n)"
+        learn(left.alias("a").join(left.alias("b"), F.expr(on)).selectExpr("a.sid as p", "b.sid as x", "false as far"))
 
     nodes = classes.select("sid", "cid", "rows").join(roots, classes.sid == roots.node, "left").drop("node")
     if count_links:
@@ -273,8 +357,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
     nodes = nodes.selectExpr("cid as of", "coalesce(root, sid) as root", *n_links)
     labelled = rows.select("doc_id", "n_shingles", "cid").join(nodes, F.col("cid") == F.col("of"), "left").drop("of")
     labelled = stored(labelled.withColumn("class_id", F.lower(F.hex("cid"))).drop("cid"), "labelled")
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component")).selectExpr("root as of", "component")
-    out = labelled.join(least, F.col("root") == F.col("of"), "left")
+    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component")).selectExpr("xxhash64(root) as key", "root as of", "component")
+    # As with the first regions, both sides are exchanged, so that a very large component can be split.
+    out = labelled.join(least, (F.xxhash64("root") == F.col("key")) & (F.col("root") == F.col("of")), "left")
     return out.selectExpr("doc_id", "n_shingles", "class_id", *[f"coalesce({x}, 0) as {x}" for x in kept], "if(root is null, doc_id, component) as component_id")
 
 

@@ -66,6 +66,29 @@ def test_jaccard_against_brute_force(spark):
     assert {x["doc_id"] for x in kept.collect()} == {d for d, c in want.items() if d == c} and "row_key" in kept.columns
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_splits_regions(spark, monkeypatch, percent):
+    """Regions of a few classes are split by document pivots; chains of copies of copies cross the bounds of Voronoi regions."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 3)
+    monkeypatch.setattr(jaccard_join, "MORE", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    r, rows = random.Random(percent), []
+    for g in range(3):
+        base = words(50 + g, 90).split()
+        chain = [list(base)]
+        for _ in range(40):
+            own = list(r.choice(chain))
+            for _ in range(r.choice([1, 2, 3])):
+                own[r.randrange(len(own))] = f"e{r.randrange(999)}"
+            chain.append(own)
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate(chain)]
+    r.shuffle(rows)
+    want, _ = brute_components(rows, 4, percent)
+    assert len(set(want.values())) > 5
+    got = jaccard_join.jaccard_components(documents(spark, [(d, t, "s") for d, t in rows]), 4, percent, count_links=False).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_links_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     r, rows = random.Random(2), []
