@@ -1,10 +1,15 @@
 """Secret scans with a recursive decoding worklist.
 
-Base spans come from three patterns on the text itself.  The worklist then unwraps layers: per cent escapes, backslash escapes
-(\\uXXXX, \\xXX), base64 runs and, inside those, compressed data (gzip, zlib, bzip2, xz, zstd).  Every layer is scanned with the
-same patterns and put on the list again, until nothing new comes out.  A layer text is unwrapped once, which ends cycles; its
-finds are mapped back to every place that it was decoded from, down to code points of the text: escapes map character
-by character, a base64 run maps as a whole.  Decompressed data over `largest` characters (64 M) is not unwrapped further.
+Base spans come from three patterns on the text itself.  The worklist then unwraps layers: per cent escapes (%XX, %uXXXX), backslash
+escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX), base64 runs and, inside those, compressed data (gzip, zlib, bzip2, xz, zstd; all members and
+frames, however deep).  Base64 may be wrapped over lines and glued to other signs of its alphabet: a run is decoded from each of its four
+alignments and from every place where compressed data may begin.  Bytes that are no UTF-8 are read as Latin-1.  Every layer is scanned
+with the same patterns and put on the list again, until nothing new comes out.  A layer is unwrapped once, known by its digest, which
+ends cycles; its finds are mapped back to every place that it was decoded from, down to code points of the text: escapes
+map character by character, a whole base64 run as a whole, a shifted one by groups of four characters.
+
+Decompressed data is read in windows of `WINDOW` bytes that overlap by `OVERLAP`, so memory stays bounded and there is no limit on
+its size; only an encoded run that is itself longer than the overlap and lies across the end of a window is seen in part.
 
 Spans are (start, kind, end), end exclusive, sorted by start, then kind as listed, then end.  Null and empty texts have none.
 """
@@ -12,9 +17,9 @@ Spans are (start, kind, end), end exclusive, sorted by start, then kind as liste
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -33,11 +38,16 @@ ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-BACKSLASH = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-LARGEST = 64 << 20
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4})+")
+PERCENT_ONE = re.compile(r"%u[0-9A-Fa-f]{4}|(?:%[0-9A-Fa-f]{2})+")
+ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+BACKSLASH = re.compile(f"(?:{ONE.pattern})+")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that go on over line ends, with the indentation of the next line.
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: How compressed data begins in base64 (gzip, bzip2, xz, zstd, zlib), fixed values.
+PACKED = re.compile(r"H4sI|QlpoO|QlpoM|Qlpo[N-Z]|/Td6WFoA|KLUv|eJ|eAE|eF4|eNo")
+WINDOW, OVERLAP = 32 << 20, 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -54,7 +64,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 class Layer:
     """A decoded text.  Its pieces (own start, source start, source end, step) lead back to the text that it came from;
-    with step 1 the piece maps character by character, with step 0 as a whole."""
+    with step 1 the piece maps character by character, with step 0 as a whole, with step 4 three characters to four."""
 
     def __init__(self, text: str, pieces: list[tuple[int, int, int, int]]):
         self.text, self.pieces = text, pieces
@@ -62,9 +72,9 @@ class Layer:
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         own, s, _, step = self.pieces[bisect_right(self.starts, start) - 1]
-        first = s + (start - own) * step
+        first = s + (4 * ((start - own) // 3) if step == 4 else (start - own) * step)
         own, s, e, step = self.pieces[bisect_right(self.starts, end - 1) - 1]
-        return first, s + end - own if step else e
+        return first, min(e, s + 4 * -((own - end) // 3)) if step == 4 else s + end - own if step else e
 
 
 def _escaped(text: str, groups: re.Pattern, read) -> Layer | None:
@@ -90,62 +100,121 @@ def _escaped(text: str, groups: re.Pattern, read) -> Layer | None:
 
 
 def _percent(group: str) -> Iterator[tuple[str, int]]:
-    data = bytes.fromhex(group.replace("%", ""))
-    try:
-        for c in data.decode():
-            yield c, 3 * len(c.encode())
-    except UnicodeDecodeError:
-        for b in data:
-            yield chr(b), 3
+    for part in PERCENT_ONE.findall(group):
+        if part[1] == "u":
+            yield chr(int(part[2:], 16)), 6
+            continue
+        data = bytes.fromhex(part.replace("%", ""))
+        try:
+            for c in data.decode():
+                yield c, 3 * len(c.encode())
+        except UnicodeDecodeError:
+            for b in data:
+                yield chr(b), 3
 
 
 def _backslash(group: str) -> Iterator[tuple[str, int]]:
     parts, k = ONE.findall(group), 0
     while k < len(parts):
-        a = int(parts[k][2:], 16)
-        if 0xD800 <= a < 0xDC00 and k + 1 < len(parts) and 0xDC00 <= (b := int(parts[k + 1][2:], 16)) < 0xE000:
+        a = int(parts[k][2:].strip("{}"), 16)
+        if 0xD800 <= a < 0xDC00 and k + 1 < len(parts) and 0xDC00 <= (b := int(parts[k + 1][2:].strip("{}"), 16)) < 0xE000:
             yield chr(0x10000 + ((a - 0xD800) << 10) + b - 0xDC00), len(parts[k]) + len(parts[k + 1])
             k += 2
             continue
-        yield ("�" if 0xD800 <= a < 0xE000 else chr(a)), len(parts[k])
+        yield ("�" if 0xD800 <= a < 0xE000 or a > 0x10FFFF else chr(a)), len(parts[k])
         k += 1
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What compressed data holds; data as it is when it isn't compressed; None when it is broken or too large."""
+def _opener(data: bytes):
+    """A new decompressor for data that begins like compressed data, else None."""
+    if data[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+        return lambda: zlib.decompressobj(15)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _fed(d, data: bytes) -> Iterator[bytes]:
+    """What a decompressor makes of data, about a megabyte at a time where it can be told so."""
+    if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+        yield d.decompress(data, 1 << 20)
+        while not d.eof and not d.needs_input:
+            yield d.decompress(b"", 1 << 20)
+    elif hasattr(d, "copy"):  # zlib
+        yield d.decompress(data, 1 << 20)
+        while d.unconsumed_tail:
+            yield d.decompress(d.unconsumed_tail, 1 << 20)
+    else:
+        yield d.decompress(data)
+
+
+def _inflated(chunks: Iterator[bytes], opener) -> Iterator[bytes]:
+    """What compressed chunks hold, in pieces; ends where they are broken."""
+    d, fresh = opener(), False
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(LARGEST + 1)
-            return out if len(out) <= LARGEST else None
-        else:
-            return data
-        out = d.decompress(data, LARGEST + 1)
-        return out if len(out) <= LARGEST else None
+        for chunk in chunks:
+            at = 0
+            while at < len(chunk):
+                if fresh:  # another member or frame, or what follows the data
+                    if (opener := _opener(chunk[at : at + 8])) is None:
+                        return
+                    d, fresh = opener(), False
+                yield from filter(None, _fed(d, chunk[at : at + 512]))
+                at = min(at + 512, len(chunk))
+                if d.eof:
+                    at, fresh = at - len(d.unused_data), True
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-
-
-def _decoded(run: str) -> str | None:
-    run = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(run) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-        for _ in range(32):  # compressed data may be compressed again
-            inner = _unpacked(data)
-            if inner is None or inner == data:
+        return
+
+
+def _windows(data: bytes) -> Iterator[bytes]:
+    """The windows of what data holds, however often it is compressed; data itself when it isn't."""
+    seen: set[bytes] = set()
+    while (opener := _opener(data)) is not None:
+        stream = _inflated(iter((data,)), opener)
+        held = bytearray()
+        for part in stream:
+            held += part
+            if len(held) > WINDOW:
                 break
+        else:
+            inner = bytes(held)
+            mark = hashlib.blake2b(inner, digest_size=16).digest()
+            if not inner or mark in seen:
+                return
+            seen.add(mark)
             data = inner
-        text = None if inner is None else data.decode()
-    except (binascii.Error, UnicodeDecodeError):
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
+            continue
+        # Too much for one window: the rest is streamed, through further layers of compression where there are any.
+        stream = itertools.chain((bytes(held),), stream)
+        while (opener := _opener(head := next(stream, b""))) is not None:
+            stream = _inflated(itertools.chain((head,), stream), opener)
+        held = bytearray(head)
+        for part in stream:
+            held += part
+            if len(held) >= WINDOW:
+                yield bytes(held)
+                del held[:-OVERLAP]
+        yield bytes(held)
+        return
+    yield data
+
+
+def _texts(run: str) -> Iterator[str]:
+    """The texts that a base64 run holds."""
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    for data in _windows(base64.b64decode(run + "=" * (-len(run) % 4))):
+        try:
+            yield data.decode()
+        except UnicodeDecodeError:
+            yield data.decode("latin-1")
 
 
 def _layers(text: str) -> Iterator[tuple[str, list[Layer]]]:
@@ -153,9 +222,23 @@ def _layers(text: str) -> Iterator[tuple[str, list[Layer]]]:
     runs: dict[str, list[tuple[int, int]]] = {}
     for m in BASE64.finditer(text):
         runs.setdefault(m[0], []).append(m.span())
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        runs.setdefault(re.sub(r"\s+", "", m[0]), []).append(m.span())
     for run, places in runs.items():
-        if (inner := _decoded(run)) is not None:
+        for inner in _texts(run):
             yield inner, [Layer("", [(0, s, e, 0)]) for s, e in places]
+        plain = [(s, e) for s, e in places if e - s == len(run)]  # not wrapped
+        for k in range(1, 4):
+            part = run[k:].rstrip("=").replace("-", "+").replace("_", "/")
+            part = part[: len(part) // 4 * 4]
+            # One byte, one character, so that groups can be counted.
+            inner = base64.b64decode(part).decode("latin-1")
+            if plain and (len(inner) >= 16 and (any(x in inner.lower() for x in KEYS) or "AKIA" in inner or "%" in inner or "\\" in inner or HEX.search(inner) or BASE64.search(inner))):
+                yield inner, [Layer("", [(0, s + k, e, 4)]) for s, e in plain]
+        for m in PACKED.finditer(run.replace("-", "+").replace("_", "/")) if plain else ():
+            if m.start() and _opener(base64.b64decode((run[m.start() : m.start() + 12].rstrip("=").replace("-", "+").replace("_", "/") + "AAAA")[:12])):
+                for inner in _texts(run[m.start() :]):
+                    yield inner, [Layer("", [(0, s + m.start(), e, 0)]) for s, e in plain]
     for mark, groups, read in (("%", PERCENT, _percent), ("\\", BACKSLASH, _backslash)):
         if mark in text and (layer := _escaped(text, groups, read)):
             inner, layer.text = layer.text, ""
@@ -220,11 +303,13 @@ def redacted(text: str | None) -> str | None:
     """The text with every span, and what overlaps it, replaced by its kind in brackets."""
     if not text or not (found := spans(text)[1]):
         return text
-    out, done = [], 0
-    while found:
-        start, kind, end = found.pop(0)
-        while found and found[0][0] < end:
-            end = max(end, found.pop(0)[2])
+    out, done, k = [], 0, 0
+    while k < len(found):
+        start, kind, end = found[k]
+        k += 1
+        while k < len(found) and found[k][0] < end:
+            end = max(end, found[k][2])
+            k += 1
         out += [text[done:start], f"[{KINDS[kind]}]"]
         done = end
     return "".join(out) + text[done:]

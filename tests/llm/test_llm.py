@@ -1,10 +1,14 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quarry.llm import chat_format, components, decontaminate, html_extract, jaccard_join, license_scan, line_rules, packing, quality_model, secret_scan, warc_bundles
@@ -258,7 +262,7 @@ def test_packing(spark):
 def test_secrets(spark):
     plain = "password=hunter2222"
     twice = base64.b64encode(base64.b64encode(gzip.compress(plain.encode() * 2))).decode()
-    for text in (f"a {base64.b64encode(plain.encode()).decode()} b", f"a {twice} b", "a password%3Dhunter2222 b", r"a password=hunter2222 b"):
+    for text in (f"a {base64.b64encode(plain.encode()).decode()} b", f"a {twice} b", "a password%3Dhunter2222 b", "a password\\u003dhunter2222 b", "a password\\u{3d}hunter2222 b", "a \\U00000070assword=hunter2222 b", "a pass%u0077ord=hunter2222 b"):
         base, found = secret_scan.spans(text)
         assert any(k == 0 and (s, e) == (2, len(text) - 2) for s, k, e in found) and "hunter" not in secret_scan.redacted(text)
     text = 'é Token : "abcdef" AKIA' + "Q" * 16 + " " + "0f" * 12 + " secret=abc"
@@ -280,6 +284,54 @@ def test_secrets_in_every_copy():
         assert secret_scan.redacted(text) == "é [assign] then [assign]\n%C3%A9 [assign]"
 
 
+def wrapped(data, width=60):
+    run = base64.b64encode(data).decode()
+    return "\n".join(run[k : k + width] for k in range(0, len(run), width))
+
+
+ENCODERS = {
+    "base64": lambda t: base64.b64encode(t.encode()).decode(), "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(), "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    "bz2": lambda t: base64.b64encode(bz2.compress(t.encode())).decode(), "xz": lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+    "zstd": lambda t: base64.b64encode(zstandard.compress(t.encode())).decode(), "deep": lambda t: base64.b64encode(zlib.compress(bz2.compress(gzip.compress(t.encode())))).decode(),
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "wrapped": lambda t: wrapped(t.encode()),
+    "members": lambda t: base64.b64encode(gzip.compress(b"first member") + gzip.compress(t.encode())).decode(), "frames": lambda t: base64.b64encode(zstandard.compress(b"one frame") + zstandard.compress(t.encode())).decode(),
+    "binary": lambda t: base64.b64encode(bytes(range(128, 140)) + t.encode()).decode(), "control": lambda t: base64.b64encode(bytes(12) + t.encode()).decode(), "glued": lambda t: f"url/x/{base64.b64encode(t.encode()).decode()}",
+    "glued zip": lambda t: f"path/{base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode()}",
+}
+
+
+@pytest.mark.parametrize("first", ENCODERS)
+def test_secrets_through_every_pair_of_layers(first):
+    for second in ENCODERS:
+        text = f"é start {ENCODERS[second](ENCODERS[first]('password=hunter2222'))} end"
+        found = secret_scan.spans(text)[1]
+        assert any(k == 0 and 7 <= s < e <= len(text) - 3 for s, k, e in found), (first, second)
+    assert secret_scan.spans(f"clean {ENCODERS[first]('nothing to see in this text')} end")[1] == []
+
+
+def test_large_layers():
+    for filler in (secret_scan.WINDOW, 2 * secret_scan.WINDOW + 77):
+        run = base64.b64encode(zlib.compress(b"password=hunter2222 " + b"x y " * (filler // 4) + b" AKIA" + b"Q" * 16)).decode()
+        assert secret_scan.joined(secret_scan.spans(f"a {run}")[1]) == f"assign:2:{len(run) + 2},access:2:{len(run) + 2}"
+
+
+def test_base_spans_against_brute_force():
+    """Each start of each kind is tried, leftmost first; then the next after its end."""
+    r, alphabet = random.Random(11), ["password", "Token", "api_key", "=", ":", " ", '"', "a", "f0", "AKIA", "Q", "9", "_", "é", "\n", "0123456789abcdef01234567"]
+    for _ in range(300):
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(60)))
+        want = []
+        for kind, (name, least) in enumerate((("assign", 6), ("access", 20), ("hex", 24))):
+            pattern, at = {"assign": secret_scan.ASSIGN, "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}[name], 0
+            while at < len(text):
+                m = pattern.match(text, at)
+                if m and len(m[1] if kind == 0 else m[0]) >= least:
+                    want.append((m.start(), kind, m.end()))
+                at = m.end() if m else at + 1
+        assert sorted(want) == secret_scan.spans(text)[0]
+
+
 def test_licenses(spark):
     text = "é before. " + license_scan.TEMPLATES["mit"].upper() + " After."
     edited = license_scan.TEMPLATES["isc"].replace("purpose", "good purpose").replace("fee", "charge")
