@@ -1,7 +1,7 @@
 """Benchmark decontamination: item-sized windows, SimHash with multi-index Hamming blocks, exact verification.
 
-Words: ASCII punctuation counts as space, A-Z as a-z, split at ASCII white space.  A shingle is `n` words (fewer: the whole
-sequence) and weighs the bytes of its words.  similarity(window, item) = weight of shared shingles / the larger of both
+Words: ASCII punctuation counts as space, A-Z as a-z, split at ASCII white space.  A shingle is `n` words (items and texts of fewer: all
+their words) and weighs the bytes of its words.  similarity(window, item) = weight of shared shingles / the larger of both
 weights.  A window has as many words as the item (the whole text, if that is shorter).
 
 1. A window at `least` or more shares shingles that weigh `least` of the item.  Texts whose shared shingles weigh less
@@ -28,11 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, ngram_hashes, table, word_array
+from .shared import WordHashes, ngram_hashes, rows_of_texts, table, word_array
 
 FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 BITS = np.arange(64, dtype=np.uint64)
-SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_windows long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,6 +83,7 @@ class Items:
         cache = WordHashes()
         self.n, self.ids, self.words, self.sets, self.weight = n, [], [], [], []
         prints, where = [], defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # words -> hash -> items
         for i, text in zip(ids, texts, strict=True):
             w = words_of(text)
             if not w:
@@ -91,6 +91,8 @@ class Items:
             h, lengths = word_array(w, cache), np.fromiter(map(len, w), np.int64, len(w))
             sh, first = np.unique(ngram_hashes(h, n), return_index=True)
             weights = shingle_weights(lengths, n)[first]
+            if len(w) < n:
+                self.short[len(w)][int(sh[0])].append(len(self.ids))
             for s, g in zip(sh.tolist(), weights.tolist(), strict=True):
                 where[s].append((len(self.ids), g))
             self.ids.append(i)
@@ -108,10 +110,20 @@ class Items:
         if not w or not len(self.shingles):
             return
         h = word_array(w, cache)
+        # An item shorter than a shingle is one shingle of its own length, so its window is equal to it or shares nothing.
+        for size, items in self.short.items():
+            if len(w) > size:
+                own, hits = ngram_hashes(h, size), defaultdict(list)
+                keys = np.fromiter(items, np.uint64, len(items))
+                for p in np.flatnonzero(np.isin(own, keys)).tolist():
+                    hits[int(own[p])].append(p)
+                for s, at in hits.items():
+                    for item in items[s]:
+                        yield item, 1.0, 0, at[0], len(at)
         sh = ngram_hashes(h, self.n)
         at = np.minimum(np.searchsorted(self.shingles, sh), len(self.shingles) - 1)
         places = np.flatnonzero(self.shingles[at] == sh)
-        # Texts shorter than a shingle have one of their own length, which only items as short share.
+        # A text shorter than a shingle is one of its own length, which only items as short share.
         if not len(places):
             return
         weight, spots = defaultdict(int), defaultdict(list)
@@ -157,17 +169,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8,
     """The items (item_id, text) that rows of docs (doc_id, text) hold."""
     blocks = max(1, math.ceil(benchmark.count() / block_items))
     out = None
+    columns = "item_id long, similarity double, hamming int, start_word long, n_windows long"
     for k in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").toPandas()
-        ids, texts = own["item_id"].tolist(), own["text"].tolist()
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        ids, texts = [x["item_id"] for x in own], [x["text"] for x in own]
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, texts=texts) -> Iterator[pd.DataFrame]:
+        def start(ids=ids, texts=texts):
             items, cache = Items(ids, texts, n, radius), WordHashes()
-            for b in batches:
-                rows = [(d, items.ids[i], like, far, start, hits) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, like, far, start, hits in items.found(t, least, cache)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "hamming", "start_word", "n_windows"])
+            return lambda batch: ((k, items.ids[i], *x) for k, t in enumerate(batch) for i, *x in items.found(t, least, cache))
 
-        part = docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+        part = rows_of_texts(docs, "doc_id", "text", columns, start)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -185,8 +196,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: floa
     """The rows of docs that hold no item; columns stay."""
     blocks = max(1, math.ceil(benchmark.count() / block_items))
     for k in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").toPandas()
-        ids, texts = own["item_id"].tolist(), own["text"].tolist()
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        ids, texts = [x["item_id"] for x in own], [x["text"] for x in own]
         docs = docs.where(F.pandas_udf(_clean(ids, texts, n, least, radius), "boolean")("text"))
     return docs
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset in local mode."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         held = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
@@ -52,6 +56,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_of_texts(df: DataFrame, key: str, text: str, columns: str, start: Callable) -> DataFrame:
+    """key and further columns (name type, ...) of the rows that a task's run = start() makes of each batch of texts.
+
+    run(texts) yields (place of the text in the batch, values ...).  The key never leaves Arrow, so ids of any size stay what they are.
+    """
+    names = [x.split()[0] for x in columns.split(", ")]
+    schema = df.sparkSession.createDataFrame([], columns).schema
+    types = [ARROW[f.dataType.simpleString()] for f in schema]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = start()
+        for b in batches:
+            rows = list(run(b.column(1).to_pylist()))
+            at = pa.array([x[0] for x in rows], pa.int64())
+            made = [pa.array([x[k + 1] for x in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *made], names=[key, *names])
+
+    return df.select(key, text).mapInArrow(each, f"{key} {df.schema[key].dataType.simpleString()}, {columns}")
+
+
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
 def sample_rows(df: DataFrame, key, about: int) -> DataFrame:
     """About so many rows at any input size, chosen by a hash of key."""
     every = max(1, df.count() // about)
