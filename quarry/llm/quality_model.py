@@ -7,7 +7,8 @@ its rows, and the weights are averaged by the rows seen.  `train_rows` bounds th
 by a hash of doc_id); SHARDS bounds what one group holds.  A score is the logistic function of a sparse dot product.
 
 Null and empty texts score by the bias alone.  Rows of labels with a null quality are not used; of several labels of one
-doc_id the larger counts.  Without labelled rows every score is 0.5.  Repeated rows get equal scores.
+doc_id the larger counts.  Without labelled rows every score is 0.5.  Of several texts
+of one labelled doc_id the smallest is learned from.  Repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -84,18 +85,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     """Weights from labelled rows outside the held-out third."""
     named = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = sample_rows(named, "doc_id", train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SHARDS)))
+    # One text for each labelled doc_id, so that the groups are as bounded as the labelled rows are.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SHARDS)))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         cache, model = TokenHashes(), Ftrl()
-        own = own.sort_values(["doc_id", "text"])
+        own = own.sort_values("doc_id")
         cases = [(*features(t, cache), int(y)) for t, y in zip(own["text"], own["y"], strict=True)]
         for e in range(epochs):
             for k in np.random.default_rng(e).permutation(len(cases)):
                 model.update(*cases[k])
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "w": w[at] * len(own), "rows": 0}).astype({"rows": "int64"})._append({"at": -1, "w": 0.0, "rows": len(own)}, ignore_index=True)
+        return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at] * len(own), 0.0), "rows": np.append(np.zeros(len(at), np.int64), len(own))})
 
     parts = rows.groupBy("shard").applyInPandas(run, "at long, w double, rows long").groupBy("at").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows")).toPandas()
     out = np.zeros(2**BITS + 1, np.float32)
