@@ -32,7 +32,8 @@ ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "
 NEXT = {NONE: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 2.0, 1.0, 1.0, 3.0
 END = {NONE: (), ASSISTANT: (), USER: (ASSISTANT,), SYSTEM: (USER, ASSISTANT)}
-CHUNK = 20_000
+#: Turns and bytes of text in a range, about.
+CHUNK, CHUNK_BYTES = 20_000, 64 << 20
 
 
 def steps(role: str | None) -> list[tuple[int, int, float, str, tuple[int, ...]]]:
@@ -88,11 +89,14 @@ def repaired(roles: list, known: Steps, enter: int = NONE, leave: int | None = N
 
 
 def dealt(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text in ranges of (conv_id, turn), numbered by chunk and ordered by place."""
-    n = max(1, math.ceil(conversations.count() / CHUNK))
+    """conv_id, turn (both as text, so that null and every number stay what they are), role, text in ranges of (conv_id, turn),
+    numbered by chunk and ordered by place."""
+    rows, size = conversations.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, math.ceil(rows / CHUNK), math.ceil(size / CHUNK_BYTES))
     keys = ["conv_id", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     own = conversations.select("conv_id", "turn", "role", "text").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return stored(own.select("*", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("place")), "turns")
+    texts = [F.col(x).cast("string").alias(x) for x in ("conv_id", "turn")]
+    return stored(own.select(*texts, "role", "text", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("place")), "turns")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -103,7 +107,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         known, rows = Steps(), []
         own = own.sort_values("place")
         chunk = int(own["chunk"].iloc[0])
-        groups = list(own.groupby((own["conv_id"].fillna(-1).diff() != 0).cumsum()))
+        groups = list(own.groupby(_runs(own["conv_id"])))
         for _, g in {k: v for k, v in (groups[0], groups[-1])}.items():
             rows.append((g["conv_id"].iloc[0], chunk, matrix(g["role"].tolist(), known)))
         return pd.DataFrame(rows, columns=["conv_id", "chunk", "costs"])
@@ -121,22 +125,22 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             state = b[state]
         return pd.DataFrame(rows, columns=["conv_id", "chunk", "enter", "leave", "final"])
 
-    parts = turns.groupBy("chunk").applyInPandas(ends, "conv_id long, chunk int, costs array<double>")
+    parts = turns.groupBy("chunk").applyInPandas(ends, "conv_id string, chunk int, costs array<double>")
     parts = stored(parts, "chat-costs")
     many = parts.groupBy("conv_id").agg(F.count("*").alias("c")).where("c > 1").selectExpr("conv_id as of")
-    links = parts.join(many, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of").groupBy("conv_id").applyInPandas(joints, "conv_id long, chunk int, enter int, leave int, final boolean")
+    links = parts.join(many, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of").groupBy("conv_id").applyInPandas(joints, "conv_id string, chunk int, enter int, leave int, final boolean")
     links = stored(links, "chat-joints").groupBy("chunk").agg(F.collect_list(F.struct("conv_id", "enter", "leave", "final")).alias("joints"))
 
     def write(own: pd.DataFrame) -> pd.DataFrame:
         known, rows = Steps(), []
         own = own.sort_values("place")
-        at = {None if pd.isna(x["conv_id"]) else x["conv_id"]: x for x in (own["joints"].iloc[0] if own["joints"].iloc[0] is not None else [])}
-        for _, g in own.groupby((own["conv_id"].fillna(-1).diff() != 0).cumsum()):
-            conv = None if pd.isna(g["conv_id"].iloc[0]) else int(g["conv_id"].iloc[0])
+        at = {_value(x["conv_id"]): x for x in (own["joints"].iloc[0] if own["joints"].iloc[0] is not None else [])}
+        for _, g in own.groupby(_runs(own["conv_id"])):
+            conv = _value(g["conv_id"].iloc[0])
             j = at.get(conv)
             chosen, last = repaired(g["role"].tolist(), known, j["enter"] if j else NONE, j["leave"] if j else None)
             for turn, text, (s, t, action, new) in zip(g["turn"], g["text"], chosen, strict=True):
-                turn, text = None if pd.isna(turn) else int(turn), text or ""
+                turn, text = _value(turn), text or ""
                 for k, m in enumerate(new):
                     rows.append((conv, turn, k, ROLES[m], "insert", "", opened(s, m, "")))
                 s = new[-1] if new else s
@@ -148,8 +152,19 @@ def format_chats(conversations: DataFrame) -> DataFrame:
                     rows[-1] = (*rows[-1][:-1], rows[-1][-1] + "<|end|>\n")
         return pd.DataFrame(rows, columns=["conv_id", "turn", "part", "role", "action", "text", "rendered"])
 
-    schema = "conv_id long, turn long, part int, role string, action string, text string, rendered string"
-    return turns.join(links, "chunk", "left").groupBy("chunk").applyInPandas(write, schema)
+    schema = "conv_id string, turn string, part int, role string, action string, text string, rendered string"
+    out = turns.join(links, "chunk", "left").groupBy("chunk").applyInPandas(write, schema)
+    return out.withColumns({x: F.col(x).cast(conversations.schema[x].dataType) for x in ("conv_id", "turn")})
+
+
+def _value(x) -> str | None:
+    return None if x is None or x != x else x
+
+
+def _runs(ids: pd.Series) -> pd.Series:
+    """Numbers of the runs of equal ids; null is an id of its own."""
+    own = ids.fillna("")
+    return (own != own.shift()).cumsum()
 
 
 def opened(before: int, role: int, text: str) -> str:
