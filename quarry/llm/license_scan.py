@@ -14,13 +14,11 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .shared import WordHashes, ngram_hashes, table, word_array
+from .shared import WordHashes, ngram_hashes, rows_of_texts, table, word_array
 
 WORD = re.compile(r"[^\W_]+")
 K, WINDOW, BAND = 3, 3, 8
@@ -197,13 +195,11 @@ class Templates:
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     texts = templates or TEMPLATES
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         own, cache = Templates(texts), WordHashes()
-        for b in batches:
-            rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for x in own.found(t, least, cache)]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "matched", "coverage", "start", "end"])
+        return lambda batch: ((k, *x) for k, t in enumerate(batch) for x in own.found(t, least, cache))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, license string, matched long, coverage double, start long, end long")
+    return rows_of_texts(docs, "doc_id", "text", "license string, matched long, coverage double, start long, end long", start)
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import rows_of_texts, stored, table
 
 #: Words whose ids a worker keeps; beyond that it starts anew.
 CACHE_WORDS = 600_000
@@ -115,17 +115,19 @@ def encoder_of(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            rows = []
-            for d, ids in zip(b["doc_id"], encoder.encode(b["text"].tolist()), strict=True):
+
+        def run(texts: list[str | None]) -> Iterator[tuple]:
+            for k, ids in enumerate(encoder.encode(texts)):
                 ids += end
                 n = len(ids) // 4
-                rows += [(d, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                for s in range(0, n, capacity):
+                    yield k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n
+
+        return run
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows_of_texts(docs, "doc_id", "text", "start long, length long, ids_crc32 long, doc_tokens long", start)
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:

@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +27,16 @@ from .shared import scratch_dir, table
 
 #: Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
+#: Bytes of records in a frame and of frames in a file; a file is held in memory while it is written or read.
+FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, frame int, frame_offset long, offset long, length long"
 
 
+TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def record(page_id, url: str | None, html: bytes, n_bytes: int, sha1: str, refers_to) -> bytes:
     """One WARC record; a revisit has no payload, its digest and size are those of the full one."""
     revisit = refers_to is not None
@@ -88,7 +93,7 @@ def read_record(data: bytes, frame: int, offset: int) -> tuple[dict[str, str], b
     return headers, raw[start:end].partition(b"\r\n\r\n")[2]
 
 
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _write(batches: Iterator[pa.RecordBatch], bundle_bytes: int = BUNDLE_BYTES) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=True)
     frames, raw, held = [], bytearray(), 0
 
@@ -99,28 +104,28 @@ def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held += len(frames[-1][0])
             raw = bytearray()
 
-    def out() -> pd.DataFrame:
+    def out() -> pa.RecordBatch:
         # The writer ends each row with the last byte of the seek table.
         nonlocal frames, held
         data, frames, held = bundle(frames), [], 0
-        return pd.DataFrame({"data": [data[:-1]]})
+        return pa.RecordBatch.from_pydict({"data": pa.array([data[:-1]], pa.binary())})
 
     for b in batches:
-        for page, url, html, n, sha1, to in zip(b["page_id"], b["url"], b["html"], b["n"], b["sha1"], b["to"], strict=True):
-            raw += record(None if pd.isna(page) else int(page), url, (html or "").encode("utf-8", "replace"), n, sha1, None if pd.isna(to) else int(to))
+        for page, url, html, n, sha1, to in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            raw += record(page, url, (html or "").encode("utf-8", "replace"), n, sha1, to)
             if len(raw) >= FRAME_BYTES:
                 close()
-            if held >= BUNDLE_BYTES:
+            if held >= bundle_bytes:
                 yield out()
     close()
     if frames:
         yield out()
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpress = zstandard.ZstdDecompressor()
     for b in batches:
-        for file, data in zip(b["path"], b["content"], strict=True):
+        for file, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
             rows = []
             for k, (at, packed, size) in enumerate(seek_table(data)):
                 raw, offset = unpress.decompress(data[at : at + packed], max_output_size=size), 0
@@ -132,10 +137,12 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     to = _page(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
                     rows.append((_page(h["WARC-Record-ID"]), url, int(h["WARC-Payload-Length"]), digest, h["WARC-Type"], to, file, k, at, offset, end - offset))
                     offset = end
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ_SCHEMA.split(", ")])
+            named = [x.split() for x in READ_SCHEMA.split(", ")]
+            made = [pa.array(x, TYPES[t]) for x, (_, t) in zip(zip(*rows, strict=True), named, strict=True)] if rows else [pa.array([], TYPES[t]) for _, t in named]
+            yield pa.RecordBatch.from_arrays(made, names=[x for x, _ in named])
 
 
-def write_bundles(pages: DataFrame, path: str, revisit_bytes: int = 1000) -> None:
+def write_bundles(pages: DataFrame, path: str, revisit_bytes: int = 1000, bundle_bytes: int = BUNDLE_BYTES) -> None:
     """Writes a record per row of pages (page_id, url, html) to bundle files under path."""
     html = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("n"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
@@ -143,14 +150,14 @@ def write_bundles(pages: DataFrame, path: str, revisit_bytes: int = 1000) -> Non
     own = own.withColumn("key", F.when(F.col("n") >= revisit_bytes, F.col("sha1")).otherwise(F.concat_ws("-", F.lit("short"), "page_id", "sha1")))
     first = own.where(F.col("n") >= revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("c")).where("c > 1").selectExpr("concat(sha1, '') as of", "largest")
     joined = own.join(first, own.key == first.of, "left").withColumn("to", F.expr("if(largest is null or page_id <=> largest, null, largest)"))
-    rows = joined.select("page_id", "url", "html", "n", "sha1", "to").mapInPandas(_write, "data binary")
+    rows = joined.select("page_id", "url", "html", "n", "sha1", "to").mapInArrow(lambda batches: _write(batches, bundle_bytes), "data binary")
     rows.select(F.col("data").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", "\x8f").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the bundles under path, with its place."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_read, READ_SCHEMA)
+    return files.mapInArrow(_read, READ_SCHEMA)
 
 
 def index_bundles(spark: SparkSession, path: str) -> DataFrame:
