@@ -1,7 +1,8 @@
 """HTML extraction: a linear-chain conditional random field over DOM leaf blocks, decoded by Viterbi.
 
 A page is cut into leaf blocks: text between block-level tags, inline tags ignored, character references decoded, white space
-runs turned into one space.  Scripts, styles, comments, the head and markup never become blocks.  A block's
+runs turned into one space.  Scripts, styles, form controls, drawings, comments and the title go without a trace, also from within a block;
+formulas and the fallback text of objects stay.  A block's
 features are its ancestors' tags and words of their class, id and role, and its own text (length, links, punctuation, digits).  The
 field has two labels, main and other; it is trained here on labelled pages (labelled_pages.py) and its weights
 go to the tasks, which score and decode each page.
@@ -26,9 +27,10 @@ from .shared import table
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|data-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "select", "option", "button", "math", "object")}
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "template", "svg", "iframe", "select", "option", "button")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp img br".split())
+MATH = frozenset("math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded semantics annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp img br".split()) | MATH | {"object"}
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -88,7 +90,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW and not m[3].endswith("/"):
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
-            if tag not in INLINE:
+            if tag == "title":
                 close()
             continue
         if tag == "br":
