@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency, in built-in functions only.
 
-Lines are normalised (lower case, white space runs to one space, trimmed) and hashed.  Per host (`source`; null counts as
-one host) the number of distinct documents that hold a line is counted; rows with the same text count as one document, so
+Lines are normalised (lower case, white space runs to one space, trimmed) and hashed.  Per host (`source`; null and the
+empty string are one host without a name) the number of distinct documents that hold a line is counted; rows with the same text count as one document, so
 that exact copies do not make each other's lines look like boilerplate.  A line is removed from the documents of a host when
 it stands in more than `max_docs` documents and in more than `max_share` of the host's documents.  A document is depleted
 when what remains has fewer than `min_words` words or less than `min_left` of its words.
@@ -74,32 +74,30 @@ def _normal(text: str) -> str:
     return f"transform(split(regexp_replace(lower(coalesce(`{text}`, '')), '[ \\\\t\\\\x0B\\\\f\\\\r]+', ' '), '\\n', -1), l -> trim(l))"
 
 
-def common_lines(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, common): each distinct text's distinct lines with their words, and the lines above both limits per host."""
+def common_lines(docs: DataFrame, copies: DataFrame, max_docs: int, max_share: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(lines, common): each distinct text's distinct lines with their words, and the lines above both limits per host.  copies: host, k1, k2, rows."""
     each = docs.select(F.coalesce("source", F.lit("")).alias("host"), *_keys(text), F.explode(F.expr(f"filter({_normal(text)}, l -> l != '')")).alias("l"))
     each = each.select("host", "k1", "k2", F.xxhash64("l").alias("h"), F.size(F.split("l", " ")).alias("w"))
     # Several rows of one text repeat its lines as often: n is divided out by the number of rows below.
     lines = each.groupBy("host", "h", "k1", "k2").agg(F.sum("w").alias("w"))
-    of_host = docs.select(F.coalesce("source", F.lit("")).alias("host"), *_keys(text)).distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
+    lines = stored(lines, "lines")
+    of_host = copies.groupBy("host").agg(F.count("*").alias("n_docs"))
     found = lines.groupBy("host", "h").agg(F.count("*").alias("c")).where(F.col("c") > max_docs)
     common = found.join(of_host, "host").where(F.col("c") > max_share * F.col("n_docs")).select("host", "h")
     return lines, common
 
 
-def removed_lines(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> DataFrame:
-    """(host, k1, k2): the hashes of the removed lines (gone) and the words in them, over all rows of that text (gone_words)."""
-    lines, common = common_lines(docs, max_docs, max_share, text)
+def _judged(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> DataFrame:
+    """One row for each distinct text of a host that lost lines: host, k1, k2 and the words lost by one row."""
+    copies = stored(docs.groupBy(F.coalesce("source", F.lit("")).alias("host"), *_keys(text)).agg(F.count("*").alias("rows")), "copies")
+    lines, common = common_lines(docs, copies, max_docs, max_share, text)
     # Both sides are keyed by an expression, so both are exchanged and the rows of a very common line can be split.
     common = common.select(F.xxhash64("host", "h").alias("line"), F.col("host").alias("of"), F.col("h").alias("same"))
     hit = lines.withColumn("line", F.xxhash64("host", "h")).join(common, "line").where("host = of and h = same")
-    return hit.groupBy("host", "k1", "k2").agg(F.collect_set("h").alias("gone"), F.sum("w").alias("gone_words"))
-
-
-def _judged(docs: DataFrame, max_docs: int, max_share: float, min_words: int, min_left: float, text: str = "text") -> DataFrame:
-    """One row for each distinct text of a host that lost lines: host, k1, k2, gone and the words lost by one row."""
-    copies = docs.groupBy(F.coalesce("source", F.lit("")).alias("host"), *_keys(text)).agg(F.count("*").alias("rows"))
-    gone = removed_lines(docs, max_docs, max_share, text)
-    return gone.join(copies, ["host", "k1", "k2"]).selectExpr("host as g_host", "k1 as g1", "k2 as g2", "gone", "gone_words div rows as gone_words")
+    gone = stored(hit.groupBy("host", "k1", "k2").agg(F.sum("w").alias("gone_words")).join(copies, ["host", "k1", "k2"]).selectExpr("host as g_host", "k1 as g1", "k2 as g2", "gone_words div rows as gone_words"), "gone")
+    for x in (lines, copies):
+        discard(x)
+    return gone
 
 
 def _gone_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> DataFrame:
@@ -112,14 +110,14 @@ def _gone_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text:
     """
     each = docs.select(F.coalesce("source", F.lit("")).alias("host"), *_keys(text), F.explode(F.expr(f"filter({_normal(text)}, l -> l != '')")).alias("l"))
     each = each.select("host", "k1", "k2", F.xxhash64("l").alias("h"), F.size(F.split("l", " ")).alias("w"))
-    lines = each.groupBy("host", "h", "k1", "k2").agg(F.sum("w").alias("w"))
+    lines = stored(each.groupBy("host", "h", "k1", "k2").agg(F.sum("w").alias("w")), "lines")
     trimmed = f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM coalesce(`{text}`, ''))"
     copies = docs.select(F.coalesce("source", F.lit("")).alias("host"), *_keys(text), F.expr(f"if({trimmed} = '', 0, size(split({trimmed}, '{WS}+')))").alias("words"))
     copies = stored(copies.groupBy("host", "k1", "k2").agg(F.count("*").alias("rows"), F.first("words").alias("words")), "copies")
     of_host = copies.groupBy("host").agg(F.count("*").alias("n_docs"))
     often = lines.groupBy("host", "h").agg(F.count("*").alias("c")).where(F.col("c") > max_docs)
     often = often.join(of_host, "host").selectExpr("xxhash64(host, h) as line", "host as of", "h as same", "c", f"c > {max_share} * n_docs as above")
-    # As in removed_lines(), a very common line can be split.
+    # As in _judged(), a very common line can be split.
     held = lines.withColumn("line", F.xxhash64("host", "h")).join(often, "line").where("host = of and h = same").drop("of", "same")
     held = stored(held.select("host", "k1", "k2", "h", "line", "w", "c", "above"), "held-lines")
 
@@ -137,14 +135,14 @@ def _gone_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text:
     common = common.selectExpr("xxhash64(host, h) as line", "host as of", "h as same")
     hit = held.join(common, "line").where("host = of and h = same").groupBy(*texts).agg(F.collect_set("h").alias("gone"), F.sum("w").alias("gone_words"))
     out = stored(hit.join(copies, texts).selectExpr("host as g_host", "k1 as g1", "k2 as g2", "gone", "gone_words div rows as gone_words"), "gone")
-    for x in (copies, held, near, part):
+    for x in (lines, copies, held, near, part):
         discard(x)
     return out
 
 
 def line_rules(docs: DataFrame, max_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
     """Per row of docs (doc_id, text, source): the base counts, base_failed, n_removed_words, depleted and kept."""
-    gone = _judged(docs, max_docs, max_share, min_words, min_left).select(F.xxhash64("g_host", "g1", "g2").alias("t"), "g_host", "g1", "g2", "gone_words")
+    gone = _judged(docs, max_docs, max_share).select(F.xxhash64("g_host", "g1", "g2").alias("t"), "g_host", "g1", "g2", "gone_words")
     base = with_base(docs).withColumn("t", F.xxhash64("host", "k1", "k2"))
     out = base.join(gone, (base.t == gone.t) & (base.host == gone.g_host) & (base.k1 == gone.g1) & (base.k2 == gone.g2), "left")
     left = "n_words - coalesce(gone_words, 0)"

@@ -1,6 +1,7 @@
 import base64
 import bz2
 import gzip
+import itertools
 import lzma
 import random
 import re
@@ -256,6 +257,9 @@ def test_html_extract(spark):
     out = html_extract.extract(rows).collect()
     assert out[0]["text"] == "Title & more\nFirst bold text.\nSecond part, with several words in it."
     assert [r["n_chars"] for r in out[1:3]] == [0, 0] and len(out) == 5
+    assert html_extract.extract(rows.where("false")).count() == 0
+    inside = "<p>First <script>x('<p>')</script>and <svg><text>no</text></svg>second <math><mi>x</mi><mo>=</mo><mn>2</mn></math><object>fallback</object></p><p>Next"
+    assert [b.text for b in html_extract.blocks(inside)] == ["First and second x=2fallback", "Next"]
     field = html_extract.trained()
     from quarry.llm.labelled_pages import _Maker
 
@@ -268,6 +272,20 @@ def test_html_extract(spark):
     assert right > 0.97 * total
 
 
+def test_viterbi_against_all_labellings():
+    r = random.Random(6)
+    for _ in range(40):
+        names = [[f"f{r.randrange(8)}" for _ in range(3)] for _ in range(r.randrange(1, 9))]
+        field = html_extract.Field({f"f{k}": k for k in range(7)}, np.array([[r.gauss(0, 1), r.gauss(0, 1)] for _ in range(7)]), np.array([[r.gauss(0, 1), r.gauss(0, 1)] for _ in range(2)]))
+
+        def score(labels, names=names, field=field):
+            own = sum(field.w[field.names[f]][y] for x, y in zip(names, labels, strict=True) for f in x if f in field.names)
+            return own + sum(field.t[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+        best = max(itertools.product((0, 1), repeat=len(names)), key=score)
+        assert abs(score(field.decode(names)) - score(best)) < 1e-9
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>" * 400
     pages = [(1, "http://a/\n%", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", "x" * 600_000), (2**60 + 1, "u", "long id")]
