@@ -25,43 +25,60 @@ SPANS = {
     "java": rf'{C_COMMENT}|""".*?(?:"""|\Z)|{STRING}|{CHARS}',
     "scala": rf'//[^\n]*|""".*?(?:"""|\Z)|{STRING}|\'(?:\\[^\n]{{1,6}}|[^\'\\\n])\'',
 }
+HOLDERS = ("class", "interface", "trait", "struct", "enum", "object", "impl")
 NESTED = ("rust", "scala")  # block comments nest
 SPAN = {k: re.compile(v, re.S) for k, v in SPANS.items()}
 ID = r"[A-Za-z_$][\w$]*"
 MODS = r"(?:(?:pub(?:\([^)]*\))?|export|default|declare|async|unsafe|extern|const|public|private|protected|static|final|abstract|override|sealed|case|implicit|lazy|inline|synchronized|native|strictfp)\s+)*"
+START = r"(?:^|(?<=[;{}\]]))[ \t]*+"  # a definition begins a line or follows another one, a brace or an attribute
 # kind, pattern with group "name"; the first kind that takes a definition wins.
 DEFINITIONS = {
     "python": [("class", rf"^[ \t]*class\s+(?P<name>{ID})"), ("function", rf"^[ \t]*(?:async\s+)?def\s+(?P<name>{ID})")],
     "rust": [
-        ("function", rf"^[ \t]*{MODS}fn\s+(?P<name>{ID})"), ("struct", rf"^[ \t]*{MODS}struct\s+(?P<name>{ID})"), ("enum", rf"^[ \t]*{MODS}enum\s+(?P<name>{ID})"),
-        ("trait", rf"^[ \t]*{MODS}trait\s+(?P<name>{ID})"), ("type", rf"^[ \t]*{MODS}type\s+(?P<name>{ID})"), ("module", rf"^[ \t]*{MODS}mod\s+(?P<name>{ID})"),
-        ("constant", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>(?!fn\b){ID})\s*:"),
+        ("function", rf"{START}{MODS}fn\s+(?P<name>{ID})"), ("struct", rf"{START}{MODS}struct\s+(?P<name>{ID})"), ("enum", rf"{START}{MODS}enum\s+(?P<name>{ID})"),
+        ("trait", rf"{START}{MODS}trait\s+(?P<name>{ID})"), ("type", rf"{START}{MODS}type\s+(?P<name>{ID})"), ("module", rf"{START}{MODS}mod\s+(?P<name>{ID})"),
+        ("constant", rf"{START}(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>(?!fn\b){ID})\s*:"),
     ],
     "go": [
         ("method", rf"^func\s*\([^)]*\)\s*(?P<name>{ID})"), ("function", rf"^func\s+(?P<name>{ID})"), ("struct", rf"^[ \t]*(?:type\s+)?(?P<name>{ID})(?:\[[^\]]*\])?\s+struct\b"),
         ("interface", rf"^[ \t]*(?:type\s+)?(?P<name>{ID})(?:\[[^\]]*\])?\s+interface\b"), ("type", rf"^type\s+(?P<name>{ID})\b(?!\s+(?:struct|interface)\b)"), ("constant", rf"^(?:const|var)\s+(?P<name>{ID})"),
     ],
     "java": [
-        ("interface", rf"^[ \t]*{MODS}@?interface\s+(?P<name>{ID})"), ("enum", rf"^[ \t]*{MODS}enum\s+(?P<name>{ID})"), ("class", rf"^[ \t]*{MODS}class\s+(?P<name>{ID})"),
-        ("method", rf"^[ \t]*{MODS}(?:<[^>\n]*>\s*)?(?!return\b|new\b|else\b|throw\b)[\w$.<>\[\],? ]*[\w$>\]]\s+(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b){ID})\s*\([^;{{}}]*\)\s*(?:throws[\w$., ]+)?(?=[{{;])"),
+        ("interface", rf"{START}{MODS}@?interface\s+(?P<name>{ID})"), ("enum", rf"{START}{MODS}enum\s+(?P<name>{ID})"), ("class", rf"{START}{MODS}class\s+(?P<name>{ID})"),
+        ("method", rf"{START}(?!(?:(?:public|private|protected)\s+)?{ID}\s*\(){MODS}(?:<[^>\n]*>\s*)?(?!return\b|new\b|else\b|throw\b)[\w$.<>\[\],? ]*[\w$>\]]\s+(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b){ID})\s*\([^;{{}}]*\)\s*(?:throws[\w$., ]+)?(?=[{{;])"),
     ],
-    "scala": [("trait", rf"^[ \t]*{MODS}trait\s+(?P<name>{ID})"), ("class", rf"^[ \t]*{MODS}class\s+(?P<name>{ID})"), ("function", rf"^[ \t]*{MODS}def\s+(?P<name>{ID})"), ("type", rf"^[ \t]*{MODS}type\s+(?P<name>{ID})")],
+    "scala": [("trait", rf"{START}{MODS}trait\s+(?P<name>{ID})"), ("class", rf"{START}{MODS}class\s+(?P<name>{ID})"), ("function", rf"{START}{MODS}def\s+(?P<name>{ID})"), ("type", rf"{START}{MODS}type\s+(?P<name>{ID})")],
 }
 SCRIPT = [
-    ("class", rf"^[ \t]*{MODS}class\s+(?P<name>{ID})"), ("function", rf"^[ \t]*{MODS}function\s*\*?\s*(?P<name>{ID})"),
-    ("constant", rf"^[ \t]*{MODS}(?:const|let|var)\s+(?P<name>{ID})(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:\([^)]*\)(?:\s*:[^=\n]+)?|{ID})\s*=>"),
-    ("method", rf"^[ \t]+{MODS}(?:get\s+|set\s+)?(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b){ID})\s*\([^;{{}}()]*\)\s*(?::[^={{\n]+)?(?=\{{)"),
+    ("class", rf"{START}{MODS}class\s+(?P<name>{ID})"), ("function", rf"{START}{MODS}function\s*\*?\s*(?P<name>{ID})"),
+    ("constant", rf"{START}{MODS}(?:const|let|var)\s+(?P<name>{ID})(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:\([^)]*\)(?:\s*:[^=\n]+)?|{ID})\s*=>"),
+    ("method", rf"(?:^[ \t]+|(?<=[;{{}}])[ \t]*){MODS}(?:get\s+|set\s+)?(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b){ID})\s*\([^;{{}}()]*\)\s*(?::[^={{\n]+)?(?=\{{)"),
 ]
 DEFINITIONS["javascript"] = SCRIPT
-DEFINITIONS["typescript"] = [*SCRIPT, ("interface", rf"^[ \t]*{MODS}interface\s+(?P<name>{ID})"), ("enum", rf"^[ \t]*{MODS}enum\s+(?P<name>{ID})"), ("type", rf"^[ \t]*{MODS}type\s+(?P<name>{ID})\s*[=<]")]
+DEFINITIONS["typescript"] = [*SCRIPT, ("interface", rf"{START}{MODS}interface\s+(?P<name>{ID})"), ("enum", rf"{START}{MODS}enum\s+(?P<name>{ID})"), ("type", rf"{START}{MODS}type\s+(?P<name>{ID})\s*[=<]")]
 DEFINITION = {k: [(kind, re.compile(p, re.M)) for kind, p in v] for k, v in DEFINITIONS.items()}
 CALL = re.compile(rf"(?P<name>{ID})\s*(?:::\s*<[^>()]*>\s*)?\(")
 MACRO = re.compile(rf"(?P<name>{ID})!\s*[(\[{{]")
-NOT_CALLS = frozenset("if for while switch catch return match fn def func function elif else and or not in is lambda with assert del yield await print_ sizeof typeof super this new class struct impl loop move case throw synchronized do try raise except import from as pub use where type var val let const interface trait enum object".split()) - {"print_"}
+#: Words that stand before a bracket without being called.
+NOT_CALLS = {
+    "python": frozenset("if elif else for while return and or not in is lambda with assert del yield await except import from as raise try def class".split()),
+    "rust": frozenset("if for while match return fn in loop move as let mut ref else impl where unsafe async await dyn pub crate extern use type const static".split()),
+    "go": frozenset("if for switch return func go defer select case range chan map interface struct else type var const import".split()),
+    "java": frozenset("if for while switch catch return synchronized try throw else do assert super this case instanceof".split()),
+    "scala": frozenset("if for while match case catch return yield else do throw try def class object trait extends with".split()),
+    "javascript": frozenset("if for while switch catch return function typeof void delete instanceof in of await yield super import throw else do with async case".split()),
+}
+NOT_CALLS["typescript"] = NOT_CALLS["javascript"]
+CONSTRUCTOR = re.compile(rf"{START}(?:(?:public|private|protected)\s+)?(?P<name>{ID})\s*\([^;{{}}]*\)\s*(?:throws[\w$., ]+)?(?=\{{)", re.M)
+NEW = re.compile(r"\bnew\s+(?:[\w$]+\s*\.\s*)*\Z")
+GROUP = re.compile(r"^(?P<what>const|var|type)\s*\(", re.M)
+SPEC = re.compile(rf"[ \t]*(?P<names>{ID}(?:\s*,\s*{ID})*)(?P<rest>[^\n]*)")
 BIND = {
-    "python": [rf"(?P<n>{ID}(?:\s*,\s*{ID})*)\s*(?::[^=\n]+)?=(?![=])", rf"\bfor\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)\)?\s+in\b", rf"\bas\s+(?P<n>{ID})\s*[,:)]"],
-    "rust": [rf"\blet\s+(?:mut\s+)?(?:{ID})?\(?(?P<n>(?:mut\s+)?{ID}(?:\s*,\s*(?:mut\s+)?{ID})*)\)?\s*(?::[^=;\n]+)?[=;]", rf"\bfor\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)\)?\s+in\b", rf"\b(?:if|while)\s+let\s+{ID}\((?P<n>{ID})\)"],
-    "go": [rf"(?P<n>{ID}(?:\s*,\s*{ID})*)\s*:=", rf"\bvar\s+(?P<n>{ID})"],
+    "python": [
+        rf"(?:^|;)[ \t]*(?P<n>[(\[]?\s*\*?{ID}(?:\s*,\s*[(\[]?\*?{ID}[)\]]?)*\s*,?\s*[)\]]?)\s*(?::[^=\n]+)?=(?!=)", rf"(?<![=!<>+*/%&|^@:-])=\s*(?P<n>{ID}(?:\s*,\s*{ID})*)\s*=(?!=)", rf"(?P<n>{ID})\s*:=", rf"\bfor\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)\)?\s+in\b", rf"\bas\s+(?P<n>{ID})\s*[,:)]",
+    ],
+    "rust": [rf"\blet\s+(?:mut\s+)?(?:{ID})?\(?(?P<n>(?:mut\s+)?{ID}(?:\s*,\s*(?:mut\s+)?{ID})*)\)?\s*(?::[^=;\n]+)?[=;]", rf"\bfor\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)\)?\s+in\b", rf"\b(?:if|while)\s+let\s+(?:{ID}::)*{ID}\(\s*(?P<n>(?:ref\s+)?(?:mut\s+)?{ID}(?:\s*,\s*{ID})*)\s*\)", rf"\blet\s+(?:{ID}::)*{ID}\s*\{{\s*(?P<n>{ID}(?:\s*,\s*{ID})*)\s*(?:,\s*\.\.\s*)?\}}\s*="],
+    "go": [rf"(?P<n>{ID}(?:\s*,\s*{ID})*)\s*:=", rf"\bvar\s+(?P<n>{ID}(?:\s*,\s*{ID})*)"],
     "java": [rf"(?:^|[;{{(])\s*(?:final\s+)?(?!return\b|new\b|throw\b|else\b)[A-Za-z_$][\w$.<>\[\],]*\s+(?P<n>{ID})\s*(?:=(?!=)|;|:)"],
     "scala": [rf"\b(?:val|var)\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)"],
 }
@@ -105,6 +122,16 @@ def _masked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[done:]
 
 
+def _depths(mask: str):
+    """Whether a place lies within brackets."""
+    at, depth, d = [], [0], 0
+    for m in re.finditer(r"[()\[\]{}]", mask):
+        d = max(0, d + (1 if m[0] in "([{" else -1))
+        at.append(m.start())
+        depth.append(d)
+    return lambda k: depth[bisect_right(at, k - 1)] > 0
+
+
 def _closing(mask: str) -> dict[int, int]:
     """Place after the matching brace of each opening one."""
     open_, out = [], {}
@@ -158,6 +185,47 @@ def _end(mask: str, language: str, start: int, after: int, braces: dict[int, int
     return len(mask.rstrip())
 
 
+def _go_groups(mask: str, found: dict[int, tuple]) -> None:
+    """Adds the names of const ( ... ), var ( ... ) and type ( ... ), and of further names in const A, B."""
+    for m in GROUP.finditer(mask):
+        depth, k = 0, m.end()
+        while k < len(mask) and (depth or mask[k] != ")"):
+            end = mask.find("\n", k)
+            end = len(mask) if end < 0 else end
+            if not depth and (own := SPEC.match(mask, k, end)):
+                kind = "constant" if m["what"] != "type" else "struct" if re.match(r"(?:\[[^\]]*\])?\s*struct\b", own["rest"]) else "interface" if re.match(r"(?:\[[^\]]*\])?\s*interface\b", own["rest"]) else "type"
+                for w in re.finditer(ID, own["names"]):
+                    at = own.start("names") + w.start()
+                    found.setdefault(at, (w[0], kind, at, k + len(mask[k:end].rstrip())))
+            for c in mask[k:end]:
+                depth += (c in "([{") - (c in ")]}")
+                if depth < 0:
+                    break
+            k = end + 1
+            if depth < 0:
+                break
+            while k < len(mask) and not depth and mask[k] in " \t\n":
+                k += 1
+    for m in re.finditer(rf"^(?:const|var)[ \t]+{ID}(?P<more>(?:[ \t]*,[ \t]*{ID})+)", mask, re.M):
+        end = mask.find("\n", m.end())
+        for w in re.finditer(ID, m["more"]):
+            found.setdefault(m.start("more") + w.start(), (w[0], "constant", m.start(), len(mask) if end < 0 else end))
+
+
+def _further(mask: str, at: int) -> list[tuple[int, str]]:
+    """Names of the further declarators after one that ends at a place: int x = 1, y = 2."""
+    out, depth, k = [], 0, at
+    while k < len(mask):
+        c = mask[k]
+        depth += (c in "([{") - (c in ")]}")
+        if depth < 0 or not depth and c == ";" or not depth and c == "\n" and not mask[at:k].rstrip().endswith(","):
+            break
+        if not depth and c == "," and (m := re.compile(rf"\s*({ID})\s*(?=[=,;:\n]|\Z)").match(mask, k + 1)):
+            out.append((m.start(1), m[1]))
+        k += 1
+    return out
+
+
 def code_facts(text: str, language: str) -> dict:
     """symbols, calls, variables, spans and line starts of a text; all positions are bytes."""
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
@@ -186,29 +254,40 @@ def code_facts(text: str, language: str) -> dict:
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             end = _end(mask, language, start, m.end(), braces, starts)
             found[m.start("name")] = (m["name"], kind, start, end)
-    own = sorted(found.values(), key=lambda x: (x[2], -x[3]))
+    if language == "go":
+        _go_groups(mask, found)
+    own = list(found.values())
     if language == "scala":
         own += [(m["name"], "object", m.start(), _end(mask, language, m.start(), m.end(), braces, starts)) for m in re.finditer(rf"\bobject\s+(?P<name>{ID})", mask)]
-    impls = [(m["name"], m.start(), _end(mask, language, m.start(), m.end(), braces, starts)) for m in IMPL.finditer(mask)] if language == "rust" else []
-    holders = [(n, s, e) for n, k, s, e in own if k in ("class", "interface", "trait", "struct", "enum", "object")] + impls
+    if language == "rust":
+        own += [(m["name"], "impl", m.start(), _end(mask, language, m.start(), m.end(), braces, starts)) for m in IMPL.finditer(mask)]
     names = set(found)
-    symbols, functions = [], []
-    for name, kind, start, end in own:
-        if kind == "object":
+    symbols, functions, around = [], [], []  # around: what is open at a place, outermost first
+    for name, kind, start, end in sorted(own, key=lambda x: (x[2], -x[3])):
+        while around and around[-1][2] <= start:
+            around.pop()
+        holders = [x for x in around if x[1] in HOLDERS and end <= x[2]]
+        parent = holders[-1][0] if holders else None
+        if kind == "function" and parent and language in ("python", "rust") and next(x for x in reversed(around) if end <= x[2])[1] in HOLDERS:
+            kind = "method"
+        around.append((name, kind, end))
+        if kind in ("object", "impl"):
             continue
-        held = [h for h in holders if h[1] < start and end <= h[2]]
-        parent = min(held, key=lambda h: h[2] - h[1])[0] if held else None
-        if kind == "function" and held and language in ("python", "rust"):
-            inside = [f for f in functions if f[0] < start and end <= f[1]]
-            kind = "function" if inside and max(f[0] for f in inside) > max(h[1] for h in held) else "method"
         if kind in ("function", "method"):
             functions.append((start, end))
         signature = text[start:end].split("\n", 1)[0].removesuffix("\r")
         symbols.append({"name": name, "kind": kind, "start_byte": at(start), "end_byte": at(end), "start_line": line(start), "end_line": line(max(start, end - 1)), "signature": signature, "parent": parent if kind in ("function", "method") else None})
     calls = []
     patterns = (CALL, MACRO) if language == "rust" else (CALL,)
+    built = {m.start("name") for m in CONSTRUCTOR.finditer(mask)} if language == "java" else ()
     for m in sorted((m for p in patterns for m in p.finditer(mask)), key=lambda m: m.start()):
-        if m["name"] in NOT_CALLS or m.start("name") in names or language == "scala" and re.search(r"\b(?:class|object|trait)\s+\Z", mask[max(0, m.start() - 12) : m.start()]):
+        k = m.start("name")
+        while k and mask[k - 1].isspace():
+            k -= 1
+        member = mask[max(0, k - 2) : k] in ("::", "?.") or mask[k - 1 : k] == "." and mask[max(0, k - 2) : k] != ".."
+        if m["name"] in NOT_CALLS[language] and not member or m.start("name") in names or m.start("name") in built or language in ("javascript", "typescript") and (m["name"] == "new" and not member or NEW.search(mask, max(0, m.start() - 200), m.start())):
+            continue
+        if language == "scala" and re.search(r"\b(?:class|object|trait)\s+\Z", mask[max(0, m.start() - 12) : m.start()]):
             continue
         k = line(m.start())
         whole = text[starts[k - 1] : starts[k] - 1 if k < len(starts) else len(text)]
@@ -231,15 +310,20 @@ def code_facts(text: str, language: str) -> dict:
                 if c == "," and depth <= 0 or i == k - 1:
                     part = mask[piece:i]
                     words = re.findall(ID, re.split(r"[:=]", part, maxsplit=1)[0]) if language != "java" else re.findall(ID, part)[-1:]
-                    words = words[:1] if language == "go" else words[-1:]
+                    words = words[:1] if language == "go" else words if part.strip()[:1] in ("{", "[") else words[-1:]
                     for w in words:
-                        variables[piece + max(0, part.find(w))] = w
+                        variables[piece + max(0, re.search(rf"(?<![\w$]){re.escape(w)}(?![\w$])", part).start())] = w
                     piece = i + 1
-    for p in BINDINGS[language]:
+    nested = _depths(mask) if language == "python" else None
+    for j, p in enumerate(BINDINGS[language]):
         for m in p.finditer(mask):
+            if nested and j < 2 and nested(m.start("n")):
+                continue  # a keyword argument
             for w in re.finditer(ID, m["n"]):
-                if w[0] not in ("mut", "let", "var", "const"):
+                if w[0] not in ("mut", "let", "var", "const", "ref"):
                     variables[m.start("n") + w.start()] = w[0]
+            if language in ("java", "javascript", "typescript") and m["n"].strip().isidentifier():
+                variables.update(_further(mask, m.end("n")))
     return {
         "symbols": symbols, "calls": calls, "variables": [{"name": v, "pos": at(k)} for k, v in sorted(variables.items())],
         "spans": [{"start": at(s), "end": at(e)} for s, e in spans], "lines": [at(k) for k in starts],

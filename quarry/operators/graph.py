@@ -57,7 +57,11 @@ def tests_of(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return own.select("project", "path", "name", "start_line", "signature", byte_slice(F.col("content"), F.col("start_byte"), F.least("end_byte", F.octet_length("content"))).alias("body"))
 
 
-def find_tests(symbols: DataFrame, files: DataFrame, name: str, limit: int = 20) -> DataFrame:
+def find_tests(symbols: DataFrame, files: DataFrame, name: str, limit: int = 20, path: str | None = None) -> DataFrame:
+    """The first tests whose bodies hold the name.  With a path only the projects count in which that file defines the symbol."""
+    if path is not None:
+        known = symbols.where((F.col("name") == name) & (F.col("path") == path)).select("project").distinct()
+        symbols = symbols.join(known, "project", "left_semi")
     found = tests_of(symbols, files).where(F.contains("body", F.lit(name))).select("project", "path", "name", "start_line", "signature")
     return found.orderBy("project", "path", "start_line", "name").limit(limit)
 

@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a new table under spark.checkpoint.dir (a temporary folder only where that is unset) and reads it back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir (in local mode a temporary one where that is unset)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path, schema = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", df.schema
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes df to a new scratch table and reads it back."""
+    spark = df.sparkSession
+    path, schema = scratch_path(spark, name), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

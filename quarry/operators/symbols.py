@@ -25,8 +25,9 @@ def _facts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 
 
 def with_facts(files: DataFrame) -> DataFrame:
-    """files with the column facts; narrow, so store its result when several operators need it."""
-    return files.where("content is not null").withColumn("facts", F.pandas_udf(_facts, FACTS)("content", "language"))
+    """files with the column facts; narrow, so store its result when several operators need it.  Marked as nondeterministic, so that
+    Spark infers no filter on what is exploded from it, which would run the lexer a second time."""
+    return files.where("content is not null").withColumn("facts", F.pandas_udf(_facts, FACTS).asNondeterministic()("content", "language"))
 
 
 def _facts_of(files: DataFrame) -> DataFrame:

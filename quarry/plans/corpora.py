@@ -76,7 +76,7 @@ def _lang(key, values: dict[str, str] | None = None):
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated source files: project, path, language, content; one per part, supplier and tenth order, and SQL files."""
+    """Generated source files: project, path, language, content; one per part, supplier and order, and SQL files."""
     items = table(spark, sf_dir, "lineitem")
     order = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
     part_calls = items.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat(F.lit("supply_"), "l_suppkey", F.lit("(x)")).alias("c")))), lambda x: x["c"]).alias("calls"))
@@ -86,7 +86,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     suppliers = table(spark, sf_dir, "supplier")
     supply = suppliers.select(F.lit("parts").alias("project"), F.concat(F.lit("lib/supply_"), s, F.lit("."), _lang(s, EXT)).alias("path"), _lang(s).alias("language"), _source(F.concat(F.lit("supply_"), s), F.array().cast("array<string>"), s).alias("content"))
-    test_calls = items.where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("o"), F.concat(F.lit("make_part_"), "l_partkey", F.lit("(x)")).alias("c")))), lambda x: x["c"]).alias("calls"))
+    test_calls = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("o"), F.concat(F.lit("make_part_"), "l_partkey", F.lit("(x)")).alias("c")))), lambda x: x["c"]).alias("calls"))
     o = F.col("l_orderkey")
     body = F.array_join(F.transform("calls", lambda c: F.concat(F.lit("    "), c, F.lit("\n"))), "")
     tests = test_calls.select(F.lit("parts").alias("project"), F.concat(F.lit("tests/test_order_"), o, F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("# supply_0(x)\ndef test_order_"), o, F.lit("(x):\n"), body).alias("content"))
@@ -99,7 +99,7 @@ parts as (select p_partkey, 'src/' || lower(replace(p_brand, '#', '')) || '/part
   where p_partkey in (select l_partkey from lineitem)),
 supps as (select s_suppkey, 'lib/supply_' || s_suppkey || '.' || e[s_suppkey % 7 + 1] as path, l[s_suppkey % 7 + 1] as language from supplier, langs),
 items as (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as pos from lineitem),
-titems as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) as pos from lineitem where l_orderkey % 10 = 0),
+titems as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) as pos from lineitem),
 defs as (select path, language, 'make_part_' || p_partkey as name, (case when language = 'java' then 3 else 2 end) as start_line, n from parts join (select l_partkey, count(*) as n from lineitem group by 1) on l_partkey = p_partkey
   union all select path, language, 'supply_' || s_suppkey, (case when language = 'java' then 3 else 2 end), 0 from supps
   union all select 'tests/test_order_' || l_orderkey || '.py', 'python', 'test_order_' || l_orderkey, 2, count(*) from titems group by l_orderkey),
@@ -123,6 +123,59 @@ def mark_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("'docs' as project", "concat('d', user_id) as path", "cast(ts as timestamp) as ts", "event_id as seq", f"{_pick(marks, 'cast(floor(value) as bigint) % 8')} as mark")
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.selectExpr("'live' as project", "concat('src/f', user_id, '.py') as path", "cast(ts as timestamp) as ts", "if(event_type = 'error', 'delete', 'change') as op", "cast(octet_length(props) as bigint) as size", "cast(ts as timestamp) as modified", "props as content")
+    return e.selectExpr("'live' as project", "concat('src/f', user_id, '.py') as path", "cast(ts as timestamp) as ts", "if(event_type = 'error', 'delete', 'change') as op", "cast(octet_length(props) as bigint) as size", "cast(ts as timestamp) as modified", "props as content", *more)
+
+
+#: A file of each language with the shapes that the generated corpus lacks; N is a supplier's key.
+SHAPES = {
+    "python": "import re\n\n\nclass ShapeN:\n    def match_all(self, text, *rest, limit=3):\n        (first, last) = re.match(text), type(text)\n        for k, part in rest:\n            first.new(key=k)\n        return last\n\n    def match_all(self):\n        return self.twin()\n\n\ndef twin(a, b: int = 2): return a.switch(b)\n",
+    "rust": "struct ShapeN { a: i32 }\nimpl ShapeN {\n    pub fn build(&self, key: i32) -> i32 {\n        let (x, mut y) = Pair::new(key);\n        y.try_into();\n        String::from(x); vec![1]\n    }\n}\nfn twin() { s.match_it(1) } fn other(z: i32) { if (z) > 1 { twin() } }\nconst LIMIT: i32 = 3;\n",
+    "typescript": "export class ShapeN {\n  build(text: string) { const x = 1, y = 2; return Array.from(text) }\n  other() { p.catch(e); return new Date(1) }\n}\ninterface ViewN { a: number }\nconst twin = (q: number) => q.match(1)\n",
+    "javascript": "class ShapeN { build(text) { return text.match(1) } other() { let { b, c } = this.from(2) } }\nfunction twin(a) { if (a) { p.catch(a) } }\n",
+    "go": "package main\n\nconst (\n\tFirst = 1\n\tSecond, Third = 2, 3\n)\n\ntype ShapeN struct {\n\ta int\n}\n\nfunc (s ShapeN) Build(key int) {\n\tx, y := s.Range(key)\n\tvar z int\n\tuse(x, y, z)\n}\n\nfunc twin() {}\n",
+    "java": "public class ShapeN {\n  public ShapeN(int a) { this.from(a); }\n  int build(String text) { int x = 1, y = 2; for (String t : list) { t.match(x); } return new ShapeN(y).of(); }\n} class TwinN { void run(){} void stop(){} }\n",
+    "scala": "object ShapeN {\n  def build(text: Int) = { val x = text.from(1); x.match_it(2) }\n  def one = 1; def two(a: Int) = one\n}\ntrait ViewN\n",
+}
+#: What holds of them: (name, kind, first line, last line, parent), (callee, line), (function, its first line, variable).
+SHAPE_SYMBOLS = {
+    "python": [("ShapeN", "class", 4, 12, None), ("match_all", "method", 5, 9, "ShapeN"), ("match_all", "method", 11, 12, "ShapeN"), ("twin", "function", 15, 15, None)],
+    "rust": [("ShapeN", "struct", 1, 1, None), ("build", "method", 3, 7, "ShapeN"), ("twin", "function", 9, 9, None), ("other", "function", 9, 9, None), ("LIMIT", "constant", 10, 10, None)],
+    "typescript": [("ShapeN", "class", 1, 4, None), ("build", "method", 2, 2, "ShapeN"), ("other", "method", 3, 3, "ShapeN"), ("ViewN", "interface", 5, 5, None), ("twin", "constant", 6, 6, None)],
+    "javascript": [("ShapeN", "class", 1, 1, None), ("build", "method", 1, 1, "ShapeN"), ("other", "method", 1, 1, "ShapeN"), ("twin", "function", 2, 2, None)],
+    "go": [("First", "constant", 4, 4, None), ("Second", "constant", 5, 5, None), ("Third", "constant", 5, 5, None), ("ShapeN", "struct", 8, 10, None), ("Build", "method", 12, 16, None), ("twin", "function", 18, 18, None)],
+    "java": [("ShapeN", "class", 1, 4, None), ("build", "method", 3, 3, "ShapeN"), ("TwinN", "class", 4, 4, None), ("run", "method", 4, 4, "TwinN"), ("stop", "method", 4, 4, "TwinN")],
+    "scala": [("build", "function", 2, 2, "ShapeN"), ("one", "function", 3, 3, "ShapeN"), ("two", "function", 3, 3, "ShapeN"), ("ViewN", "trait", 5, 5, None)],
+}
+SHAPE_CALLS = {
+    "python": [("match", 6), ("type", 6), ("new", 8), ("twin", 12), ("switch", 15)],
+    "rust": [("new", 4), ("try_into", 5), ("from", 6), ("vec", 6), ("match_it", 9), ("twin", 9)],
+    "typescript": [("from", 2), ("catch", 3), ("match", 6)],
+    "javascript": [("match", 1), ("from", 1), ("catch", 2)],
+    "go": [("Range", 13), ("use", 15)],
+    "java": [("from", 2), ("match", 3), ("ShapeN", 3), ("of", 3)],
+    "scala": [("from", 2), ("match_it", 2)],
+}
+SHAPE_VARIABLES = {
+    "python": [("match_all", 5, x) for x in ("text", "rest", "limit", "first", "last", "k", "part")] + [("twin", 15, "a"), ("twin", 15, "b")],
+    "rust": [("build", 3, "key"), ("build", 3, "x"), ("build", 3, "y"), ("other", 9, "z")],
+    "typescript": [("build", 2, "text"), ("build", 2, "x"), ("build", 2, "y")],
+    "javascript": [("build", 1, "text"), ("other", 1, "b"), ("other", 1, "c"), ("twin", 2, "a")],
+    "go": [("Build", 12, "key"), ("Build", 12, "x"), ("Build", 12, "y"), ("Build", 12, "z")],
+    "java": [("build", 3, "text"), ("build", 3, "x"), ("build", 3, "y"), ("build", 3, "t")],
+    "scala": [("build", 2, "text"), ("build", 2, "x"), ("two", 3, "a")],
+}
+
+
+def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each language per supplier: project, path, language, content."""
+    langs = F.explode(F.array(*[F.struct(F.lit(x).alias("language"), F.lit(EXT[x]).alias("ext"), F.lit(text).alias("body")) for x, text in SHAPES.items()]))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("n"), langs.alias("x"))
+    return own.selectExpr("'shapes' as project", "concat('shape_', n, '.', x.ext) as path", "x.language", "replace(x.body, 'N', n) as content")
+
+
+def shape_sql(rows: dict[str, list[tuple]], columns: str) -> str:
+    """SQL of what the shapes hold, for every supplier."""
+    quoted = [f"({', '.join('null' if v is None else str(v) if isinstance(v, int) else chr(39) + v + chr(39) for v in (EXT[x], *row))})" for x, own in rows.items() for row in own]
+    return f"(select 'shape_' || s_suppkey || '.' || ext as path, t.*, cast(s_suppkey as varchar) as n from supplier, (values {', '.join(quoted)}) t(ext, {columns}))"

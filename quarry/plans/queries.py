@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quarry.functions.names import normalize_kind
 from quarry.functions.text import preview
 from quarry.operators import content, filters, graph, history, notes, structure, symbols
-from quarry.operators.scratch import stored
+from quarry.operators.scratch import scratch_path, stored
 from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
+from quarry.sources.files import read_index, write_index
 from quarry.streaming import changes as ch
 
 QUERIES, ORACLES = {}, {}
@@ -166,17 +167,44 @@ def symbol_count_by_file(spark, d):
     return structure.symbol_count_by(symbols.extract_symbols(c.code_corpus(spark, d)), ["path"])
 
 
-@query(f"{DEFS} select path, name, 'parts' as project from defs where language <> 'java'")
+@query(f"{DEFS} select path, name, 'parts' as project from defs")
 def dedup_symbols(spark, d):
-    return symbols.dedup_symbols(symbols.extract_symbols(c.code_corpus(spark, d)).where("language != 'java'")).select("project", "path", "name")
+    return symbols.dedup_symbols(symbols.extract_symbols(_facts(spark, d)).where("kind != 'class'")).select("project", "path", "name")
 
 
-@query(f"{DEFS} select path, name, '    ' as indent, n + 1 as n_lines from defs where language = 'python'")
+@query(f"""{DEFS}, body as (select path, caller as name, string_agg('    ' || callee || '(x)' || case when language in ('rust', 'typescript', 'javascript', 'java') then ';' else '' end, chr(10) order by line) as calls
+  from sites join defs using (path) group by all)
+select path, d.name, md5(case language when 'python' then 'def ' || d.name || '(x):' when 'rust' then 'fn ' || d.name || '(x: i32) {{' when 'go' then 'func ' || d.name || '(x int) {{' when 'java' then 'void ' || d.name || '(int x) {{'
+  when 'scala' then 'def ' || d.name || '(x: Int) = {{' else 'function ' || d.name || '(x) {{' end || coalesce(chr(10) || calls, '') || case when language = 'python' then '' else chr(10) || '}}' end) as digest
+from defs d left join body using (path)""")
 def implementation(spark, d):
-    f = stored(c.code_corpus(spark, d).where("language = 'python'"), "code")
-    s = symbols.extract_symbols(f)
-    out = symbols.implementation(s, f, s.select("project", "path", "name"))
-    return out.select("path", "name", F.lit("    ").alias("indent"), F.when(F.col("source").endswith("return x"), 2).otherwise(F.size(F.split("source", "\n"))).alias("n_lines"))
+    f = _facts(spark, d)
+    s = symbols.extract_symbols(f).where("kind != 'class'")
+    return symbols.implementation(s, f, s.select("project", "path", "name")).select("path", "name", F.md5(F.col("source").cast("binary")).alias("digest"))
+
+
+def _shapes(spark, d):
+    return symbols.with_facts(c.shape_files(spark, d))
+
+
+@query(f"select path, replace(name, 'N', n) as name, kind, start_line, end_line, replace(parent, 'N', n) as parent from {c.shape_sql(c.SHAPE_SYMBOLS, 'name, kind, start_line, end_line, parent')}")
+def symbol_shapes(spark, d):
+    return symbols.extract_symbols(_shapes(spark, d)).select("path", "name", "kind", "start_line", "end_line", "parent")
+
+
+@query(f"select path, replace(callee, 'N', n) as callee, line from {c.shape_sql(c.SHAPE_CALLS, 'callee, line')}")
+def call_shapes(spark, d):
+    return symbols.extract_calls(_shapes(spark, d)).select("path", "callee", "line")
+
+
+@query(f"select path, function, name from {c.shape_sql(c.SHAPE_VARIABLES, 'function, line, name')}")
+def variable_shapes(spark, d):
+    return symbols.all_variables(_shapes(spark, d)).select("path", "function", "name")
+
+
+@query(f"select path, replace(name, 'N', n) as name, max(start_line) as start_line from {c.shape_sql(c.SHAPE_SYMBOLS, 'name, kind, start_line, end_line, parent')} group by all")
+def dedup_shapes(spark, d):
+    return symbols.dedup_symbols(symbols.extract_symbols(_shapes(spark, d))).select("path", "name", "start_line")
 
 
 @query(f"{DEFS} select path, callee, line from sites")
@@ -225,14 +253,14 @@ def find_tests(spark, d):
     return graph.find_tests(symbols.extract_symbols(f), f, "make_part_1").select("name", "start_line")
 
 
-@query(f"{TESTS} select distinct test, name from t join names on contains(callee, name) union select distinct t.test, names.name from t join names on contains(t.test, names.name)")
+@query(f"{TESTS} select distinct test, name from t join (select distinct c.callee, name from (select distinct callee from t) c join names on contains(c.callee, name)) using (callee) union select t.test, names.name from (select distinct test from t) t join names on contains(t.test, names.name)")
 def test_coverage(spark, d):
     f = _facts(spark, d)
     s = symbols.extract_symbols(f).where("kind != 'class'")
     return graph.test_coverage(s, f).select("test", "name")
 
 
-@query(f"{TESTS}, seen as (select distinct name from t join names on contains(callee, name)) select name, path from defs anti join seen using (name) where not starts_with(path, 'tests/')")
+@query(f"{TESTS}, seen as (select distinct name from (select distinct callee from t) t join names on contains(callee, name)) select name, path from defs anti join seen using (name) where not starts_with(path, 'tests/')")
 def untested_symbols(spark, d):
     f = _facts(spark, d)
     return graph.untested_symbols(symbols.extract_symbols(f).where("kind != 'class'"), f).select("name", "path")
@@ -290,9 +318,9 @@ def fold_marks(spark, d):
     return notes.fold_marks(c.mark_log(spark, d)).select("path", "marks")
 
 
-@query("select event_id from events where 'd' || user_id not in (select 'd' || doc_id from documents)")
+@query("select event_id from events where user_id not in (select doc_id from labels)")
 def reject_missing(spark, d):
-    known = c.table(spark, d, "documents").selectExpr("'docs' as project", "concat('d', doc_id) as path")
+    known = c.table(spark, d, "labels").selectExpr("'docs' as project", "concat('d', doc_id) as path")
     return notes.reject_missing(c.annotation_log(spark, d), known).select(F.col("seq").alias("event_id"))
 
 
@@ -360,8 +388,42 @@ def debounce_batch(spark, d):
     return out.select("path", F.unix_micros("burst_start").alias("start_us"), F.unix_micros("ts").alias("ts_us"), "n_events")
 
 
-@query("""with l as (select 'src/f' || user_id || '.py' as path, arg_max(case when event_type = 'error' then 'delete' else 'change' end, (ts, case when event_type = 'error' then 'delete' else 'change' end)) as op, max(ts) as ts from events group by user_id)
-select path, epoch_us(ts) as modified_us from l where op = 'change'""")
+LAST = """select path, max(ts) as ts, arg_max(op, (ts, op)) as op from (select 'src/f' || user_id || '.py' as path, ts, event_type, case when event_type = 'error' then 'delete' else 'change' end as op from events)"""
+
+
+@query(f"""with held as (select path, ts from ({LAST} where event_type in ('view', 'click', 'error') group by path) where op = 'change'), last as ({LAST} where event_type not in ('view', 'click') group by path)
+select path, epoch_us(case when l.ts is null or l.ts < h.ts then h.ts else l.ts end) as modified_us from held h full join last l using (path) where case when l.ts is null or l.ts < h.ts then true else l.op = 'change' end""")
 def apply_changes(spark, d):
-    empty = c.changes(spark, d).selectExpr("project", "path", "size", "modified", "'python' as language", "content").where("false")
-    return ch.apply_changes(empty, ch.filter_changes(c.changes(spark, d))).select("path", F.unix_micros("modified").alias("modified_us"))
+    """Views, clicks and deletions make the first state; all but views and clicks are applied to it."""
+    all_ = c.changes(spark, d, "event_type")
+    empty = all_.selectExpr("project", "path", "size", "modified", "'python' as language", "content").where("false")
+    first = ch.apply_changes(empty, all_.where("event_type in ('view', 'click', 'error')").drop("event_type"))
+    return ch.apply_changes(first, all_.where("event_type not in ('view', 'click')").drop("event_type")).select("path", F.unix_micros("modified").alias("modified_us"))
+
+
+@query(f"select path, epoch_us(ts) as modified_us from ({LAST} group by path) where op = 'change'")
+def maintained_index(spark, d):
+    """The changes as a stream of files, applied to an index micro-batch by micro-batch."""
+    at = scratch_path(spark, "live")
+    c.changes(spark, d).repartition(4, "path").write.parquet(f"{at}/in")
+    ch.maintain_index(ch.read_changes(spark, f"{at}/in", files_per_trigger=1), f"{at}/index", f"{at}/checkpoint").awaitTermination()
+    return ch.Index(spark, f"{at}/index").files().select("path", F.unix_micros("modified").alias("modified_us"))
+
+
+@query(f"with {BURSTS} select path, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as ts_us, count(*) as n_events from e group by path, burst")
+def debounce_stream(spark, d):
+    """debounce_batch as a stream; an event long after all others closes the last bursts."""
+    at = scratch_path(spark, "bursts")
+    own = c.changes(spark, d)
+    end = own.agg(F.max("ts").alias("ts")).selectExpr("'live' as project", "'end' as path", "ts + interval 10 days as ts", "'change' as op", "cast(0 as bigint) as size", "ts as modified", "'' as content")
+    own.unionByName(end).write.parquet(f"{at}/in")
+    bursts = ch.debounce(ch.read_changes(spark, f"{at}/in"), "30 minutes", "1 day")
+    bursts.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(bursts.schema).parquet(f"{at}/out").where("path != 'end'").select("path", F.unix_micros("burst_start").alias("start_us"), F.unix_micros("ts").alias("ts_us"), "n_events")
+
+
+@query(f"{DEFS} select path, name, start_line from defs")
+def index_round_trip(spark, d):
+    at = scratch_path(spark, "index")
+    write_index({"symbols": symbols.extract_symbols(c.code_corpus(spark, d)).where("kind != 'class'")}, at, 1000)
+    return read_index(spark, at, "symbols").select("path", "name", "start_line")

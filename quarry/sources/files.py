@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import language_of
+from quarry.operators.scratch import stored
 
 MAX_FILE_SIZE = 1_000_000
 
@@ -24,33 +26,40 @@ def load_files(df: DataFrame) -> DataFrame:
     return df.select("project", "path", F.octet_length(raw).cast("long").alias("size"), modified.alias("modified"), language_of(F.col("path")).alias("language"), text.alias("content"), text.isNotNull().alias("readable"))
 
 
-def scan_files(spark: SparkSession, root: str, project: str, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, project: str, max_file_size: int = MAX_FILE_SIZE, tasks: int = 64) -> DataFrame:
     """All files under a folder that the executors see, hidden and underscore names included (Spark's own listing drops those).
-    Folders are walked by the tasks, one for each first-level entry; larger files are left out."""
-    tops = sorted(os.listdir(root))
+    Larger files are left out.  Folders are listed level by level by the tasks, then the paths are dealt out and read, a file at a time."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for top in b["top"]:
-                at = os.path.join(root, top)
-                paths = [at] if os.path.isfile(at) else [os.path.join(d, f) for d, _, own in os.walk(at) for f in own]
-                rows = []
-                for p in sorted(paths):
-                    st = os.stat(p)
-                    if st.st_size <= max_file_size:
-                        with open(p, "rb") as f:
-                            rows.append((project, os.path.relpath(p, root), datetime.fromtimestamp(st.st_mtime, UTC), f.read()))
-                yield pd.DataFrame(rows, columns=["project", "path", "modified", "content"])
-
-    entries = spark.createDataFrame([(t,) for t in tops], "top string").repartition(max(1, min(len(tops), 1000)))
-    return load_files(entries.mapInPandas(walk, "project string, path string, modified timestamp, content binary"))
-
-
-def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table to path/name, by project; a project's files are spread by path."""
+            for at in b["at"]:
+                with os.scandir(at) as entries:
+                    rows = [(e.path, e.is_dir(follow_symlinks=False)) for e in entries]
+                yield pd.DataFrame(rows, columns=["at", "folder"]).astype({"at": "object", "folder": "bool"})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["at"]:
+                if not os.path.isfile(p) or (st := os.stat(p)).st_size > max_file_size:
+                    continue
+                with open(p, "rb") as f:
+                    yield pd.DataFrame([(project, os.path.relpath(p, root), datetime.fromtimestamp(st.st_mtime, UTC), f.read())], columns=["project", "path", "modified", "content"])
+
+    level, found = spark.createDataFrame([(root,)], "at string"), []
+    while level.take(1):
+        here = stored(level.repartition(tasks).mapInPandas(listed, "at string, folder boolean"), "listing")
+        found.append(here.where("not folder").select("at"))
+        level = here.where("folder").select("at")
+    return load_files(reduce(DataFrame.unionByName, found).repartition(tasks).mapInPandas(read, "project string, path string, modified timestamp, content binary"))
+
+
+def write_index(tables: dict[str, DataFrame], path: str, rows_per_file: int = 1_000_000) -> None:
+    """Each table to path/name, by project; a project's rows are spread over as many files as it needs."""
     for name, df in tables.items():
-        keys = ["project"] + ([F.pmod(F.xxhash64("path"), F.lit(16))] if "path" in df.columns else [])
-        df.repartition(*keys).write.mode("overwrite").partitionBy("project").parquet(f"{path}/{name}")
+        size = df.groupBy("project").agg(F.ceil(F.count("*") / rows_per_file).alias("pieces")).selectExpr("project as of", "pieces")
+        spread = df.join(size, F.col("project").eqNullSafe(F.col("of")))
+        spread = spread.withColumn("piece", F.pmod(F.xxhash64(*[c for c in df.columns if c in ("path", "name", "start_byte")] or [F.lit(0)]), F.col("pieces")))
+        spread.repartition("project", "piece").select(*df.columns).write.mode("overwrite").partitionBy("project").parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str, name: str) -> DataFrame:

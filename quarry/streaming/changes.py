@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.functions.names import language_of
 from quarry.operators.filters import hidden, ignored_dir, ignored_extension
@@ -52,52 +52,76 @@ def apply_changes(files: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Versions of the files and symbols tables under a path; POINTER names the current one, so a reader never sees half a version."""
+    """A files and a symbols table under a path, kept by project.
+
+    A batch writes the new state of the projects that it touches to folders of its own, then one small file commits/<batch> that names
+    them.  Nothing is overwritten: a reader takes the largest commit, so it never sees half a batch, and a crash before the
+    commit leaves what was there.  A batch that is applied again is skipped.
+    """
 
     FILES = "project string, path string, size long, modified timestamp, language string, content string"
+    COMMIT = "batch long, project string, version string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def current(self) -> dict:
-        try:
-            rows = self.spark.read.text(f"{self.path}/pointer").collect()  # one line
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {"batch": -1, "version": None}
-        return json.loads(rows[0]["value"])
-
-    def table(self, name: str, version: str | None) -> DataFrame:
-        if version is None:
-            empty = self.spark.createDataFrame([], self.FILES)
-            return empty if name == "files" else extract_symbols(empty)
-        return self.spark.read.parquet(f"{self.path}/{version}/{name}")
+    def _commits(self) -> list[int]:
+        """The numbers of the committed batches."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(hadoop) if x.getPath().getName().isdigit()) if fs.exists(hadoop) else []
+
+    def current(self) -> tuple[int, dict[str, str]]:
+        """(last batch, version of each project)."""
+        for batch in reversed(self._commits()):
+            rows = self.spark.read.schema(self.COMMIT).json(f"{self.path}/commits/{batch}").collect()  # a row per project
+            if any(r["project"] is None for r in rows):  # the row that ends a commit
+                return batch, {r["project"]: r["version"] for r in rows if r["project"] is not None}
+        return -1, {}
+
+    def table(self, name: str, versions: dict[str, str]) -> DataFrame:
+        """The rows of the projects named; a version's folder holds every project that its batch touched."""
+        empty = self.spark.createDataFrame([], self.FILES)
+        schema = empty.schema if name == "files" else extract_symbols(empty).schema
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        held = StructType([*schema.fields, StructField("version", StringType())])
+        stored = self.spark.read.schema(held).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/version={v}" for v in sorted(set(versions.values()))])
+        wanted = F.broadcast(self.spark.createDataFrame(sorted(versions.items()), "own string, at string"))  # a row per project
+        return stored.join(wanted, (F.col("project") == F.col("own")) & (F.col("version") == F.col("at"))).select(*schema.names)
 
     def files(self) -> DataFrame:
-        return self.table("files", self.current()["version"])
+        return self.table("files", self.current()[1])
 
     def symbols(self) -> DataFrame:
-        return self.table("symbols", self.current()["version"])
+        return self.table("symbols", self.current()[1])
 
     def apply(self, delta: DataFrame, batch: int) -> None:
-        """One batch of changes; a batch that was applied before is skipped."""
-        now = self.current()
-        if batch <= now["batch"]:
+        """One batch of changes: only the projects in it are read and written."""
+        last, versions = self.current()
+        if batch <= last:
             return
-        version = f"v{batch}-{uuid.uuid4().hex[:8]}"
-        old = self.table("files", now["version"])
-        touched = delta.select("project", "path").distinct()
-        apply_changes(old, delta).write.parquet(f"{self.path}/{version}/files")
-        new = self.spark.read.parquet(f"{self.path}/{version}/files")
-        kept = self.table("symbols", now["version"]).join(touched, ["project", "path"], "left_anti")
-        again = extract_symbols(new.join(touched, ["project", "path"], "left_semi"))
-        kept.unionByName(again).write.parquet(f"{self.path}/{version}/symbols")
-        self.spark.createDataFrame([(json.dumps({"batch": batch, "version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer")
-
-
-def maintain_index(changes: DataFrame, index_path: str, checkpoint: str, once: bool = True):
-    """A streaming query that keeps an Index fresh."""
+        touched = {r["project"] for r in delta.select("project").distinct().collect()}  # a row per project
+        version = f"{batch}-{uuid.uuid4().hex[:8]}"
+        own = {k: v for k, v in versions.items() if k in touched}
+        if touched:
+            apply_changes(self.table("files", own), delta).write.parquet(f"{self.path}/files/version={version}")
+            new = self.spark.read.schema(self.FILES).parquet(f"{self.path}/files/version={version}")
+            paths = delta.select("project", "path").distinct()
+            kept = self.table("symbols", own).join(paths, ["project", "path"], "left_anti")
+            again = extract_symbols(new.join(paths, ["project", "path"], "left_semi"))
+            kept.unionByName(again).write.parquet(f"{self.path}/symbols/version={version}")
+        versions = versions | dict.fromkeys(touched, version)
+        rows = [(batch, k, v) for k, v in sorted(versions.items())] + [(batch, None, None)]
+        self.spark.createDataFrame(rows, self.COMMIT).coalesce(1).write.mode("overwrite").json(f"{self.path}/commits/{batch}")
+
+
+def maintain_index(changes: DataFrame, index_path: str, checkpoint: str, once: bool = True, gap: str | None = None, late: str = "10 seconds"):
+    """A streaming query that keeps an Index fresh.  With a gap, a path's burst is applied as one event once the gap has passed; else
+    every micro-batch applies the last event of each path at once."""
     index = Index(changes.sparkSession, index_path)
-    writer = filter_changes(changes).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: index.apply(df, batch))
+    own = filter_changes(changes)
+    if gap:
+        own = debounce(own, gap, late).drop("burst_start", "n_events")
+    writer = own.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: index.apply(df, batch))
     return (writer.trigger(availableNow=True) if once else writer).start()
