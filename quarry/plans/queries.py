@@ -139,10 +139,10 @@ def _facts(spark, d):
 DEFS = f"with {CODE_SQL}"
 
 
-@query(f"{DEFS} select 'parts' as project, path, name, case when language = 'java' then 'method' else 'function' end as kind, start_line from defs")
+@query(f"{DEFS} select 'parts' as project, path, name, case when language = 'java' then 'method' else 'function' end as kind, start_line, cast(start_line + n + case when language = 'python' then 0 else 1 end as int) as end_line from defs")
 def extract_symbols(spark, d):
     s = symbols.extract_symbols(c.code_corpus(spark, d)).where("kind != 'class'")
-    return s.select("project", "path", "name", "kind", "start_line")
+    return s.select("project", "path", "name", "kind", "start_line", "end_line")
 
 
 @query(f"{DEFS} select 'parts' as project, path, name, start_line from defs order by path, start_line limit 100")
@@ -271,9 +271,9 @@ def variables(spark, d):
     return symbols.all_variables(c.code_corpus(spark, d)).select("path", "function", "name")
 
 
-@query(f"{DEFS}, f as (select path from defs) select path, cast(0 as bigint) as start from f")
+@query(f"{DEFS} select path, cast(0 as bigint) as start, cast(case when language = 'python' then 13 else 14 end as bigint) as end from defs")
 def code_spans(spark, d):
-    return symbols.code_spans(c.code_corpus(spark, d)).select("path", "start")
+    return symbols.code_spans(c.code_corpus(spark, d)).select("path", "start", "end")
 
 
 @query(f"{DEFS} select path, cast(line as int) as line from sites where contains(callee, 'supply_1') or callee = 'supply_0'")
