@@ -364,12 +364,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, its own columns, that stay when one of each component does: the smallest doc_id; where doc_ids are
-    null or repeated, the first row.  Rows without words all stay."""
+    """The rows of docs, its own columns, that stay when one of each component does: the smallest doc_id, of
+    rows with equal ids the first one; a null doc_id comes after all others.  Rows without words all stay."""
     unique = not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").take(1)
     keyed = docs.withColumn("row_key", F.col("doc_id")) if unique else stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
     found = jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), n, percent, count_links=False)
-    keep = found.where("component_id = doc_id").select(F.col("doc_id").alias("row_key"))
+    if unique:
+        keep = found.where("component_id = doc_id").select(F.col("doc_id").alias("row_key"))
+    else:
+        ids = found.select("component_id", F.col("doc_id").alias("row_key")).join(keyed.select("row_key", F.col("doc_id").alias("id")), "row_key")
+        keep = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("v")).select("v.row_key")
     return keyed.join(keep, "row_key", "left_semi").select(*docs.columns)
 
 
