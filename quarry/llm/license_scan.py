@@ -6,7 +6,7 @@ fingerprints that stand in the index give template and diagonal; near diagonals
 subsequence), and an alignment that matches at least `least` of the template's words is reported with the span it covers.
 
 Returns a row per find: doc_id, license, matched, coverage, start, end (code points, end exclusive).  Null and empty texts find nothing;
-repeated rows are reported each; of finds of one template, or of one family of templates, that overlap, the one with more matched words stays.
+an empty table gives none; repeated rows are reported each; of finds of one template, or of one family of templates, that overlap, the one with more matched words stays.
 No shuffle: the templates are a fixed, small list.
 """
 
@@ -63,6 +63,16 @@ BSD_DISCLAIMER = (
     "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 
+
+def gnu_notice(name: str, version: str) -> str:
+    """The notice for source files of the GNU licenses, which differ in name and version."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    )
+
+
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -97,15 +107,15 @@ TEMPLATES = {
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
-        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
+    "gpl-2.0": gnu_notice("General", "2"),
+    "gpl-3.0": gnu_notice("General", "3"),
+    "lgpl-2.1": gnu_notice("Lesser General", "2.1"),
+    "lgpl-3.0": gnu_notice("Lesser General", "3"),
+    "agpl-3.0": gnu_notice("Affero General", "3"),
 }
 
 #: Of finds of one family that overlap, the one with more matched words stays, then the one with more coverage.
-FAMILY = {x: f[0] for f in (("mit", "mit-terms"), ("isc", "isc-terms"), ("bsd-2-clause", "bsd-3-clause", "bsd-terms"), ("cc-by-4.0-notice", "cc-by-sa-4.0-notice")) for x in f}
+FAMILY = {x: f[0] for f in (("mit", "mit-terms"), ("isc", "isc-terms"), ("bsd-2-clause", "bsd-3-clause", "bsd-terms"), ("cc-by-4.0-notice", "cc-by-sa-4.0-notice"), ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0")) for x in f}
 
 
 def winnowed(grams: np.ndarray, window: int = WINDOW) -> set[int]:

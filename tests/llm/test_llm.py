@@ -417,6 +417,33 @@ def test_whole_licenses():
         assert [x[0] for x in found] == [want] and found[0][4] >= len("Before. ") + len(text.rstrip(".")) - 1
 
 
+def test_gnu_notices():
+    own = license_scan.Templates(license_scan.TEMPLATES)
+    for name in ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0"):
+        assert [(x[0], x[2]) for x in own.found(f"Before. {license_scan.TEMPLATES[name]} After.", 0.8, license_scan.WordHashes())] == [(name, 1.0)]
+
+
+def plain_lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            best[j + 1], before = max(best[j + 1], best[j], before + 1 if x == y else 0), best[j + 1]
+    return best[-1]
+
+
+def test_alignment_against_plain_subsequence():
+    r = random.Random(8)
+    for _ in range(60):
+        a = [r.choice("abcdefgh") for _ in range(30)]
+        b = [x for x in a if r.random() > 0.1]
+        for _ in range(3):
+            b.insert(r.randrange(len(b)), r.choice("abcdefgh"))
+        pairs = license_scan.aligned(a, b, 0, band=40)
+        assert len(pairs) == plain_lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def brute_cost(roles):
     """Least cost by exhaustive search over states."""
     best = {chat_format.NONE: 0.0}
