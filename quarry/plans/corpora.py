@@ -117,10 +117,10 @@ def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("'docs' as project", "concat('d', user_id) as path", "cast(null as string) as name", "cast(ts as timestamp) as ts", "event_id as seq", "if(event_type = 'error', 'redefine', 'define') as op", "props as value")
 
 
-def mark_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mark_log(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     marks = ["doc", "docs", "test", "tests", "gen", "config", "ignore", "bogus"]
     e = table(spark, sf_dir, "events")
-    return e.selectExpr("'docs' as project", "concat('d', user_id) as path", "cast(ts as timestamp) as ts", "event_id as seq", f"{_pick(marks, 'cast(floor(value) as bigint) % 8')} as mark")
+    return e.selectExpr("'docs' as project", "concat('d', user_id) as path", "cast(ts as timestamp) as ts", "event_id as seq", f"{_pick(marks, 'cast(floor(value) as bigint) % 8')} as mark", *more)
 
 
 def changes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:

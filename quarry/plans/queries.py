@@ -427,3 +427,44 @@ def index_round_trip(spark, d):
     at = scratch_path(spark, "index")
     write_index({"symbols": symbols.extract_symbols(c.code_corpus(spark, d)).where("kind != 'class'")}, at, 1000)
     return read_index(spark, at, "symbols").select("path", "name", "start_line")
+
+
+@query(f"{DEFS} select d.path, d.name, case when s_acctbal > 0 then s_name end as definition from defs d left join supplier on d.name = 'supply_' || s_suppkey")
+def attach_symbol_annotations(spark, d):
+    key = F.col("s_suppkey")
+    own = c.table(spark, d, "supplier").where("s_acctbal > 0").select(F.lit("parts").alias("project"), F.concat(F.lit("lib/supply_"), key, F.lit("."), c._lang(key, c.EXT)).alias("path"), F.concat(F.lit("supply_"), key).alias("name"), F.lit("symbol_definition").alias("target"), F.col("s_name").alias("value"))
+    s = symbols.extract_symbols(_facts(spark, d)).where("kind != 'class'")
+    return notes.attach_symbol_annotations(s, own).select("path", "name", "definition")
+
+
+@query("with langs as (select list_value('py','rs','ts','js','go','java','scala') as e) select 'lib/supply_' || c_custkey || '.' || e[c_custkey % 7 + 1] as path, 'supply_' || c_custkey as name from customer, langs where c_custkey not in (select s_suppkey from supplier)")
+def not_found(spark, d):
+    """Symbols asked for by customer keys; only those of suppliers exist."""
+    key = F.col("c_custkey")
+    wanted = c.table(spark, d, "customer").select(F.lit("parts").alias("project"), F.concat(F.lit("lib/supply_"), key, F.lit("."), c._lang(key, c.EXT)).alias("path"), F.concat(F.lit("supply_"), key).alias("name"))
+    return symbols.not_found(symbols.extract_symbols(c.code_corpus(spark, d)), wanted).select("path", "name")
+
+
+@query(f"""with {DOC_FILES_SQL}, lens as (select project, path, cast(right(cast(size as varchar), 1) as int) as start, list_filter(string_split(content, chr(10)), lambda x, i: not (i = len(string_split(content, chr(10))) and x = '')) as l from doc_files where content is not null),
+cut as (select *, least(start, len(l)) as s, greatest(least(start, len(l)), least(start + 4, len(l))) as e from lens)
+select project, path, s + 1 as start_line, e as end_line, len(l) as total_lines, array_to_string(list_transform(l[s + 1:e], lambda x, i: printf('%6d │ %s', i + s, x)), chr(10)) as content from cut""")
+def peek_ranges(spark, d):
+    """Four lines of each file, from the line that the last digit of its size names."""
+    f = c.doc_files(spark, d)
+    return content.peek_many(f, f.selectExpr("project", "path", "cast(right(cast(size as string), 1) as int) as start", "cast(right(cast(size as string), 1) as int) + 4 as end"))
+
+
+@query(f"with {HISTORY} select distinct session_id from h where project not in (select cast(r_regionkey as varchar) from region where r_name > 'AMERICA')")
+def orphan_sessions(spark, d):
+    """Sessions of projects that are gone; the regions after the second are the projects there are."""
+    return history.orphan_sessions(c.history(spark, d), c.table(spark, d, "region").where("r_name > 'AMERICA'").selectExpr("cast(r_regionkey as string) as project"))
+
+
+@query("""with marks as (select path, ts, event_id, later, case m when 'doc' then 'documentation' when 'docs' then 'documentation' when 'tests' then 'test' when 'gen' then 'generated' when 'bogus' then null else m end as mark from
+ (select 'd' || user_id as path, ts, event_id, event_type = 'error' as later, (list_value('doc','docs','test','tests','gen','config','ignore','bogus'))[cast(floor(value) as bigint) % 8 + 1] as m from events)),
+f as (select path, mark, min((later, ts, event_id)) as seen from marks where mark is not null group by path, mark) select path, list(mark order by seen) as marks from f group by path""")
+def merge_marks(spark, d):
+    """The marks of errors are added to those of all other events."""
+    log = c.mark_log(spark, d, "event_type")
+    held, new = (notes.fold_marks(log.where(x)) for x in ("event_type != 'error'", "event_type = 'error'"))
+    return notes.merge_marks(held, new).select("path", "marks")
