@@ -80,7 +80,10 @@ def chunk_indices(spark, d):
     return content.chunk_indices(c.doc_files(spark, d), 1000, 200)
 
 
-@query()
+@query(f"""{CHUNKS}, signs as (select project, path, strlen(ch) as b, ch, k, coalesce(sum(strlen(ch)) over (partition by project, path order by k rows between unbounded preceding and 1 preceding), 0) as pos
+  from (select project, path, unnest(cs) as ch, unnest(range(len(cs))) as k from (select project, path, regexp_extract_all(content, '(?s).') as cs from doc_files)))
+select t.project, t.path, cast(t.k as int) as index, cast(min(pos) as bigint) as start, cast(max(pos + b) as bigint) as end, string_agg(ch, '' order by pos) as text
+from t join signs s on s.project = t.project and s.path = t.path and s.pos >= t.k * 800 and s.pos < t.k * 800 + 1000 group by t.project, t.path, t.k""")
 def chunk_text(spark, d):
     return content.chunk_text(c.doc_files(spark, d), 1000, 200)
 
