@@ -111,7 +111,11 @@ def directory_rollup(spark, d):
     return structure.directory_rollup(c.url_files(spark, d))
 
 
-@query()
+@query(f"""with {URL_FILES_SQL}, p as (select project, string_split(path, '/') as p from url_files),
+nodes as (select distinct project, array_to_string(p[1:k], '/') as path, array_to_string(p[1:k - 1], '/') as parent, p[k] as name, k as depth, k < len(p) as dir from (select project, p, unnest(range(1, len(p) + 1)) as k from p)),
+ranked as (select *, row_number() over (partition by project, parent order by name desc) = 1 as ends from nodes),
+pre as (select r.project, r.path, string_agg(case when u.ends then '    ' else '│   ' end, '' order by u.depth) as prefix from ranked r join ranked u on u.project = r.project and starts_with(r.path, u.path || '/') group by all)
+select project, path, coalesce(prefix, '') || case when ends then '└── ' else '├── ' end || name || case when dir then '/' else '' end as line from ranked left join pre using (project, path)""")
 def tree_lines(spark, d):
     return structure.tree_lines(c.url_files(spark, d)).select("project", F.array_join("parts", "/").alias("path"), "line")
 
