@@ -96,6 +96,60 @@ def test_lexer_spans_and_bytes():
     assert code_facts("x", "markdown")["spans"] is None
 
 
+def called(body, language):
+    return [c["callee"] for c in code_facts(body, language)["calls"]]
+
+
+def bound(body, language):
+    return [v["name"] for v in code_facts(body, language)["variables"]]
+
+
+def test_lexer_calls_named_like_keywords():
+    assert called("fn f() { Foo::new(); String::from(x); c.try_into(); d.match(1); if (a) {} vec![1]; Vec::<u8>::with(3) }", "rust") == ["new", "from", "try_into", "match", "vec", "with"]
+    assert called("x = re.match(a)\ntype(x)\nm.new()\ns.switch(1)\nif (a): pass\n", "python") == ["match", "type", "new", "switch"]
+    assert called("p.catch(e); Array.from(x); s?.match(y); new Foo(1); new a.B(2); if (x) {} [...new Set(y)]", "javascript") == ["catch", "from", "match"]
+    java = "class A { public A(int x) { this(1); } A() { f(); } int m(int q) throws E { return new B(q); } } class Z { void x(){} void y(){} }"
+    assert called(java, "java") == ["f", "B"] and [s["name"] for s in code_facts(java, "java")["symbols"]] == ["A", "m", "Z", "x", "y"]
+
+
+def test_lexer_bindings():
+    assert bound("def f(x):\n    g(k=2)\n    (a, b) = 1, 2\n    [c, d] = x\n    e = h = 3\n    foo(\n        z=1,\n    )\n    i, *j = x\n    q: int = 4\n    w['a'] = 1\n    if (n := 10) == 3: pass\n", "python") == list("xabcdehijqn")
+    assert bound("function f({b, c}, [d, e], g = 1) { const x = 1, y = 2; let z, w; for (const q of r) {} }", "javascript") == list("bcdegxyzwq")
+    assert bound("class A { void f(int p) { int x = 1, y = 2; for (String s : t) {} } }", "java") == list("pxys")
+    assert bound("fn f(p: i32) { let Point { x, y } = p; if let Some(z) = q {} let (a, mut b) = r; for k in l {} }", "rust") == list("pxyzabk")
+
+
+def test_lexer_groups_and_nesting():
+    go = "const (\n\tD = 1\n\tE, F = 2, 3\n)\nvar (\n\tG int\n\tH = map[string]int{\n\t\t\"a\": 1,\n\t}\n)\ntype (\n\tS struct {\n\t\tx int\n\t}\n\tI interface{ M() }\n\tT = int\n)\nconst K, L = 1, 2\nfunc main() {}\n"
+    assert [(n, k) for n, k, *_ in names(go, "go")] == [(x, "constant") for x in "DEFGH"] + [("S", "struct"), ("I", "interface"), ("T", "type"), ("K", "constant"), ("L", "constant"), ("main", "function")]
+    assert [(n, p) for n, _, _, _, p in names("class W { m() {} n(x) { return 1 } }", "javascript")] == [("W", None), ("m", "W"), ("n", "W")]
+    assert [(n, k, p) for n, k, _, _, p in names("impl S { fn a() { fn b() {} } } #[test] fn t() {}", "rust")] == [("a", "method", "S"), ("b", "function", "S"), ("t", "function", None)]
+    many = "".join(f"class C{k}:\n    def f{k}(self):\n        return g(k=1)\n" for k in range(3000))
+    assert len(names(many, "python")) == 6000
+
+
+def test_lexer_runs_once(spark, tmp_path):
+    files(spark, [("a.py", "def f(x):\n    g(x)\n")]).write.parquet(str(tmp_path / "f"))
+    own = spark.read.parquet(str(tmp_path / "f"))
+    for out in (symbols.extract_symbols(own), symbols.extract_calls(own), symbols.code_spans(own)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_index_keeps_what_a_lost_batch_left(spark, tmp_path):
+    """Batches touch their own projects only; a commit that was cut off does not count, and its batch is applied again."""
+    at = datetime(2024, 1, 1)
+    row = lambda p, path, s, body: (p, path, at.replace(second=s), "change", 9, at.replace(second=s), body)
+    index = ch.Index(spark, str(tmp_path / "index"))
+    index.apply(spark.createDataFrame([row("p", "a.py", 1, "def f(): pass"), row("q", "b.py", 1, "def g(): pass")], ch.SCHEMA), 0)
+    before = index.current()
+    (tmp_path / "index" / "commits" / "1").mkdir()
+    assert index.current() == before and {r["path"] for r in index.files().collect()} == {"a.py", "b.py"}
+    index.apply(spark.createDataFrame([row("q", "b.py", 2, "def h(): pass")], ch.SCHEMA), 1)
+    last, versions = index.current()
+    assert last == 1 and versions["p"] == before[1]["p"] and versions["q"] != before[1]["q"]
+    assert {r["name"] for r in index.symbols().collect()} == {"f", "h"}
+
+
 def test_rules(spark):
     rows = [("python", "x", "latest_x.py", True), ("rust", "x", "tests/a.rs", False), ("rust", "x", "x/tests/a.rs", True), ("typescript", "x", "a.spec.ts", True), ("java", "x", "FooTest.java", True), ("go", "x", "b_test.go", True)]
     df = spark.createDataFrame(rows, "l string, n string, p string, want boolean").withColumn("got", is_test_symbol(F.col("l"), F.col("n"), F.col("p")))
