@@ -4,16 +4,19 @@ Words are runs of letters and digits, lower case.  Each template's k-word hashes
 neighbours), so a copied run of k + window - 1 words of a template always holds one of its fingerprints.  A text's
 fingerprints that stand in the index give template and diagonal; near diagonals are aligned together within a band (longest common
 subsequence), and an alignment that matches at least `least` of the template's words is reported with the span it covers.
+A band is aligned when it holds one shared fingerprint, and one more for every EVIDENCE words of the template, and when its words,
+in any order, could reach `least`.
 
 Returns a row per find: doc_id, license, matched, coverage, start, end (code points, end exclusive).  Null and empty texts find nothing;
 an empty table gives none; repeated rows are reported each; of finds of one template, or of one family of templates, that overlap, the one with more matched words stays.
-No shuffle: the templates are a fixed, small list.
+No shuffle: the templates are a fixed, small list.  Whole texts of longer licenses are in the folder licenses (names end in -text).
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +25,8 @@ from .shared import WordHashes, ngram_hashes, rows_of_texts, table, word_array
 
 WORD = re.compile(r"[^\W_]+")
 K, WINDOW, BAND = 3, 3, 8
+#: Words of a template for each further fingerprint that a band must hold.
+EVIDENCE = 200
 
 #: Public licenses and notices; of three licenses also the terms alone, which stand in texts without the disclaimer.
 MIT = (
@@ -115,14 +120,29 @@ TEMPLATES = {
 }
 
 #: Of finds of one family that overlap, the one with more matched words stays, then the one with more coverage.
-FAMILY = {x: f[0] for f in (("mit", "mit-terms"), ("isc", "isc-terms"), ("bsd-2-clause", "bsd-3-clause", "bsd-terms"), ("cc-by-4.0-notice", "cc-by-sa-4.0-notice"), ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0")) for x in f}
+FAMILIES = (
+    ("mit", "mit-terms"),
+    ("isc", "isc-terms"),
+    ("bsd-2-clause", "bsd-3-clause", "bsd-terms"),
+    ("cc-by-4.0-notice", "cc-by-sa-4.0-notice"),
+    ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "lgpl-3.0-text"),
+    ("apache-2.0", "apache-2.0-text"),
+    ("mpl-2.0-notice", "mpl-2.0-text"),
+)
+FAMILY = {x: f[0] for f in FAMILIES for x in f}
+
+
+def whole_texts() -> dict[str, str]:
+    """The licenses that have a file of their own, by name."""
+    return {f"{f.stem}-text": f.read_text("utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def winnowed(grams: np.ndarray, window: int = WINDOW) -> set[int]:
     """Places of the smallest hash of every window (the last of equals)."""
     if len(grams) <= window:
         return {len(grams) - 1 - int(np.argmin(grams[::-1]))} if len(grams) else set()
-    return {i + window - 1 - int(np.argmin(grams[i : i + window][::-1])) for i in range(len(grams) - window + 1)}
+    least = np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1].argmin(axis=1)
+    return set((np.arange(len(least)) + window - 1 - least).tolist())
 
 
 def aligned(template: list, words: list, shift: int, band: int = BAND) -> list[tuple[int, int]]:
@@ -162,8 +182,13 @@ class Templates:
             self.words.append(w)
             for p in winnowed(grams):
                 index[int(grams[p])].append((t, p))
+        self.counts = [Counter(w) for w in self.words]
         self.index, self.keys = dict(index), np.array(sorted(index), np.uint64)
 
+    def _may_reach(self, t: int, words: list[str], least: float) -> bool:
+        """Whether the words could match so many of the template's, in any order."""
+        return len(words) >= least and sum((Counter(words) & self.counts[t]).values()) >= least
+
     def found(self, text: str | None, least: float, cache: WordHashes) -> list[tuple]:
         words = WORD.findall((text or "").lower())
         if not words or not len(self.keys):
@@ -173,27 +198,34 @@ class Templates:
         spots = np.flatnonzero(self.keys[at] == grams).tolist()
         if not spots:
             return []
-        shifts = defaultdict(set)
+        shifts = defaultdict(list)
         for p in spots:
             for t, q in self.index[int(grams[p])]:
-                shifts[t].add(p - q)
+                if len(words) >= least * len(self.words[t]):
+                    shifts[t].append(p - q)
+        if not shifts:
+            return []
         places = [(m.start(), m.end()) for m in WORD.finditer(text)]
         if len(places) != len(words):  # lower() may split a letter
             words = [text[s:e].lower() for s, e in places]
         out = []
         for t, own in shifts.items():
-            finds, last = [], None
-            for s in sorted(own):
+            finds, last, size = [], None, len(self.words[t])
+            own = np.sort(np.array(own))
+            for s in np.unique(own).tolist():
                 if last is None or s - last > BAND // 2:
                     last = s
+                    in_band = np.searchsorted(own, s + BAND, "right") - np.searchsorted(own, s - BAND, "left")
+                    if in_band <= size // EVIDENCE or not self._may_reach(t, words[max(0, s - BAND) : max(0, s + size + BAND)], least * size):
+                        continue
                     pairs = aligned(self.words[t], words, s)
-                    if pairs and len(pairs) >= least * len(self.words[t]):
+                    if pairs and len(pairs) >= least * size:
                         finds.append((-len(pairs), places[pairs[0][1]][0], places[pairs[-1][1]][1]))
             taken: list[tuple] = []
             for n, s, e in sorted(finds):
                 if all(e <= a or b <= s for _, a, b in taken):
                     taken.append((n, s, e))
-            out += [(self.names[t], -n, -n / len(self.words[t]), s, e) for n, s, e in taken]
+            out += [(self.names[t], -n, -n / size, s, e) for n, s, e in taken]
         kept: list[tuple] = []
         for x in sorted(out, key=lambda x: (-x[1], -x[2])):
             family = FAMILY.get(x[0], x[0])
@@ -203,7 +235,8 @@ class Templates:
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    texts = templates or TEMPLATES
+    """templates: name -> text; by default the notices and short licenses above and the whole texts of the longer ones."""
+    texts = TEMPLATES | whole_texts() if templates is None else templates
 
     def start():
         own, cache = Templates(texts), WordHashes()

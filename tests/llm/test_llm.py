@@ -423,6 +423,30 @@ def test_gnu_notices():
         assert [(x[0], x[2]) for x in own.found(f"Before. {license_scan.TEMPLATES[name]} After.", 0.8, license_scan.WordHashes())] == [(name, 1.0)]
 
 
+def test_license_files():
+    """Whole texts of longer licenses, with words replaced, added and left out; a half of one is not reported."""
+    texts = license_scan.whole_texts()
+    own, r = license_scan.Templates(license_scan.TEMPLATES | texts), random.Random(3)
+    for name in ("apache-2.0-text", "gpl-2.0-text", "cc0-1.0-text", "lgpl-3.0-text"):
+        w = texts[name].split()
+        edited = [x for k, x in enumerate(w) if k % 90 != 7]
+        for k in range(5, len(edited), 40):
+            edited[k] = r.choice(["other", f"{edited[k]} more"])
+        for text, least in ((w, 1.0), (edited, 0.9)):
+            found = [x for x in own.found(f"{words(4, 50)} {' '.join(text)} {words(5, 50)}", 0.8, license_scan.WordHashes()) if x[0].endswith("-text")]
+            assert [x[0] for x in found] == [name] and found[0][2] >= least
+        assert not any(x[0] == name for x in own.found(" ".join(w[: len(w) // 2]), 0.8, license_scan.WordHashes()))
+
+
+def test_winnowing_takes_the_last_least_hash_of_every_window():
+    r = np.random.default_rng(6)
+    for n in range(12):
+        grams = r.integers(0, 5, n).astype(np.uint64)
+        wide = min(3, n)
+        want = {max(j for j in range(i, i + wide) if grams[j] == min(grams[i : i + wide])) for i in range(n - wide + 1)} if n else set()
+        assert license_scan.winnowed(grams, 3) == want
+
+
 def plain_lcs(a, b):
     best = [0] * (len(b) + 1)
     for x in a:
