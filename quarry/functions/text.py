@@ -15,9 +15,9 @@ PREVIEWS = {
 
 def line_array(content: Column) -> Column:
     """Split at \\n or \\r\\n, no empty last line, a lone \\r stays, '' has no line."""
-    raw = F.split(content, "\n", -1)
-    cut = F.transform(raw, lambda x, i: F.when((i < F.size(raw) - 1) & x.endswith("\r"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
-    return F.when(F.element_at(raw, -1) == "", F.slice(cut, F.lit(1), F.size(raw) - 1)).otherwise(cut)
+    plain = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    # The text is split once, not in a lambda, which would split it again for every line.
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n", -1))
 
 
 def numbered(line_no: Column, text: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import byte_slice, line_array, numbered
+from quarry.functions.text import line_array, numbered
 
 
 def checked(pattern: str) -> str:
@@ -20,16 +20,15 @@ def checked(pattern: str) -> str:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """project, path, language, line_no (from 1), text, start_byte; one exchange by file for the running offsets."""
-    raw = F.split("content", "\n", -1)
-    each = files.where("content is not null").select("project", "path", "language", raw.alias("raw"))
-    # Running byte offsets: one pass over the lengths, exploded with the lines.
-    each = each.select("project", "path", "language", F.posexplode("raw").alias("k", "line"), F.size("raw").alias("n"))
-    own = Window.partitionBy("project", "path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    out = each.withColumn("start_byte", F.coalesce(F.sum(F.octet_length("line") + 1).over(own), F.lit(0)).cast("long"))
-    out = out.where("not (k = n - 1 and line = '')")
-    text = F.when((F.col("k") < F.col("n") - 1) & F.col("line").endswith("\r"), F.substr("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
-    return out.select("project", "path", "language", (F.col("k") + 1).alias("line_no"), text.alias("text"), "start_byte")
+    """project, path, language, line_no (from 1), text, start_byte; no exchange, and time in proportion to the bytes of a file."""
+    # The bytes are bound by a lambda, so that they are encoded once for each file.
+    at = F.sequence(F.lit(1), F.octet_length("content"))
+    ends = F.get(F.transform(F.array(F.encode("content", "UTF-8")), lambda data: F.filter(at, lambda i: F.substring(data, i, F.lit(1)) == F.lit(b"\n"))), F.lit(0))
+    starts = F.concat(F.array(F.lit(0)), ends)
+    # A last line that is ended by \\n leaves one start too many.
+    each = F.filter(F.zip_with(line_array(F.col("content")), starts, lambda x, s: F.struct(x.alias("text"), s.alias("start"))), lambda z: z["text"].isNotNull())
+    own = files.where("content != ''").select("project", "path", "language", F.posexplode(each).alias("k", "line"))
+    return own.select("project", "path", "language", (F.col("k") + 1).alias("line_no"), F.col("line.text").alias("text"), F.col("line.start").cast("long").alias("start_byte"))
 
 
 def peek(files: DataFrame, start: int = 0, end: int = 100) -> DataFrame:
@@ -138,9 +137,8 @@ def chunk_text(files: DataFrame, size: int = 5000, overlap: int = 200) -> DataFr
     """The chunks' text, the edges moved on to the next character start."""
     step, total = size - overlap, F.octet_length("content").cast("long")
     n = (1 + F.ceil(F.greatest(total - size, F.lit(0)) / step)).cast("int")
-    data = F.encode("content", "UTF-8")
 
-    def moved(at: Column) -> Column:
+    def moved(data: Column, at: Column) -> Column:
         # A character has at most three bytes after its first.
         inside = [F.hex(F.substring(data, (at + 1 + k).cast("int"), F.lit(1))).between("80", "BF") for k in range(3)]
         return at + F.when(~inside[0], 0).when(~inside[1], 1).when(~inside[2], 2).otherwise(3)
@@ -149,6 +147,10 @@ def chunk_text(files: DataFrame, size: int = 5000, overlap: int = 200) -> DataFr
         raise ValueError("size must be over 0 and overlap under size")
     own = files.where("octet_length(content) > 0")
     ranges = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("index"), (k.cast("long") * step).alias("start"), F.least(k.cast("long") * step + size, total).alias("end")))
-    cut = F.transform(ranges, lambda r: F.struct(r["index"].alias("index"), moved(r["start"]).alias("start"), moved(r["end"]).alias("end")))
-    full = F.transform(cut, lambda r: F.struct(r["index"].alias("index"), r["start"].alias("start"), r["end"].alias("end"), byte_slice(F.col("content"), r["start"], r["end"]).alias("text")))
-    return own.select("project", "path", F.inline(full))
+
+    def texts(data: Column) -> Column:
+        cut = F.transform(ranges, lambda r: F.struct(r["index"].alias("index"), moved(data, r["start"]).alias("start"), moved(data, r["end"]).alias("end")))
+        return F.transform(cut, lambda r: F.struct(r["index"].alias("index"), r["start"].alias("start"), r["end"].alias("end"), F.substring(data, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")).cast("string").alias("text")))
+
+    # The bytes are bound by a lambda, so that they are encoded once for each file.
+    return own.select("project", "path", F.inline(F.get(F.transform(F.array(F.encode("content", "UTF-8")), texts), F.lit(0))))
