@@ -25,7 +25,7 @@ def lines(files: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(1), F.octet_length("content"))
     ends = F.get(F.transform(F.array(F.encode("content", "UTF-8")), lambda data: F.filter(at, lambda i: F.substring(data, i, F.lit(1)) == F.lit(b"\n"))), F.lit(0))
     starts = F.concat(F.array(F.lit(0)), ends)
-    # A last line that is ended by \\n leaves one start too many.
+    # A last line that is ended by \n leaves one start too many.
     each = F.filter(F.zip_with(line_array(F.col("content")), starts, lambda x, s: F.struct(x.alias("text"), s.alias("start"))), lambda z: z["text"].isNotNull())
     own = files.where("content != ''").select("project", "path", "language", F.posexplode(each).alias("k", "line"))
     return own.select("project", "path", "language", (F.col("k") + 1).alias("line_no"), F.col("line.text").alias("text"), F.col("line.start").cast("long").alias("start_byte"))

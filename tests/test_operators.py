@@ -25,6 +25,25 @@ def test_lines(spark):
     assert [(r["text"], r["start_byte"]) for r in rows] == [("é", 0), ("b", 4)]
 
 
+def test_lines_against_plain_splitting(spark):
+    """Ends of all kinds, and a file of many lines, whose time must not grow with their square."""
+    texts = ["", "\n", "\r\n", "\r", "a", "a\r", "a\n\n", "\r\r\nb", "é\r\n€😀\nz\r\n", "a\rb\n", "".join(f"ü line {k}{chr(13) if k % 3 else ''}\n" for k in range(20_000))]
+    f = files(spark, [(str(k), t) for k, t in enumerate(texts)])
+    got = {k: [] for k in range(len(texts))}
+    for r in content.lines(f).orderBy("line_no").collect():
+        got[int(r["path"])].append((r["line_no"], r["text"], r["start_byte"]))
+    for k, t in enumerate(texts):
+        want, at = [], 0
+        for n, raw in enumerate(t.encode().split(b"\n")):
+            ended = at + len(raw) < len(t.encode())
+            if raw or ended:
+                want.append((n + 1, (raw[:-1] if ended and raw.endswith(b"\r") else raw).decode(), at))
+            at += len(raw) + 1
+        assert got[k] == want
+    found = content.matches(f, "line 1999[0-9]$").collect()
+    assert sorted(r["line"] for r in found) == list(range(19991, 20001))
+
+
 def test_languages_and_filters(spark):
     rows = [(".bashrc", "other"), ("a.tar.gz", "other"), ("x.", "other"), ("a.d/x", "other"), ("B.RS", "rust"), ("a.pyi", "python")]
     df = spark.createDataFrame(rows, "path string, want string").withColumn("got", language_of(F.col("path")))
