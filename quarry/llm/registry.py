@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_rules, packing, quality_model, ranked_search, secret_scan, warc_bundles
+from . import chat_format, collocations, decontaminate, html_extract, jaccard_join, license_scan, line_rules, packing, quality_model, ranked_search, secret_scan, toxic_passages, warc_bundles
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_toxic_passages": toxic_passages.op12_toxic_passages,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLES = {"op4_line_rules": line_rules.ORACLE_SQL, "op8_warc_bundles": warc_bundles.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL}
+ORACLES = {"op4_line_rules": line_rules.ORACLE_SQL, "op8_warc_bundles": warc_bundles.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
