@@ -2,8 +2,9 @@
 
 Base spans come from three patterns on the text itself.  The worklist then unwraps layers: per cent escapes (%XX, %uXXXX), backslash
 escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX), base64 runs and, inside those, compressed data (gzip, zlib, bzip2, xz, zstd; all members and
-frames, however deep).  Base64 may be wrapped over lines and glued to other signs of its alphabet: a run is decoded from each of its four
-alignments and from every place where compressed data may begin.  Bytes that are no UTF-8 are read as Latin-1.  Every layer is scanned
+frames, however deep).  Base64 may be wrapped over lines, which are joined first, and glued to other signs of its alphabet: a run of any length is
+decoded from each of its four alignments and from every place where compressed data may begin.  Bytes that are no UTF-8 are read as Latin-1, and
+those of UTF-16 lose their zero bytes.  Every layer is scanned (joined lines only for what they encode)
 with the same patterns and put on the list again, until nothing new comes out.  A layer is unwrapped once, known by its digest, which
 ends cycles; its finds are mapped back to every place that it was decoded from, down to code points of the text: escapes
 map character by character, a whole base64 run as a whole, a shifted one by groups of four characters.
@@ -47,6 +48,10 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
 #: How compressed data begins in base64 (gzip, bzip2, xz, zstd, zlib), fixed values.
 PACKED = re.compile(r"H4sI|QlpoO|QlpoM|Qlpo[N-Z]|/Td6WFoA|KLUv|eJ|eAE|eF4|eNo")
+#: Characters of UTF-16 text up to U+00FF, read byte by byte.
+WIDE = re.compile(r"(?:[^\0]\0){6,}|(?:\0[^\0]){6,}")
+STANDARD = str.maketrans("-_", "+/")
+LONGEST_MARK = 6
 WINDOW, OVERLAP = 32 << 20, 1 << 20
 
 
@@ -125,6 +130,11 @@ def _backslash(group: str) -> Iterator[tuple[str, int]]:
         k += 1
 
 
+def _wide(group: str) -> Iterator[tuple[str, int]]:
+    for c in group.replace("\0", ""):
+        yield c, 2
+
+
 def _opener(data: bytes):
     """A new decompressor for data that begins like compressed data, else None."""
     if data[:2] == b"\x1f\x8b":
@@ -156,40 +166,43 @@ def _fed(d, data: bytes) -> Iterator[bytes]:
 
 def _inflated(chunks: Iterator[bytes], opener) -> Iterator[bytes]:
     """What compressed chunks hold, in pieces; ends where they are broken."""
-    d, fresh = opener(), False
+    d, rest = opener(), b""
     try:
         for chunk in chunks:
-            at = 0
-            while at < len(chunk):
-                if fresh:  # another member or frame, or what follows the data
-                    if (opener := _opener(chunk[at : at + 8])) is None:
+            data, rest, at = rest + chunk, b"", 0
+            while at < len(data):
+                if d is None:  # another member or frame, or what follows the data
+                    if len(data) - at < LONGEST_MARK:
+                        rest = data[at:]
+                        break
+                    if (opener := _opener(data[at : at + LONGEST_MARK])) is None:
                         return
-                    d, fresh = opener(), False
-                yield from filter(None, _fed(d, chunk[at : at + 512]))
-                at = min(at + 512, len(chunk))
+                    d = opener()
+                yield from filter(None, _fed(d, data[at : at + 512]))
+                at = min(at + 512, len(data))
                 if d.eof:
-                    at, fresh = at - len(d.unused_data), True
+                    at, d = at - len(d.unused_data), None
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
         return
 
 
-def _windows(data: bytes) -> Iterator[bytes]:
-    """The windows of what data holds, however often it is compressed; data itself when it isn't."""
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The windows of what chunks hold, however often it is compressed; all of it when it isn't."""
     seen: set[bytes] = set()
-    while (opener := _opener(data)) is not None:
-        stream = _inflated(iter((data,)), opener)
+    head = next(chunks, b"")
+    while (opener := _opener(head)) is not None:
+        stream = _inflated(itertools.chain((head,), chunks), opener)
         held = bytearray()
         for part in stream:
             held += part
             if len(held) > WINDOW:
                 break
         else:
-            inner = bytes(held)
-            mark = hashlib.blake2b(inner, digest_size=16).digest()
-            if not inner or mark in seen:
+            head, chunks = bytes(held), iter(())
+            mark = hashlib.blake2b(head, digest_size=16).digest()
+            if not head or mark in seen:
                 return
             seen.add(mark)
-            data = inner
             continue
         # Too much for one window: the rest is streamed, through further layers of compression where there are any.
         stream = itertools.chain((bytes(held),), stream)
@@ -203,46 +216,60 @@ def _windows(data: bytes) -> Iterator[bytes]:
                 del held[:-OVERLAP]
         yield bytes(held)
         return
-    yield data
+    yield b"".join((head, *chunks))
+
 
+def _decoded(run: str, at: int = 0) -> Iterator[bytes]:
+    """The bytes of a base64 run without padding from a place on, in growing chunks; a single sign at the end holds no byte."""
+    size, end = 256, len(run) - ((len(run) - at) % 4 == 1)
+    while at < end:
+        part = run[at : min(at + size, end)]
+        yield base64.b64decode(part + "=" * (-len(part) % 4))
+        at, size = at + size, min(2 * size, 1 << 20)
 
-def _texts(run: str) -> Iterator[str]:
-    """The texts that a base64 run holds."""
-    run = run.rstrip("=").replace("-", "+").replace("_", "/")
-    run = run[: len(run) - (len(run) % 4 == 1)]
-    for data in _windows(base64.b64decode(run + "=" * (-len(run) % 4))):
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    for data in _windows(chunks):
         try:
             yield data.decode()
         except UnicodeDecodeError:
             yield data.decode("latin-1")
 
 
-def _layers(text: str) -> Iterator[tuple[str, list[Layer]]]:
-    """(decoded text, its places in text); a run that stands several times is decoded once."""
+def _telling(text: str) -> bool:
+    """Whether a scan of text, or of what is encoded in it, can find something."""
+    low = text.lower()
+    return any(k in low for k in KEYS) or any(x in text for x in ("AKIA", "%", "\\")) or bool(HEX.search(text) or BASE64.search(text) or WIDE.search(text))
+
+
+def _layers(text: str) -> Iterator[tuple[str, list[Layer], bool]]:
+    """(decoded text, its places in text, whether it is scanned itself); a run that stands several times is decoded once."""
     runs: dict[str, list[tuple[int, int]]] = {}
     for m in BASE64.finditer(text):
         runs.setdefault(m[0], []).append(m.span())
-    for m in WRAPPED.finditer(text) if "\n" in text else ():
-        runs.setdefault(re.sub(r"\s+", "", m[0]), []).append(m.span())
     for run, places in runs.items():
-        for inner in _texts(run):
-            yield inner, [Layer("", [(0, s, e, 0)]) for s, e in places]
-        plain = [(s, e) for s, e in places if e - s == len(run)]  # not wrapped
+        run = run.rstrip("=").translate(STANDARD)
+        for inner in _texts(iter((b"".join(_decoded(run)),))):
+            yield inner, [Layer("", [(0, s, e, 0)]) for s, e in places], True
         for k in range(1, 4):
-            part = run[k:].rstrip("=").replace("-", "+").replace("_", "/")
-            part = part[: len(part) // 4 * 4]
             # One byte, one character, so that groups can be counted.
-            inner = base64.b64decode(part).decode("latin-1")
-            if plain and (len(inner) >= 16 and (any(x in inner.lower() for x in KEYS) or "AKIA" in inner or "%" in inner or "\\" in inner or HEX.search(inner) or BASE64.search(inner))):
-                yield inner, [Layer("", [(0, s + k, e, 4)]) for s, e in plain]
-        for m in PACKED.finditer(run.replace("-", "+").replace("_", "/")) if plain else ():
-            if m.start() and _opener(base64.b64decode((run[m.start() : m.start() + 12].rstrip("=").replace("-", "+").replace("_", "/") + "AAAA")[:12])):
-                for inner in _texts(run[m.start() :]):
-                    yield inner, [Layer("", [(0, s + m.start(), e, 0)]) for s, e in plain]
-    for mark, groups, read in (("%", PERCENT, _percent), ("\\", BACKSLASH, _backslash)):
+            inner = b"".join(_decoded(run, k)).decode("latin-1")
+            if _telling(inner):
+                yield inner, [Layer("", [(0, s + k, e, 4)]) for s, e in places], True
+        for m in PACKED.finditer(run):
+            if m.start() and _opener(next(_decoded(run[m.start() : m.start() + 12]), b"")):
+                for inner in _texts(_decoded(run, m.start())):
+                    yield inner, [Layer("", [(0, s + m.start(), e, 0)]) for s, e in places], True
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        pieces, at = [], 0
+        for line in re.finditer(r"[^\s]+", m[0]):
+            pieces.append((at, m.start() + line.start(), m.start() + line.end(), 1))
+            at += len(line[0])
+        yield "".join(m[0].split()), [Layer("", pieces)], False
+    for mark, groups, read in (("%", PERCENT, _percent), ("\\", BACKSLASH, _backslash), ("\0", WIDE, _wide)):
         if mark in text and (layer := _escaped(text, groups, read)):
             inner, layer.text = layer.text, ""
-            yield inner, [layer]
+            yield inner, [layer], True
 
 
 def _key(text: str) -> bytes:
@@ -258,10 +285,10 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     above: dict[bytes, list[tuple[bytes, Layer]]] = {}
     while work:
         outer, text = work.pop()
-        for inner, places in _layers(text):
-            key = _key(inner)
+        for inner, places, scanned in _layers(text):
+            key = _key(inner) if scanned else b"joined" + _key(inner)
             if key not in found:
-                found[key] = set(scan(inner))
+                found[key] = set(scan(inner)) if scanned else set()
                 work.append((key, inner))
             above.setdefault(key, []).extend((outer, x) for x in places)
     # Finds go up to every place of their text, until no place gets a new one.

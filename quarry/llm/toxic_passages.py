@@ -179,7 +179,7 @@ def _pruned(counts: dict[str, tuple[int, int]], model: Model) -> dict[str, tuple
     return {x: counts[x] for x in kept}
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = 12_000) -> Model:
     rows = stored(_learned(docs, labels, label, train_rows), "toxic-rows")
     table_ = rows.mapInPandas(_counted, "node string, a long, b long").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(f"a + b >= {LEAST_DOCS}").toPandas()
     counts = {x: (int(a), int(b)) for x, a, b in zip(table_["node"], table_["a"], table_["b"], strict=True)}
