@@ -151,7 +151,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, y in zip(b["text"], b["y"], strict=True):
             (toxic if y else other).update({"", *(x for w in set(TOKEN.findall(text or "")) for x in nodes(w))})
     names = list(toxic | other)
-    yield pd.DataFrame({"node": names, "a": [toxic[x] for x in names], "b": [other[x] for x in names]})
+    if names:
+        yield pd.DataFrame({"node": names, "a": [toxic[x] for x in names], "b": [other[x] for x in names]})
 
 
 def _above(x: str) -> str:
