@@ -1,8 +1,9 @@
 """One left-to-right pass over a source text: symbols, calls, variables and comment/string spans.
 
-Comments and strings are masked with blanks of equal length; definitions, calls and bindings are then found by patterns on the mask,
-and ends by braces or, for Python, by indentation.  This is a lexer and not a grammar: what it approximates are Scala bodies without
-braces (they end with their line's deeper indentation), regular-expression literals of JavaScript (taken for division) and code inside
+Comments and strings are masked with blanks of equal length.  An automaton reads the tokens of the mask (`declarations.py`): it gives the
+declarations with their ends, the calls (without patterns, attributes, enum constants and macros' arguments, which look alike) and the parameters.
+A sweep with a stack finds the functions around each call and variable.  Any text goes through, in linear time.  What is approximated are Scala bodies without
+braces (they end with their line), regular-expression literals of JavaScript (taken for division) and code inside
 interpolated strings (part of the string).
 """
 
@@ -10,6 +11,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
+
+from .declarations import Declarations, Found
+from .tokens import CLOSES, Tokens
 
 C_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 STRING = r'"(?:\\.|[^"\\\n])*"'
@@ -28,37 +33,7 @@ SPANS = {
 HOLDERS = ("class", "interface", "trait", "struct", "enum", "object", "impl")
 NESTED = ("rust", "scala")  # block comments nest
 SPAN = {k: re.compile(v, re.S) for k, v in SPANS.items()}
-ID = r"[A-Za-z_$][\w$]*"
-MODS = r"(?:(?:pub(?:\([^)]*\))?|export|default|declare|async|unsafe|extern|const|public|private|protected|static|final|abstract|override|sealed|case|implicit|lazy|inline|synchronized|native|strictfp)\s+)*"
-START = r"(?:^|(?<=[;{}\]]))[ \t]*+"  # a definition begins a line or follows another one, a brace or an attribute
-# kind, pattern with group "name"; the first kind that takes a definition wins.
-DEFINITIONS = {
-    "python": [("class", rf"^[ \t]*class\s+(?P<name>{ID})"), ("function", rf"^[ \t]*(?:async\s+)?def\s+(?P<name>{ID})")],
-    "rust": [
-        ("function", rf"{START}{MODS}fn\s+(?P<name>{ID})"), ("struct", rf"{START}{MODS}struct\s+(?P<name>{ID})"), ("enum", rf"{START}{MODS}enum\s+(?P<name>{ID})"),
-        ("trait", rf"{START}{MODS}trait\s+(?P<name>{ID})"), ("type", rf"{START}{MODS}type\s+(?P<name>{ID})"), ("module", rf"{START}{MODS}mod\s+(?P<name>{ID})"),
-        ("constant", rf"{START}(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>(?!fn\b){ID})\s*:"),
-    ],
-    "go": [
-        ("method", rf"^func\s*\([^)]*\)\s*(?P<name>{ID})"), ("function", rf"^func\s+(?P<name>{ID})"), ("struct", rf"^[ \t]*(?:type\s+)?(?P<name>{ID})(?:\[[^\]]*\])?\s+struct\b"),
-        ("interface", rf"^[ \t]*(?:type\s+)?(?P<name>{ID})(?:\[[^\]]*\])?\s+interface\b"), ("type", rf"^type\s+(?P<name>{ID})\b(?!\s+(?:struct|interface)\b)"), ("constant", rf"^(?:const|var)\s+(?P<name>{ID})"),
-    ],
-    "java": [
-        ("interface", rf"{START}{MODS}@?interface\s+(?P<name>{ID})"), ("enum", rf"{START}{MODS}enum\s+(?P<name>{ID})"), ("class", rf"{START}{MODS}class\s+(?P<name>{ID})"),
-        ("method", rf"{START}(?!(?:(?:public|private|protected)\s+)?{ID}\s*\(){MODS}(?:<[^>\n]*>\s*)?(?!return\b|new\b|else\b|throw\b)[\w$.<>\[\],? ]*[\w$>\]]\s+(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b){ID})\s*\([^;{{}}]*\)\s*(?:throws[\w$., ]+)?(?=[{{;])"),
-    ],
-    "scala": [("trait", rf"{START}{MODS}trait\s+(?P<name>{ID})"), ("class", rf"{START}{MODS}class\s+(?P<name>{ID})"), ("function", rf"{START}{MODS}def\s+(?P<name>{ID})"), ("type", rf"{START}{MODS}type\s+(?P<name>{ID})")],
-}
-SCRIPT = [
-    ("class", rf"{START}{MODS}class\s+(?P<name>{ID})"), ("function", rf"{START}{MODS}function\s*\*?\s*(?P<name>{ID})"),
-    ("constant", rf"{START}{MODS}(?:const|let|var)\s+(?P<name>{ID})(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:\([^)]*\)(?:\s*:[^=\n]+)?|{ID})\s*=>"),
-    ("method", rf"(?:^[ \t]+|(?<=[;{{}}])[ \t]*){MODS}(?:get\s+|set\s+)?(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b){ID})\s*\([^;{{}}()]*\)\s*(?::[^={{\n]+)?(?=\{{)"),
-]
-DEFINITIONS["javascript"] = SCRIPT
-DEFINITIONS["typescript"] = [*SCRIPT, ("interface", rf"{START}{MODS}interface\s+(?P<name>{ID})"), ("enum", rf"{START}{MODS}enum\s+(?P<name>{ID})"), ("type", rf"{START}{MODS}type\s+(?P<name>{ID})\s*[=<]")]
-DEFINITION = {k: [(kind, re.compile(p, re.M)) for kind, p in v] for k, v in DEFINITIONS.items()}
-CALL = re.compile(rf"(?P<name>{ID})\s*(?:::\s*<[^>()]*>\s*)?\(")
-MACRO = re.compile(rf"(?P<name>{ID})!\s*[(\[{{]")
+ID = r"(?:[^\W\d]|\$)[\w$]*"
 #: Words that stand before a bracket without being called.
 NOT_CALLS = {
     "python": frozenset("if elif else for while return and or not in is lambda with assert del yield await except import from as raise try def class".split()),
@@ -69,31 +44,24 @@ NOT_CALLS = {
     "javascript": frozenset("if for while switch catch return function typeof void delete instanceof in of await yield super import throw else do with async case".split()),
 }
 NOT_CALLS["typescript"] = NOT_CALLS["javascript"]
-CONSTRUCTOR = re.compile(rf"{START}(?:(?:public|private|protected)\s+)?(?P<name>{ID})\s*\([^;{{}}]*\)\s*(?:throws[\w$., ]+)?(?=\{{)", re.M)
-NEW = re.compile(r"\bnew\s+(?:[\w$]+\s*\.\s*)*\Z")
-GROUP = re.compile(r"^(?P<what>const|var|type)\s*\(", re.M)
-SPEC = re.compile(rf"[ \t]*(?P<names>{ID}(?:\s*,\s*{ID})*)(?P<rest>[^\n]*)")
 BIND = {
     "python": [
         rf"(?:^|;)[ \t]*(?P<n>[(\[]?\s*\*?{ID}(?:\s*,\s*[(\[]?\*?{ID}[)\]]?)*\s*,?\s*[)\]]?)\s*(?::[^=\n]+)?=(?!=)", rf"(?<![=!<>+*/%&|^@:-])=\s*(?P<n>{ID}(?:\s*,\s*{ID})*)\s*=(?!=)", rf"(?P<n>{ID})\s*:=", rf"\bfor\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)\)?\s+in\b", rf"\bas\s+(?P<n>{ID})\s*[,:)]",
     ],
     "rust": [rf"\blet\s+(?:mut\s+)?(?:{ID})?\(?(?P<n>(?:mut\s+)?{ID}(?:\s*,\s*(?:mut\s+)?{ID})*)\)?\s*(?::[^=;\n]+)?[=;]", rf"\bfor\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)\)?\s+in\b", rf"\b(?:if|while)\s+let\s+(?:{ID}::)*{ID}\(\s*(?P<n>(?:ref\s+)?(?:mut\s+)?{ID}(?:\s*,\s*{ID})*)\s*\)", rf"\blet\s+(?:{ID}::)*{ID}\s*\{{\s*(?P<n>{ID}(?:\s*,\s*{ID})*)\s*(?:,\s*\.\.\s*)?\}}\s*="],
     "go": [rf"(?P<n>{ID}(?:\s*,\s*{ID})*)\s*:=", rf"\bvar\s+(?P<n>{ID}(?:\s*,\s*{ID})*)"],
-    "java": [rf"(?:^|[;{{(])\s*(?:final\s+)?(?!return\b|new\b|throw\b|else\b)[A-Za-z_$][\w$.<>\[\],]*\s+(?P<n>{ID})\s*(?:=(?!=)|;|:)"],
+    "java": [rf"(?:^[ \t]*|[;{{(]\s*)(?:final\s+)?(?!return\b|new\b|throw\b|else\b)[^\W\d][\w$.<>\[\],]*\s+(?P<n>{ID})\s*(?:=(?!=)|;|:)"],
     "scala": [rf"\b(?:val|var)\s+\(?(?P<n>{ID}(?:\s*,\s*{ID})*)"],
 }
-BIND["javascript"] = BIND["typescript"] = [rf"\b(?:const|let|var)\s+(?P<n>{ID})\b(?!\s*(?:in|of)\b)", rf"\b(?:const|let|var)\s+[\[{{](?P<n>[^\]}}=]*)[\]}}]\s*=", rf"\b(?:const|let|var)\s+(?P<n>{ID})\s+(?:in|of)\b"]
 BINDINGS = {k: [re.compile(p, re.M) for p in v] for k, v in BIND.items()}
-IMPL = re.compile(rf"^[ \t]*(?:unsafe\s+)?impl(?:<[^{{]*?>)?\s+(?:[^{{\n]*?\bfor\s+)?(?P<name>{ID})", re.M)
-
-
 def code_spans(text: str, language: str) -> list[tuple[int, int]]:
     """Comments and strings as character ranges."""
     out, at, pattern = [], 0, SPAN[language]
-    nested = language in NESTED
+    block = text.find("/*") if language in NESTED else -1
     while True:
         m = pattern.search(text, at)
-        block = text.find("/*", at) if nested else -1
+        if 0 <= block < at:
+            block = text.find("/*", at)
         if block >= 0 and (m is None or block < m.start()):
             depth, k = 1, block + 2
             while depth and k < len(text):
@@ -122,107 +90,178 @@ def _masked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[done:]
 
 
-def _depths(mask: str):
-    """Whether a place lies within brackets."""
-    at, depth, d = [], [0], 0
-    for m in re.finditer(r"[()\[\]{}]", mask):
-        d = max(0, d + (1 if m[0] in "([{" else -1))
-        at.append(m.start())
-        depth.append(d)
-    return lambda k: depth[bisect_right(at, k - 1)] > 0
+def _python_end(t: Tokens, found: Found, mask: str, starts: list[int], indents: list[int], ends: list[int]) -> int:
+    """A definition ends with its last deeper line (indents: -1 for lines without code), or with its line if its body follows the colon."""
+    k = found.name + 1
+    while k < t.n and t.text[k] not in (":", "\n") and t.text[k] not in CLOSES:
+        k = t.after(k)
+    line = bisect_right(starts, t.pos[min(k, t.n - 1)]) - 1
+    own, end = t.pos[found.first] - starts[bisect_right(starts, t.pos[found.first]) - 1], ends[line]
+    for n in range(line + 1, len(starts)):
+        if indents[n] >= 0:
+            if indents[n] <= own:
+                break
+            end = ends[n]
+    return end
+
 
+def _not_called(t: Tokens, found: Declarations) -> set[int]:
+    """Names before a bracket that are no call: patterns, attributes, macros' arguments, enum constants, annotations, signatures."""
+    out, edges, language, skip = set(found.built), [0] * (t.n + 1), found.language, 0
 
-def _closing(mask: str) -> dict[int, int]:
-    """Place after the matching brace of each opening one."""
-    open_, out = [], {}
-    for m in re.finditer(r"[{}]", mask):
-        if m[0] == "{":
-            open_.append(m.start())
-        elif open_:
-            out[open_.pop()] = m.end()
-    for k in open_:
-        out[k] = len(mask)
-    return out
+    def leave(first: int, end: int) -> None:
+        if first < end:
+            edges[min(first, t.n)] += 1
+            edges[min(end, t.n)] -= 1
 
+    def until(k: int, end: int, stops: tuple[str, ...]) -> int:
+        while k < end and t.text[k] not in stops and t.text[k] not in CLOSES:
+            k = t.after(k)
+        return min(k, end)
 
-def _end(mask: str, language: str, start: int, after: int, braces: dict[int, int], starts: list[int]) -> int:
-    if language == "python":
-        line = bisect_right(starts, start) - 1
-        own = start - starts[line]
-        depth, k = 0, after
-        while k < len(mask) and not (mask[k] == ":" and depth == 0):
-            depth += (mask[k] in "([{") - (mask[k] in ")]}")
-            k += 1
-        end = mask.find("\n", k)
-        end = len(mask) if end < 0 else end
-        line = bisect_right(starts, min(end, len(mask) - 1)) if end < len(mask) else len(starts)
-        while line < len(starts):
-            a, b = starts[line], starts[line + 1] - 1 if line + 1 < len(starts) else len(mask)
-            body = mask[a:b]
-            if body.strip():
-                if len(body) - len(body.lstrip()) <= own:
-                    break
-                end = a + len(body.rstrip())
-            line += 1
-        return end
-    k = after
+    for i, x in enumerate(t.text):
+        if language == "rust":
+            if x == "#" and t.at(i + 1 + (t.at(i + 1) == "!")) == "[" or x == "!" and t.name(i - 1) and t.at(i + 1) in ("(", "[", "{") and i >= skip:
+                k = i + 1 + (t.at(i + 1) == "!")
+                leave(k, t.mate[k])
+                skip = max(skip, t.mate[k])
+            elif x == "let":
+                leave(i + 1, until(i + 1, t.n, ("=", ";", "{", "let")))
+            elif x == "match" and t.at(k := found.stop[min(i + 1, t.n)]) == "{":
+                j, end = k + 1, min(t.mate[k], t.n)
+                while j < end:
+                    arrow = until(j, end, ("=>", "if"))
+                    leave(j, arrow)
+                    j = t.over_lines(until(arrow, end, ("=>",)) + 1)
+                    j = t.after(j) if t.at(j) == "{" else until(j, end, (",",)) + 1
+                    j += t.at(j) == ","
+        elif x == "@" and language in ("java", "scala") and t.name(i + 1):
+            k = i + 1
+            while t.at(k + 1) == "." and t.name(k + 2):
+                k += 2
+            out.add(k)
+        elif language == "scala" and x == "case" and t.at(i + 1) not in ("class", "object"):
+            leave(i + 1, until(i + 1, t.n, ("=>", "if", "\n", "<-", "=", "case")))
+    for brace, kind in found.bodies.items():
+        if kind == "enum" and language in ("java", "rust") or kind == "interface" and language in ("go", "typescript"):
+            k, end = brace + 1, min(t.mate[brace], t.n)
+            while k < end and not (language == "java" and t.text[k] == ";"):
+                out.add(k)
+                k = t.after(k)
     depth = 0
-    while k < len(mask):
-        c = mask[k]
-        if c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "{" and depth <= 0:
-            return braces.get(k, len(mask))
-        elif c == ";" and depth <= 0:
-            return k + 1
-        elif c == "\n" and depth <= 0:
-            rest = mask[k:].lstrip()
-            if language in ("go", "scala") or (language in ("javascript", "typescript") and not rest.startswith("{")):
-                return len(mask[:k].rstrip()) if not (language == "scala" and rest.startswith("{")) else braces.get(mask.index("{", k), len(mask))
-        k += 1
-    return len(mask.rstrip())
+    for i in range(t.n):
+        depth += edges[i]
+        if depth:
+            out.add(i)
+    return out
 
 
-def _go_groups(mask: str, found: dict[int, tuple]) -> None:
-    """Adds the names of const ( ... ), var ( ... ) and type ( ... ), and of further names in const A, B."""
-    for m in GROUP.finditer(mask):
-        depth, k = 0, m.end()
-        while k < len(mask) and (depth or mask[k] != ")"):
-            end = mask.find("\n", k)
-            end = len(mask) if end < 0 else end
-            if not depth and (own := SPEC.match(mask, k, end)):
-                kind = "constant" if m["what"] != "type" else "struct" if re.match(r"(?:\[[^\]]*\])?\s*struct\b", own["rest"]) else "interface" if re.match(r"(?:\[[^\]]*\])?\s*interface\b", own["rest"]) else "type"
-                for w in re.finditer(ID, own["names"]):
-                    at = own.start("names") + w.start()
-                    found.setdefault(at, (w[0], kind, at, k + len(mask[k:end].rstrip())))
-            for c in mask[k:end]:
-                depth += (c in "([{") - (c in ")]}")
-                if depth < 0:
-                    break
-            k = end + 1
-            if depth < 0:
-                break
-            while k < len(mask) and not depth and mask[k] in " \t\n":
+def _calls(t: Tokens, language: str, found: Declarations) -> list[int]:
+    """The name tokens of calls."""
+    names, no = {x.name for x in found.found if x.kind != "impl"}, _not_called(t, found)
+    lines = language in ("rust", "java", "javascript", "typescript")
+    script = language in ("javascript", "typescript")
+    out = []
+    for i, x in enumerate(t.text):
+        if not t.name(i) or i in names or i in no:
+            continue
+        k = t.over_lines(i + 1) if lines else i + 1
+        if language == "rust" and t.at(k) == "::" and t.at(k + 1) == "<" and k + 1 in t.angle:
+            k = t.angle[k + 1] + 1
+        elif language == "typescript" and t.at(k) == "<" and k in t.angle and t.pos[k] == t.end(i):
+            k = t.angle[k] + 1
+        elif language == "rust" and t.at(k) == "!" and t.at(k + 1) in ("(", "[", "{") and x not in NOT_CALLS[language]:
+            out.append(i)
+            continue
+        if t.at(k) != "(":
+            continue
+        before = i - 1
+        while before >= 0 and t.text[before] == "\n":
+            before -= 1
+        member = t.at(before) in (".", "::", "?.")
+        if not member and (x in NOT_CALLS[language] or language == "rust" and x in ("Fn", "FnMut", "FnOnce")):
+            continue
+        if script:
+            if x == "new" and not member:
+                continue
+            while t.at(before) == "." and t.name(before - 1):
+                before -= 2
+            if t.at(before) == "new":
+                continue
+        if language == "scala" and t.at(i - 1) in ("class", "object", "trait"):
+            continue
+        out.append(i)
+    return out
+
+
+def _bound_params(t: Tokens, found: Found, language: str) -> Iterator[int]:
+    """The name tokens of parameters; none where the bracket never closes."""
+    end = t.mate[found.params]
+    if end >= t.n:
+        return
+    first = k = found.params + 1
+    while k <= end:
+        if k == end or t.text[k] == ",":
+            stop = k
+            if language != "java":
+                stop = first
+                while stop < k and t.text[stop] not in (":", "="):
+                    stop = t.after(stop)
+                stop = min(stop, k)
+            words = [j for j in range(first, stop) if t.name(j) and t.text[j] not in ("mut", "ref", "final", "const")]
+            head = t.at(t.over_lines(first))
+            if language == "go":
+                words = words[:1]
+            elif head not in ("{", "["):
+                words = words[-1:]
+            yield from words
+            first = k + 1
+        k = t.after(k) if k < end else k + 1
+
+
+def _script_bindings(t: Tokens) -> Iterator[int]:
+    """The name tokens that const, let and var bind."""
+    for i, x in enumerate(t.text):
+        if x not in ("const", "let", "var") or t.at(i - 1) in (".", "?."):
+            continue
+        k = i + 1
+        while True:
+            if t.name(k) and t.text[k] not in ("enum", "const", "let", "var"):
+                yield k
                 k += 1
-    for m in re.finditer(rf"^(?:const|var)[ \t]+{ID}(?P<more>(?:[ \t]*,[ \t]*{ID})+)", mask, re.M):
-        end = mask.find("\n", m.end())
-        for w in re.finditer(ID, m["more"]):
-            found.setdefault(m.start("more") + w.start(), (w[0], "constant", m.start(), len(mask) if end < 0 else end))
+            elif t.at(k) in ("{", "[") and t.at(t.after(k)) in ("=", ":", "of", "in"):
+                yield from (j for j in range(k + 1, min(t.mate[k], t.n)) if t.name(j) and t.at(j + 1) != ":")
+                k = t.after(k)
+            else:
+                break
+            while k < t.n and t.text[k] not in (",", ";") and t.text[k] not in CLOSES and not (t.text[k] == "\n" and t.at(k - 1) not in ("=", "=>", ",")):
+                k = t.after(k)
+            if t.at(k) != ",":
+                break
+            k = t.over_lines(k + 1)
+
+
+def _further(t: Tokens, place: int) -> Iterator[int]:
+    """The names of further declarators after the token at a place: int x = 1, y = 2."""
+    k = bisect_right(t.pos, place)
+    while k < t.n and t.text[k] != ";" and t.text[k] not in CLOSES and not (t.text[k] == "\n" and t.at(k - 1) != ","):
+        if t.text[k] == "," and t.name(j := t.over_lines(k + 1)) and t.at(j + 1) in ("=", ",", ";", ":", "\n"):
+            yield j
+        k = t.after(k)
 
 
-def _further(mask: str, at: int) -> list[tuple[int, str]]:
-    """Names of the further declarators after one that ends at a place: int x = 1, y = 2."""
-    out, depth, k = [], 0, at
-    while k < len(mask):
-        c = mask[k]
-        depth += (c in "([{") - (c in ")]}")
-        if depth < 0 or not depth and c == ";" or not depth and c == "\n" and not mask[at:k].rstrip().endswith(","):
-            break
-        if not depth and c == "," and (m := re.compile(rf"\s*({ID})\s*(?=[=,;:\n]|\Z)").match(mask, k + 1)):
-            out.append((m.start(1), m[1]))
-        k += 1
+def _around(functions: list[tuple[int, int, int]], places: list[int], all_: bool) -> list[list[int]]:
+    """The functions (start, end, number) around each place, outermost first, or the innermost alone; both lists in ascending order.  One sweep with a stack."""
+    out, stack, k = [], [], 0
+    for p in places:
+        while k < len(functions) and functions[k][0] <= p:
+            while stack and stack[-1][1] <= functions[k][0]:
+                stack.pop()
+            stack.append(functions[k])
+            k += 1
+        while stack and stack[-1][1] <= p:
+            stack.pop()
+        out.append([n for _, end, n in stack if end > p] if all_ else [n for _, _, n in stack[-1:]])
     return out
 
 
@@ -241,90 +280,70 @@ def code_facts(text: str, language: str) -> dict:
         return {"symbols": [], "calls": [], "variables": [], "spans": None, "lines": [at(k) for k in starts]}
     spans = code_spans(text, language)
     mask = _masked(text, spans)
-    braces = _closing(mask)
 
     def line(k: int) -> int:
         return bisect_right(starts, k)
 
-    found: dict[int, tuple] = {}
-    for kind, pattern in DEFINITION[language]:
-        for m in pattern.finditer(mask):
-            if m.start("name") in found:
-                continue
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            end = _end(mask, language, start, m.end(), braces, starts)
-            found[m.start("name")] = (m["name"], kind, start, end)
-    if language == "go":
-        _go_groups(mask, found)
-    own = list(found.values())
-    if language == "scala":
-        own += [(m["name"], "object", m.start(), _end(mask, language, m.start(), m.end(), braces, starts)) for m in re.finditer(rf"\bobject\s+(?P<name>{ID})", mask)]
-    if language == "rust":
-        own += [(m["name"], "impl", m.start(), _end(mask, language, m.start(), m.end(), braces, starts)) for m in IMPL.finditer(mask)]
-    names = set(found)
-    symbols, functions, around = [], [], []  # around: what is open at a place, outermost first
-    for name, kind, start, end in sorted(own, key=lambda x: (x[2], -x[3])):
+    t = Tokens(mask)
+    found = Declarations(t, language, len(mask.rstrip()))
+    own = found.run()
+    if language == "python":
+        edges = [*starts[1:], len(mask) + 1]
+        bodies = [mask[s : e - 1] for s, e in zip(starts, edges, strict=True)]
+        indents = [len(x) - len(x.lstrip()) if x.strip() else -1 for x in bodies]
+        ends = [s + len(x.rstrip()) for s, x in zip(starts, bodies, strict=True)]
+        for x in own:
+            x.end = _python_end(t, x, mask, starts, indents, ends)
+    symbols, functions = [], []
+    around: list[tuple] = []  # what is open at a place, outermost first: name, kind, end, the nearest class or the like
+
+    def parent_of(open_: list[tuple]) -> str | None:
+        return open_[-1][3] if open_ else None
+
+    for x in sorted(own, key=lambda x: (t.pos[x.first], -x.end)):
+        start, end, kind, name = t.pos[x.first], x.end, x.kind, x.text or t.text[x.name]
+        if kind == "impl":
+            name = mask[slice(*map(int, name.split(":")))]
         while around and around[-1][2] <= start:
             around.pop()
-        holders = [x for x in around if x[1] in HOLDERS and end <= x[2]]
-        parent = holders[-1][0] if holders else None
-        if kind == "function" and parent and language in ("python", "rust") and next(x for x in reversed(around) if end <= x[2])[1] in HOLDERS:
+        while around and around[-1][2] < end:  # only ends that cross, which no program has
+            around.pop()
+        innermost, parent = (around[-1][1], around[-1][3]) if around else (None, None)
+        if kind == "function" and language == "rust":
+            kind, parent = ("method", parent) if innermost == "impl" else (kind, None if innermost == "trait" else parent)
+        elif kind == "function" and parent and language == "python" and innermost in HOLDERS:
             kind = "method"
-        around.append((name, kind, end))
+        around.append((name, kind, end, name if kind in HOLDERS else parent_of(around)))
         if kind in ("object", "impl"):
             continue
         if kind in ("function", "method"):
-            functions.append((start, end))
+            functions.append((start, end, len(symbols)))
         signature = text[start:end].split("\n", 1)[0].removesuffix("\r")
         symbols.append({"name": name, "kind": kind, "start_byte": at(start), "end_byte": at(end), "start_line": line(start), "end_line": line(max(start, end - 1)), "signature": signature, "parent": parent if kind in ("function", "method") else None})
-    calls = []
-    patterns = (CALL, MACRO) if language == "rust" else (CALL,)
-    built = {m.start("name") for m in CONSTRUCTOR.finditer(mask)} if language == "java" else ()
-    for m in sorted((m for p in patterns for m in p.finditer(mask)), key=lambda m: m.start()):
-        k = m.start("name")
-        while k and mask[k - 1].isspace():
-            k -= 1
-        member = mask[max(0, k - 2) : k] in ("::", "?.") or mask[k - 1 : k] == "." and mask[max(0, k - 2) : k] != ".."
-        if m["name"] in NOT_CALLS[language] and not member or m.start("name") in names or m.start("name") in built or language in ("javascript", "typescript") and (m["name"] == "new" and not member or NEW.search(mask, max(0, m.start() - 200), m.start())):
-            continue
-        if language == "scala" and re.search(r"\b(?:class|object|trait)\s+\Z", mask[max(0, m.start() - 12) : m.start()]):
-            continue
-        k = line(m.start())
-        whole = text[starts[k - 1] : starts[k] - 1 if k < len(starts) else len(text)]
-        calls.append({"callee": m["name"], "line": k, "text": whole.strip(), "start_byte": at(m.start("name"))})
+    calls, sites, texts = [], _calls(t, language, found), {}
+    for i, outer in zip(sites, _around(functions, [t.pos[i] for i in sites], False), strict=True):
+        k = line(t.pos[i])
+        if k not in texts:
+            texts[k] = text[starts[k - 1] : starts[k] - 1 if k < len(starts) else len(text)].strip()
+        calls.append({"callee": t.text[i], "line": k, "text": texts[k], "start_byte": at(t.pos[i]), "caller": symbols[outer[-1]]["name"] if outer else None})
     variables = {}
-    for s in functions:
-        head = mask.find("(", s[0])
-        if 0 <= head < s[1]:
-            depth, k = 1, head + 1
-            while k < len(mask) and depth:
-                depth += (mask[k] in "([{<") - (mask[k] in ")]}>" and mask[k - 1] not in "-=")
-                k += 1
-            if language == "go" and mask[s[0] : head].split()[-1:] == ["func"]:
-                head = mask.find("(", k)
-                k = mask.find(")", head) + 1
-            depth, piece = 0, head + 1
-            for i in range(head + 1, k):
-                c = mask[i]
-                depth += (c in "([{<") - (c in ")]}>")
-                if c == "," and depth <= 0 or i == k - 1:
-                    part = mask[piece:i]
-                    words = re.findall(ID, re.split(r"[:=]", part, maxsplit=1)[0]) if language != "java" else re.findall(ID, part)[-1:]
-                    words = words[:1] if language == "go" else words if part.strip()[:1] in ("{", "[") else words[-1:]
-                    for w in words:
-                        variables[piece + max(0, re.search(rf"(?<![\w$]){re.escape(w)}(?![\w$])", part).start())] = w
-                    piece = i + 1
-    nested = _depths(mask) if language == "python" else None
-    for j, p in enumerate(BINDINGS[language]):
+    for x in own:
+        if x.params >= 0 and x.kind in ("function", "method"):
+            variables.update((t.pos[i], t.text[i]) for i in _bound_params(t, x, language))
+    if language in ("javascript", "typescript"):
+        variables.update((t.pos[i], t.text[i]) for i in _script_bindings(t))
+    for j, p in enumerate(BINDINGS.get(language, ())):
         for m in p.finditer(mask):
-            if nested and j < 2 and nested(m.start("n")):
+            if language == "python" and j < 2 and t.around[min(bisect_right(t.pos, m.start("n")) - 1, t.n - 1)] >= 0:
                 continue  # a keyword argument
             for w in re.finditer(ID, m["n"]):
                 if w[0] not in ("mut", "let", "var", "const", "ref"):
                     variables[m.start("n") + w.start()] = w[0]
-            if language in ("java", "javascript", "typescript") and m["n"].strip().isidentifier():
-                variables.update(_further(mask, m.end("n")))
+            if language == "java":
+                variables.update((t.pos[i], t.text[i]) for i in _further(t, m.end("n") - 1))
+    places = sorted(variables)
     return {
-        "symbols": symbols, "calls": calls, "variables": [{"name": v, "pos": at(k)} for k, v in sorted(variables.items())],
+        "symbols": symbols, "calls": calls,
+        "variables": [{"name": variables[k], "pos": at(k), "within": [{"function": symbols[n]["name"], "start": symbols[n]["start_byte"]} for n in outer]} for k, outer in zip(places, _around(functions, places, True), strict=True)],
         "spans": [{"start": at(s), "end": at(e)} for s, e in spans], "lines": [at(k) for k in starts],
     }

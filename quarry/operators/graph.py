@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +25,51 @@ def call_edges(calls: DataFrame, symbols: DataFrame, same_project: bool = False)
     return sites.join(own, on).select("project", "path", "callee", "n_calls", "first_line", "def_project", "def_path", "kind")
 
 
+def call_classes(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The edges of call_edges by name, without a row for each: callee, n_calls, n_files, n_defs (different definitions) and n_edges = n_files * n_defs.
+
+    A name that many files call and many define is one row; `expanded` gives the edges of the names that are asked for.
+    """
+    sites = calls.groupBy("callee", "project", "path").agg(F.count("*").alias("n")).groupBy("callee").agg(F.sum("n").alias("n_calls"), F.count("*").alias("n_files"))
+    own = symbols.selectExpr("name as callee", "project", "path", "kind").distinct().groupBy("callee").agg(F.count("*").alias("n_defs"))
+    return sites.join(own, "callee").withColumn("n_edges", F.col("n_files") * F.col("n_defs"))
+
+
+def expanded(calls: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """call_edges of the names (callee) alone."""
+    wanted = names.select("callee").distinct()
+    return call_edges(calls.join(wanted, "callee", "left_semi"), symbols.join(wanted.withColumnRenamed("callee", "name"), "name", "left_semi"))
+
+
 def enclosing_symbol(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each call with the innermost function or method around it."""
-    own = symbols.where("kind in ('function', 'method')").selectExpr("project", "path", "name", "start_byte as s", "end_byte as e")
-    held = calls.join(own, ["project", "path"]).where("start_byte >= s and start_byte < e")
-    return held.groupBy("project", "path", "callee", "line", "start_byte").agg(F.min_by("name", F.struct(F.col("e") - F.col("s"), "s")).alias("caller"))
+    """Each call with the innermost function or method around it.
+
+    Functions and calls of a file are sorted together once, and one pass with a stack of the functions that are open finds each call's;
+    so the work is n log n, and no file's calls meet all of its functions.
+    """
+    own = symbols.where("kind in ('function', 'method')").selectExpr("project", "path", "start_byte as at", "0 as what", "-end_byte as last", "name", "cast(null as int) as line")
+    both = own.unionByName(calls.selectExpr("project", "path", "start_byte as at", "1 as what", "cast(0 as bigint) as last", "callee as name", "line"))
+    both = both.repartition("project", "path").sortWithinPartitions("project", "path", "at", "what", "last")
+    out = both.mapInArrow(_swept, "project string, path string, callee string, line int, start_byte long, caller string")
+    return out.groupBy("project", "path", "callee", "line", "start_byte").agg(F.first("caller").alias("caller"))
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    file, stack = None, []
+    for b in batches:
+        rows, callers = [], []
+        for k, (project, path, at, what, last, name, _) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            if (project, path) != file:
+                file, stack = (project, path), []
+            while stack and stack[-1][0] <= at:
+                stack.pop()
+            if what == 0:
+                stack.append((-last, name))
+            elif stack:
+                rows.append(k)
+                callers.append(stack[-1][1])
+        own = b.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(5), own.column(6), own.column(2), pa.array(callers, pa.string())], names=["project", "path", "callee", "line", "start_byte", "caller"])
 
 
 def caller_pairs(calls: DataFrame, symbols: DataFrame) -> DataFrame:

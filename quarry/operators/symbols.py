@@ -14,7 +14,7 @@ from quarry.functions.text import byte_slice, line_array, trimmed
 
 FACTS = (
     "struct<symbols array<struct<name string, kind string, start_byte long, end_byte long, start_line int, end_line int, signature string, parent string>>, "
-    "calls array<struct<callee string, line int, text string, start_byte long>>, variables array<struct<name string, pos long>>, "
+    "calls array<struct<callee string, line int, text string, start_byte long, caller string>>, variables array<struct<name string, pos long, within array<struct<function string, start long>>>>, "
     "spans array<struct<start long, end long>>, lines array<long>>"
 )
 
@@ -48,10 +48,11 @@ def code_spans(files: DataFrame) -> DataFrame:
 
 
 def all_variables(files: DataFrame) -> DataFrame:
-    """Distinct names bound in each function, with the first place; self and _ are left out.  Joined inside each file's row."""
-    own = _facts_of(files).select("project", "path", F.explode(F.filter("facts.symbols", lambda s: s["kind"].isin("function", "method"))).alias("s"), F.col("facts.variables").alias("v"))
-    own = own.select("project", "path", F.col("s.name").alias("function"), F.col("s.start_byte").alias("fn_start_byte"), F.explode(F.expr("filter(v, x -> x.pos >= s.start_byte and x.pos < s.end_byte and x.name not in ('self', '_'))")).alias("x"))
-    return own.groupBy("project", "path", "function", "fn_start_byte", F.col("x.name").alias("name")).agg(F.min("x.pos").alias("pos"))
+    """Distinct names bound in each function, with the first place; self and _ are left out.  The sweep over a file's functions is the lexer's,
+    so a row goes to the functions around it and not to all of the file."""
+    own = _facts_of(files).select("project", "path", F.explode("facts.variables").alias("v")).where("v.name not in ('self', '_')")
+    own = own.select("project", "path", "v.name", "v.pos", F.explode("v.within").alias("f"))
+    return own.groupBy("project", "path", F.col("f.function").alias("function"), F.col("f.start").alias("fn_start_byte"), "name").agg(F.min("pos").alias("pos"))
 
 
 def list_variables(files: DataFrame, function: str, path: str) -> DataFrame:

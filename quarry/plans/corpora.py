@@ -179,3 +179,62 @@ def shape_sql(rows: dict[str, list[tuple]], columns: str) -> str:
     """SQL of what the shapes hold, for every supplier."""
     quoted = [f"({', '.join('null' if v is None else str(v) if isinstance(v, int) else chr(39) + v + chr(39) for v in (EXT[x], *row))})" for x, own in rows.items() for row in own]
     return f"(select 'shape_' || s_suppkey || '.' || ext as path, t.*, cast(s_suppkey as varchar) as n from supplier, (values {', '.join(quoted)}) t(ext, {columns}))"
+
+
+#: Declarations that need more than one pattern a form.  A part's name fills {n}, its comment {c}; each symbol stands between the signs ⟦ and ⟧.
+#: Then (name, kind, parent) of each symbol and (callee, caller) of each call.
+FORMS = [
+    ("java", "// {c}\n⟦class Box {\n  ⟦@Override public void {n}(int é) { a.b(é); }⟧\n}⟧\n", [("Box", "class", None), ("{n}", "method", "Box")], [("b", "{n}")]),
+    ("java", "⟦@Deprecated\npublic final class Box {\n⟦@Test(timeout = 5)\nvoid {n}() throws A, B { go(1); }⟧\n}⟧\n", [("Box", "class", None), ("{n}", "method", "Box")], [("go", "{n}")]),
+    ("java", "record R(int a) { /* {c} */ ⟦<T extends C> List<T> {n}(final T x, int... y) { return of(x); }⟧ }\n", [("{n}", "method", None)], [("of", "{n}")]),
+    ("java", "⟦enum {n} { ONE(1), TWO(2); {n}(int x) { } ⟦int run() { return ONE.to(2); }⟧ }⟧\n", [("{n}", "enum", None), ("run", "method", "{n}")], [("to", "run")]),
+    ("rust", "//! é {c}\n⟦pub(crate) fn {n}(a: i32, b: i32) { if let Some(x) = get(a) { } match b { Ok(y) => f(y), Err(E(z)) if h(z) => { k() } _ => () } }⟧\n", [("{n}", "function", None)], [("get", "{n}"), ("f", "{n}"), ("h", "{n}"), ("k", "{n}")]),
+    ("rust", "#[derive(Debug)]\n⟦struct {n}(i32);⟧\nimpl<T> Tr for {n}<T> where T: C { ⟦const fn ü<F: Fn(i32) -> T>(f: F) -> [T; 2] { call::<T>(f) }⟧ }\n", [("{n}", "struct", None), ("ü", "method", "{n}<T>")], [("call", "ü")]),
+    ("rust", "⟦trait {n} { fn sig(&self); ⟦fn own(&self) { println!(\"{}\", not(1)) }⟧ }⟧ // {c}\n⟦enum Kind { A(i32), B }⟧\n", [("{n}", "trait", None), ("own", "function", None), ("Kind", "enum", None)], [("println", "own")]),
+    ("typescript", "/* {c} */ export ⟦class {n}<T> {\n  ⟦run<U>(a: U): Promise<U> { return f<U>(a) }⟧\n  ⟦#p(x) { this.q(1) }⟧\n  ⟦static async *gen(a) { yield b(a) }⟧\n  sig(a: string): void;\n}⟧\n", [("{n}", "class", None), ("run", "method", "{n}"), ("#p", "method", "{n}"), ("gen", "method", "{n}")], [("f", "run"), ("q", "#p"), ("b", "gen")]),
+    ("typescript", "⟦interface {n} { m(a: number): void }⟧\nexport ⟦const f = async (a: number): Promise<void> => g(a);⟧\n⟦type Q<T> = T[];⟧\n", [("{n}", "interface", None), ("f", "constant", None), ("Q", "type", None)], [("g", None)]),
+    ("javascript", "// {c}\nexport default ⟦class {n} extends B { ⟦#p() { return q() }⟧ ⟦get v() { return new N(1).m() }⟧ }⟧\n", [("{n}", "class", None), ("#p", "method", "{n}"), ("v", "method", "{n}")], [("q", "#p"), ("m", "v")]),
+    ("python", "# {c}\n@app.route('/')\n⟦class {n}(A, metaclass=M):\n    @property\n    ⟦async def é(self, *ys, k: int = f(1)):\n        return {1: g()}⟧⟧\n\n⟦def h(): pass⟧\n", [("{n}", "class", None), ("é", "method", "{n}"), ("h", "function", None)], [("route", None), ("f", "é"), ("g", "é")]),
+    ("go", "package p // {c}\n⟦type {n}[T any] struct { a T }⟧\n⟦func (s *{n}[T]) Do(a, b int, cb func(x int) int) (r int, err error) { return cb(a), nil }⟧\n⟦func Map[K comparable](m map[K]int) { s.Do(1) }⟧\n", [("{n}", "struct", None), ("Do", "method", None), ("Map", "function", None)], [("cb", "Do"), ("Do", "Map")]),
+    ("scala", "object {n} { // {c}\n  ⟦@tailrec private[this] final def go(a: Int)(b: Int): Int = { go(a)(b) }⟧\n  ⟦def m(o: Option[Int]) = o match {\n    case Some(y) => g(y)\n  }⟧\n}\n", [("go", "function", "{n}"), ("m", "function", "{n}")], [("go", "go"), ("g", "m")]),
+]
+
+
+def _spans_of(marked: str) -> list[tuple[str, str]]:
+    """What stands before each symbol, and the symbol, in the order in which they begin."""
+    plain, open_, out = "", [], []
+    for c in marked:
+        if c == "⟦":
+            open_.append(len(out))
+            out.append((len(plain), 0))
+        elif c == "⟧":
+            k = open_.pop()
+            out[k] = (out[k][0], len(plain))
+        else:
+            plain += c
+    return [(plain[:s], plain[s:e]) for s, e in out]
+
+
+def form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per part, with the declarations of one of FORMS: project, path, language, content."""
+    forms = F.element_at(F.array(*[F.struct(F.lit(x[0]).alias("language"), F.lit(EXT[x[0]]).alias("ext"), F.lit(x[1].replace("⟦", "").replace("⟧", "")).alias("body")) for x in FORMS]), F.expr(f"cast(p_partkey % {len(FORMS)} + 1 as int)"))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat(regexp_replace(lower(p_name), '[^a-z]+', '_'), '_', p_partkey)").alias("n"), F.regexp_replace("p_type", "[*/]", " ").alias("c"), forms.alias("x"))
+    return own.selectExpr("'forms' as project", "concat('form_', p_partkey, '.', x.ext) as path", "x.language", "replace(replace(x.body, '{n}', n), '{c}', c) as content")
+
+
+def form_sql(columns: dict[str, list[tuple]]) -> str:
+    """SQL rows of the forms: path, and the columns of each form's rows with {n} and {c} filled."""
+    (names, rows), = columns.items()
+    values = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "null" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in row) + ")" for row in rows)
+    filled = ", ".join(f"replace(replace({x}, '{{n}}', n), '{{c}}', c) as {x}" for x in names.split(", ")[2:])
+    return f"""(select 'form_' || p_partkey || '.' || ext as path, {filled} from (select p_partkey, regexp_replace(lower(p_name), '[^a-z]+', '_', 'g') || '_' || p_partkey as n, regexp_replace(p_type, '[*/]', ' ', 'g') as c from part)
+  join (values {values}) t({names}) on p_partkey % {len(FORMS)} = form)"""
+
+
+def form_symbol_sql() -> str:
+    rows = [(k, EXT[x[0]], x[0], *symbol, *span) for k, x in enumerate(FORMS) for symbol, span in zip(x[2], _spans_of(x[1]), strict=True)]
+    return form_sql({"form, ext, language, name, kind, parent, before, body": rows})
+
+
+def form_call_sql() -> str:
+    return form_sql({"form, ext, callee, caller": [(k, EXT[x[0]], *call) for k, x in enumerate(FORMS) for call in x[3]]})

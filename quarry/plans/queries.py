@@ -214,6 +214,19 @@ def dedup_shapes(spark, d):
     return symbols.dedup_symbols(symbols.extract_symbols(_shapes(spark, d))).select("path", "name", "start_line")
 
 
+@query(f"""select path, language, name, kind, parent, cast(octet_length(encode(before)) as bigint) as start_byte, cast(octet_length(encode(before)) + octet_length(encode(body)) as bigint) as end_byte, string_split(body, chr(10))[1] as signature,
+  cast(len(before) - len(replace(before, chr(10), '')) + 1 as int) as start_line from {c.form_symbol_sql()}""")
+def declared_symbols(spark, d):
+    """Declarations of many forms, with their bytes and signatures, in a file per part."""
+    return symbols.extract_symbols(c.form_files(spark, d)).select("path", "language", "name", "kind", "parent", "start_byte", "end_byte", "signature", "start_line")
+
+
+@query(f"select path, callee, caller from {c.form_call_sql()}")
+def declared_calls(spark, d):
+    """Calls among declarations of many forms, with the functions around them; patterns, signatures and constants are none."""
+    return symbols.extract_calls(c.form_files(spark, d)).select("path", "callee", "caller")
+
+
 @query(f"{DEFS} select path, callee, line from sites")
 def call_sites(spark, d):
     return symbols.extract_calls(c.code_corpus(spark, d)).select("path", "callee", "line")
@@ -238,6 +251,21 @@ def call_edges(spark, d):
     return graph.call_edges(symbols.extract_calls(f), symbols.extract_symbols(f)).select("path", "callee", "n_calls", "first_line", "def_path")
 
 
+@query(f"""{DEFS}, s as (select callee, count(*) as n_calls, count(distinct path) as n_files from sites group by callee), f as (select name as callee, count(*) as n_defs from defs group by name)
+select callee, n_calls, n_files, n_defs, n_files * n_defs as n_edges from s join f using (callee)""")
+def call_classes(spark, d):
+    f = _facts(spark, d)
+    return graph.call_classes(symbols.extract_calls(f), symbols.extract_symbols(f))
+
+
+@query(f"{DEFS} select s.path, s.callee, count(*) as n_calls, cast(min(s.line) as int) as first_line, f.path as def_path from sites s join defs f on f.name = s.callee join supplier on s.callee = 'supply_' || s_suppkey where s_acctbal < 0 group by all")
+def call_edges_of(spark, d):
+    """The edges of the suppliers that owe money, out of the name classes."""
+    f = _facts(spark, d)
+    names = c.table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("concat('supply_', s_suppkey) as callee")
+    return graph.expanded(symbols.extract_calls(f), symbols.extract_symbols(f), names).select("path", "callee", "n_calls", "first_line", "def_path")
+
+
 @query(f"{DEFS} select path, callee, line, caller from sites")
 def enclosing_symbol(spark, d):
     f = _facts(spark, d)
