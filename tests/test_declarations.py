@@ -24,12 +24,12 @@ def test_no_text_raises(language):
 
 
 MANY = {
-    "java": ["A(1),\n", "x (y)\n", "a<", "@A(", "\n", "int f(", "if (a) {"],
+    "java": ["A(1),\n", "x (y)\n", "a<", "@A(", "\n", "int f(", "if (a) {", "class A {\n"],
     "rust": ["fn x ", "impl A for ", "match {", "let a ", '"a" ', "#[", "fn f(a: "],
     "typescript": ["const {", "let a, ", "f<", "m(a) "],
-    "javascript": ["foo(a, \n", "const a = (", "class A {"],
+    "javascript": ["foo(a, \n", "const a = (", "class A {\n"],
     "python": ["def f(a,\n", "def f():\n", "a = b = "],
-    "scala": ["case a ", "def f = ", "object A {"],
+    "scala": ["case a ", "def f = ", "object A {\n"],
     "go": ["func (a) x (\n", "type (\n", "const a, "],
 }
 
