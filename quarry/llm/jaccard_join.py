@@ -22,7 +22,7 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric; two documents link when it is at mo
 
 Null or empty texts have an empty set: n_shingles 0, linked with nothing, component_id = their own doc_id.  Repeated rows
 are documents of one class.  A null doc_id never becomes a component_id while the group has another one.
-Shingles are 64-bit hashes, texts are used whole.  `order_sample` bounds the rows that set the shared order; the order
+Shingles are 64-bit hashes, texts are used whole.  The shared order is taken from all documents (`shingle_order`); it
 changes the cost only, never the result.
 """
 
@@ -33,19 +33,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import WordHashes, discard, ngram_hashes, sample_rows, stored, table, word_array
+from .shared import WordHashes, discard, ngram_hashes, stored, table, word_array
 
 #: Classes that a region may have to be compared directly, and how much the number of pivots grows from one split to the next.
 LEAF, MORE = 32, 8
 #: Longs of the sketch that goes with a class into its regions, and of the whole sketch.
 NARROW, WIDE = 4, 16
-#: Shingles of the sample that the shared order puts last.
-OFTEN = 200_000
+#: Shingles that the shared order puts last; in how many texts of a part they stand; shingles of a part.
+OFTEN, REPEATED, PART_SHINGLES = 200_000, 3, 4_000_000
 #: Classes in a block, about, where the links of a component are counted; columns of an incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
 
@@ -55,18 +56,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_order(docs: DataFrame, n: int, order_sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that several documents of a bounded sample hold."""
+def shingle_order(docs: DataFrame, n: int, part_shingles: int = PART_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that many documents hold.
 
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = WordHashes()
-        for b in batches:
-            yield pd.Series([np.unique(ngram_hashes(word_array(words_of(t), cache), n)).astype(np.int64) for t in b])
+    All documents are read, in parts of about `part_shingles` shingles.  A part tells what `REPEATED` or more of its different texts
+    hold; what many documents hold is repeated in some of the parts, however many there are, so it is told although each part
+    counts alone.  What is told is added up, and the `OFTEN` largest are the order.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, texts, sets, held = WordHashes(), set(), [], 0
+
+        def part() -> pa.RecordBatch:
+            h, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = count >= REPEATED
+            return pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], names=["h", "n"])
 
-    # Copies of one text say nothing of what different texts share.
-    texts = sample_rows(docs, "doc_id", order_sample).select("text").dropDuplicates()
-    each = texts.select(F.explode(F.pandas_udf(held, "array<long>")("text")).alias("h"))
-    found = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                mark = xxhash.xxh3_64_digest((text or "").encode("utf-8", "surrogatepass"))
+                if mark in texts:  # copies of one text say nothing of what different texts share
+                    continue
+                texts.add(mark)
+                sets.append(np.unique(ngram_hashes(word_array(words_of(text), cache), n)))
+                held += len(sets[-1])
+                if held >= part_shingles:
+                    yield part()
+                    texts, sets, held = set(), [], 0
+        yield part()
+
+    found = docs.select("text").mapInArrow(told, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
     h = found["h"].to_numpy("int64").astype("uint64")
     by = np.argsort(h)
     return h[by], found["n"].to_numpy("int64")[by]
@@ -247,15 +266,28 @@ def link_counts(members: DataFrame, texts: DataFrame, n: int, percent: int) -> D
     return dealt.mapInPandas(run, "sid long, linked long").groupBy("sid").agg(F.sum("linked").alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sample: int = 16_384, count_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, class_id, n_links (with count_links) and component_id.
 
     Two documents link when 100 * |x & y| >= percent * |x | y| over their distinct n-word shingles (fewer words: the whole
     sequence).  class_id is the set's hash (null without words), the same however rows are dealt; n_links counts the
     other rows that the row links with, those with an equal set among them; component_id is the smallest doc_id reachable by links.
+    Where doc_ids are null or repeated, rows get keys of their own, so that no id stands for several texts.
     """
     docs = docs.select("doc_id", "text")
-    whole = stored(shingled(docs, n, percent, shingle_order(docs, n, order_sample)), "shingled")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").take(1):
+        return _components(docs, n, percent, count_links)
+    keyed = stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed-rows")
+    found = stored(_components(keyed.selectExpr("row_key as doc_id", "text"), n, percent, count_links), "found-rows")
+    found = found.withColumnsRenamed({"doc_id": "row_key", "component_id": "part"}).join(keyed.select("row_key", "doc_id"), "row_key")
+    least = found.groupBy("part").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("part", "of")
+    out = found.join(least, (F.xxhash64("part") == F.xxhash64("of")) & (F.col("part") == F.col("of")))
+    return out.select("doc_id", "n_shingles", "class_id", *(["n_links"] if count_links else []), "component_id")
+
+
+def _components(docs: DataFrame, n: int, percent: int, count_links: bool) -> DataFrame:
+    """jaccard_components where each doc_id stands for one row."""
+    whole = stored(shingled(docs, n, percent, shingle_order(docs, n)), "shingled")
     rows = stored(whole.drop("head", "sketch"), "rows")
     classes = whole.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "head", "sketch")).alias("c"), F.count("*").alias("rows"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("sid"), "cid", "rows", "c.doc_id", "c.n", "c.head", "c.sketch"), "classes")
@@ -266,7 +298,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
     # Joined on an expression of the key, so that both sides are exchanged and a hot region can be split.
     first = stored(posts.join(shared, posts.region == shared.of).select("region", "sid", "n", "pos", "c"), "regions")
     heads = stored(classes.join(first.select("sid").distinct(), "sid"), "heads")
-    repeated = bool(rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").take(1))
 
     reach = (100 - percent) / 100
     tried = links = None
@@ -281,7 +312,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
         pairs = stored(able(pairs, heads, percent), "pairs")
         if tried is not None and not pairs.take(1):
             return
-        texts = _texts(docs, pairs, heads, n, repeated)
+        texts = _texts(docs, pairs, heads)
         found = stored(compared(pairs, texts, n), "distances")
         discard(texts)
         tried = found if tried is None else tried.unionByName(found)
@@ -330,7 +361,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
     if leaves:
         inner = stored(in_parts(reduce(DataFrame.unionByName, voronoi)), "voronoi")
         if inner.take(1):
-            found = stored(between_parts(inner, _texts(docs, inner.selectExpr("sid as p", "sid as x"), heads, n, repeated), n, percent), "block-links")
+            found = stored(between_parts(inner, _texts(docs, inner.selectExpr("sid as p", "sid as x"), heads), n, percent), "block-links")
             links = links.unionByName(found)
             roots = connected(links.selectExpr("p as a", "x as b"))
         left = mixed(reduce(DataFrame.unionByName, [x.select(*columns) for x in leaves]))
@@ -349,7 +380,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, order_sam
         # Two classes that are a component are linked.
         members = stored(nodes.join(size, F.col("root") == F.col("of")).selectExpr("sid as member", "root", "rows", "m", "whole", f"(m + {BLOCK - 1}) div {BLOCK} as nb"), "members")
         many = members.where("m > 2").selectExpr("member as sid", "root", "rows", "nb")
-        counts = link_counts(many, _texts(docs, many.selectExpr("sid as p", "sid as x"), heads, n, repeated), n, percent)
+        counts = link_counts(many, _texts(docs, many.selectExpr("sid as p", "sid as x"), heads), n, percent)
         counts = counts.unionByName(members.where("m = 2").selectExpr("member as sid", "whole - rows as linked"))
         nodes = nodes.join(counts, "sid", "left")
     kept = ["n_links"] if count_links else []
@@ -368,7 +399,7 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rows with equal ids the first one; a null doc_id comes after all others.  Rows without words all stay."""
     unique = not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").take(1)
     keyed = docs.withColumn("row_key", F.col("doc_id")) if unique else stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), n, percent, count_links=False)
+    found = _components(keyed.select(F.col("row_key").alias("doc_id"), "text"), n, percent, False)
     if unique:
         keep = found.where("component_id = doc_id").select(F.col("doc_id").alias("row_key"))
     else:
@@ -381,25 +412,15 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 FILTER_BITS = 1 << 23
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, heads: DataFrame, n: int, repeated: bool) -> DataFrame:
-    """(sid, text) of the classes in pairs; text is that of any row with the class's set."""
-    wanted = pairs.selectExpr("explode(array(p, x)) as sid").distinct().join(heads.select("sid", "doc_id", "cid"), "sid")
+def _texts(docs: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(sid, text) of the classes in pairs; text is that of the row that stands for the class."""
+    wanted = pairs.selectExpr("explode(array(p, x)) as sid").distinct().join(heads.select("sid", "doc_id"), "sid")
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
     at = wanted.select(F.col("doc_id").alias("id")).select(place.alias("h")).select(F.bitmap_bucket_number("h").alias("bucket"), F.bitmap_bit_position("h").alias("bit"))
     bits = F.broadcast(at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
     rows = docs.withColumnRenamed("doc_id", "id").withColumn("h", place).withColumns({"bucket": F.bitmap_bucket_number("h"), "bit": F.bitmap_bit_position("h")}).join(bits, "bucket")
     rows = rows.where("(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1").select("id", "text")
-    texts = wanted.join(rows, wanted.doc_id.eqNullSafe(rows.id)).select("sid", "cid", "text")
-    if not repeated:
-        return stored(texts.select("sid", "text"), "texts")
-
-    def same_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for b in batches:  # a repeated doc_id may stand for several texts
-            right = [xxhash.xxh3_128_digest(np.unique(ngram_hashes(word_array(words_of(t), cache), n)).tobytes()) == bytes(c) for t, c in zip(b["text"], b["cid"], strict=True)]
-            yield b.loc[right, ["sid", "text"]]
-
-    return stored(texts.mapInPandas(same_class, "sid long, text string").dropDuplicates(["sid"]), "texts")
+    return stored(wanted.join(rows, wanted.doc_id == rows.id).select("sid", "text"), "texts")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
