@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import line_array, numbered
+from quarry.operators.search_index import first_of, literal_matches
 
 
 def checked(pattern: str) -> str:
@@ -98,8 +99,10 @@ PATTERN_BLOCK = 500
 
 
 def grep_many(files: DataFrame, patterns: DataFrame, max_matches: int = 50, literal: bool = False) -> DataFrame:
-    """Per pattern (pattern_id, pattern): its first lines and its total.  The patterns are the stated query set; they go to
-    the tasks in blocks of PATTERN_BLOCK, and a line is tried pattern by pattern only where the block's alternation finds something."""
+    """Per pattern (pattern_id, pattern): its first lines and its total.  Literal patterns are automata that read each line once.  Regular
+    expressions go to the tasks in blocks of PATTERN_BLOCK, and a line is tried pattern by pattern only where the block's alternation finds something."""
+    if literal:
+        return first_of(literal_matches(files, patterns), max_matches)
     rows = patterns.select("pattern_id", "pattern").orderBy("pattern_id").toLocalIterator()
     blocks: list[list] = [[]]
     for r in rows:
@@ -111,15 +114,11 @@ def grep_many(files: DataFrame, patterns: DataFrame, max_matches: int = 50, lite
     for own in blocks:
         if not own:
             return text.where("false").selectExpr("cast(null as bigint) as pattern_id", "project", "path", "i + 1 as line", "text", "0L as total")
-        any_of = "|".join("(?:" + ("\\Q" + r["pattern"].replace("\\E", "\\E\\\\E\\Q") + "\\E" if literal else checked(r["pattern"])[4:]) + ")" for r in own)
-        say = (lambda r: F.col("text").contains(r["pattern"])) if literal else (lambda r: F.col("text").rlike(checked(r["pattern"])))
-        ids = F.array_compact(F.array(*[F.when(say(r), F.lit(r["pattern_id"])) for r in own]))
+        any_of = "|".join(f"(?:{checked(r['pattern'])[4:]})" for r in own)
+        ids = F.array_compact(F.array(*[F.when(F.col("text").rlike(checked(r["pattern"])), F.lit(r["pattern_id"])) for r in own]))
         part = text.where(F.col("text").rlike(any_of)).select(F.explode(ids).alias("pattern_id"), "project", "path", (F.col("i") + 1).alias("line"), "text")
         found = part if found is None else found.unionByName(part)
-    by = Window.partitionBy("pattern_id").orderBy("project", "path", "line")
-    totals = found.groupBy("pattern_id").agg(F.count("*").alias("total")).select(F.col("pattern_id").alias("of"), "total")
-    first = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max_matches).drop("rank")
-    return first.join(totals, F.col("pattern_id") == F.col("of")).drop("of")
+    return first_of(found, max_matches)
 
 
 def chunk_indices(files: DataFrame, size: int = 5000, overlap: int = 200) -> DataFrame:

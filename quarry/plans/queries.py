@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import normalize_kind
 from quarry.functions.text import preview
-from quarry.operators import content, filters, graph, history, notes, structure, symbols
+from quarry.operators import content, filters, graph, history, notes, search_index, structure, symbols
 from quarry.operators.scratch import scratch_path, stored
 from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
@@ -317,6 +317,25 @@ def grep_code_scope(spark, d):
     return content.code_matches(f, r"supply_(0|1\d*)\(x\)").where(~F.col("text").contains("{") & ~F.col("text").contains("def ")).select("path", "line")
 
 
+PART_LINES = f"{DEFS}, h as (select p_partkey as pattern_id, path, line from (select cast(substr(callee, 11) as bigint) as p_partkey, path, line from sites where starts_with(callee, 'make_part_') union all select cast(substr(name, 11) as bigint), path, start_line from defs where starts_with(name, 'make_part_')))"
+
+
+@query(f"{PART_LINES} select pattern_id, path, cast(line as int) as line, count(*) over (partition by pattern_id) as total from h qualify row_number() over (partition by pattern_id order by path, line) <= 3")
+def grep_parts(spark, d):
+    """The first lines that name each part, all parts' patterns in one automaton."""
+    pats = c.table(spark, d, "part").selectExpr("p_partkey as pattern_id", "concat('make_part_', p_partkey, '(') as pattern")
+    return content.grep_many(c.code_corpus(spark, d), pats, 3, literal=True).select("pattern_id", "path", "line", "total")
+
+
+@query(f"{PART_LINES} select pattern_id, path, cast(line as int) as line from h")
+def grep_indexed(spark, d):
+    """All lines that name a part, by way of stored trigram postings."""
+    f = stored(c.code_corpus(spark, d), "corpus")
+    postings = stored(search_index.trigram_postings(f).repartitionByRange("tri").sortWithinPartitions("tri"), "postings")
+    pats = c.table(spark, d, "part").selectExpr("p_partkey as pattern_id", "concat('make_part_', p_partkey, '(') as pattern")
+    return search_index.grep_indexed(f, postings, pats).select("pattern_id", "path", "line")
+
+
 @query(f"{DEFS} select path, name from defs where starts_with(path, 'lib/')")
 def remove_files(spark, d):
     s = symbols.extract_symbols(c.code_corpus(spark, d)).where("kind != 'class'")
