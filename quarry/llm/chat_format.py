@@ -163,8 +163,8 @@ def _value(x) -> str | None:
 
 def _runs(ids: pd.Series) -> pd.Series:
     """Numbers of the runs of equal ids; null is an id of its own."""
-    own = ids.fillna("")
-    return (own != own.shift()).cumsum()
+    own, none = ids.fillna(""), ids.isna()
+    return ((own != own.shift()) | (none != none.shift())).cumsum()
 
 
 def opened(before: int, role: int, text: str) -> str:

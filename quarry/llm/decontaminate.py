@@ -82,7 +82,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], n: int, radius: int):
         cache = WordHashes()
         self.n, self.ids, self.words, self.sets, self.weight = n, [], [], [], []
-        prints, where = [], defaultdict(list)
+        prints, where = [], defaultdict(dict)  # shingle -> item -> weight
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # words -> hash -> items
         for i, text in zip(ids, texts, strict=True):
             w = words_of(text)
@@ -94,7 +94,7 @@ class Items:
             if len(w) < n:
                 self.short[len(w)][int(sh[0])].append(len(self.ids))
             for s, g in zip(sh.tolist(), weights.tolist(), strict=True):
-                where[s].append((len(self.ids), g))
+                where[s][len(self.ids)] = g
             self.ids.append(i)
             self.words.append(len(w))
             self.sets.append(sh)
@@ -128,11 +128,11 @@ class Items:
             return
         weight, spots = defaultdict(int), defaultdict(list)
         for p in places.tolist():
-            for item, g in self.where[int(sh[p])]:
+            for item in self.where[int(sh[p])]:
                 spots[item].append(p)
         for item, own in spots.items():
             for s in {int(sh[p]) for p in own}:
-                weight[item] += next(g for i, g in self.where[s] if i == item)
+                weight[item] += self.where[s][item]
         windows: dict[int, set[int]] = defaultdict(set)
         for item, own in spots.items():
             if weight[item] >= least * self.weight[item]:
