@@ -93,6 +93,25 @@ def trace_callers(pairs: DataFrame, start: str, max_depth: int = 5) -> DataFrame
     return seen.where("depth > 0")
 
 
+def trace_many(pairs: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
+    """trace_callers for every start (a table with the column start): (start, symbol, depth, via).
+
+    A round joins only what the last one found with the calls and keeps what its start had not reached, so each (start, symbol)
+    is written once, at its least depth.  The starts go through all rounds together.
+    """
+    pairs = stored(pairs.where("caller != callee").distinct(), "pairs")
+    first = starts.where("start is not null").select("start").distinct()
+    frontier = seen = stored(first.selectExpr("start", "start as symbol", "0 as depth", "cast(null as string) as via"), "traces")
+    for depth in range(1, max_depth + 1):
+        up = pairs.join(frontier.selectExpr("start", "symbol as callee"), "callee").groupBy("start", "caller").agg(F.min("callee").alias("via"))
+        new = up.selectExpr("start", "caller as symbol", f"{depth} as depth", "via").join(seen.select("start", "symbol"), ["start", "symbol"], "left_anti")
+        frontier = stored(new, "traces")
+        if not frontier.take(1):
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0")
+
+
 def tests_of(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """The test symbols with their bodies."""
     own = symbols.where(is_test_symbol(F.col("language"), F.col("name"), F.col("path")))

@@ -96,3 +96,12 @@ def test_name_classes_expand_to_the_edges(spark):
     classes = graph.call_classes(c, s)
     assert {(r.callee, r.n_edges) for r in classes.collect()} == {(r.callee, r["count"]) for r in edges.groupBy("callee").count().collect()}
     assert sorted(graph.expanded(c, s, classes.where("callee = 'n7'").select("callee")).collect()) == sorted(edges.where("callee = 'n7'").collect())
+
+
+def test_traces_of_many_starts_equal_single_ones(spark):
+    rnd = random.Random(5)
+    pairs = spark.createDataFrame(sorted({(f"s{rnd.randrange(25)}", f"s{rnd.randrange(25)}") for _ in range(45)}), "caller string, callee string")
+    starts = ["s1", "s2", "s9", "nowhere"]
+    found = {(r.start, r.symbol, r.depth) for r in graph.trace_many(pairs, spark.createDataFrame([(x,) for x in [*starts, "s1", None]], "start string")).collect()}
+    assert found == {(x, r.symbol, r.depth) for x in starts for r in graph.trace_callers(pairs, x).collect()}
+    assert {x[0] for x in found} >= {"s1"} and "nowhere" not in {x[0] for x in found}
