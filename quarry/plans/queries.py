@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import names
 from quarry.functions.names import normalize_kind
-from quarry.functions.text import preview
+from quarry.functions.text import preview, rfc3339
 from quarry.operators import content, filters, graph, history, notes, search_index, structure, symbols
 from quarry.operators.scratch import scratch_path, stored
 from quarry.plans import corpora as c
@@ -351,6 +352,32 @@ def remove_files(spark, d):
     return symbols.remove_files(s, s.where("path not like 'lib/%'").select("project", "path").distinct()).select("path", "name")
 
 
+SOURCES = "(select p_partkey, p_name, p_size, case when p_size > 25 then '/srv/code/' else '/opt/' end || lower(replace(p_brand, '#', '')) || '/' || p_partkey || case when p_size < 10 then '.py' when p_size < 20 then '.RS' when p_size < 30 then '.md' when p_size < 40 then '.java' else '' end as path from part)"
+
+
+def _sources(spark, d):
+    """A path for each part, with one of two roots and an extension by its size."""
+    return c.table(spark, d, "part").selectExpr("p_name", "p_size > 10 as readable", "concat(if(p_size > 25, '/srv/code/', '/opt/'), lower(replace(p_brand, '#', '')), '/', p_partkey, case when p_size < 10 then '.py' when p_size < 20 then '.RS' when p_size < 30 then '.md' when p_size < 40 then '.java' else '' end) as path")
+
+
+@query(f"""select path, case when starts_with(path, '/srv/code/') then substr(path, 11) else path end as relative, p_size < 20 or p_size between 30 and 39 as has_symbols, path || '::' || p_name as key, path as key_path, p_name as key_name from {SOURCES}""")
+def paths_and_keys(spark, d):
+    """Paths relative to a root, languages with symbols, and keys of symbols put together and taken apart."""
+    own = _sources(spark, d).withColumn("key", names.symbol_key(F.col("path"), F.col("p_name")))
+    of, name = names.split_symbol_key(F.col("key"))
+    return own.select("path", names.relative_path(F.col("path"), "/srv/code").alias("relative"), names.has_symbols(names.language_of(F.col("path"))).alias("has_symbols"), "key", of.alias("key_path"), name.alias("key_name"))
+
+
+@query(f"select path from {SOURCES} where p_size > 10")
+def readable_files(spark, d):
+    return filters.readable_only(_sources(spark, d)).select("path")
+
+
+@query("select event_id, strftime(cast(ts as timestamp), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as at from events")
+def timestamps(spark, d):
+    return c.history(spark, d).select(F.col("seq").alias("event_id"), rfc3339(F.col("ts")).alias("at"))
+
+
 KIND_ALIASES = ["fn", "func", "VAR", "mod", "use", "class", "bogus"]
 
 
