@@ -12,6 +12,7 @@ from quarry.operators.scratch import scratch_path, stored
 from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
 from quarry.sources.files import read_index, write_index
+from quarry.streaming import bursts
 from quarry.streaming import changes as ch
 
 QUERIES, ORACLES = {}, {}
@@ -512,6 +513,18 @@ def debounce_stream(spark, d):
     return spark.read.schema(bursts.schema).parquet(f"{at}/out").where("path != 'end'").select("path", F.unix_micros("burst_start").alias("start_us"), F.unix_micros("ts").alias("ts_us"), "n_events")
 
 
+@query(f"with {BURSTS} select path, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as ts_us, count(*) as n_events from e group by path, burst")
+def debounce_timers(spark, d):
+    """The same bursts by state and timers, with no event after the last; a path's events lie in one file, so that the clock splits no burst."""
+    at = scratch_path(spark, "timers")
+    c.changes(spark, d).repartition(4, "path").write.parquet(f"{at}/in")
+    out = bursts.debounce_quiet(ch.read_changes(spark, f"{at}/in"), gap_ms=1_800_000, quiet_ms=500, late_ms=86_400_000)
+    with bursts.rocksdb_state(spark):
+        stream = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").start(f"{at}/out")
+    bursts.drain(stream)
+    return spark.read.schema(out.schema).parquet(f"{at}/out").select("path", F.unix_micros("burst_start").alias("start_us"), F.unix_micros("ts").alias("ts_us"), "n_events")
+
+
 @query(f"{DEFS} select path, name, start_line from defs")
 def index_round_trip(spark, d):
     at = scratch_path(spark, "index")
