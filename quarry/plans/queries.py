@@ -11,6 +11,7 @@ from quarry.operators import content, filters, graph, history, notes, search_ind
 from quarry.operators.scratch import scratch_path, stored
 from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
+from quarry.sources import folder
 from quarry.sources.files import read_index, write_index
 from quarry.streaming import bursts
 from quarry.streaming import changes as ch
@@ -571,3 +572,43 @@ def merge_marks(spark, d):
     log = c.mark_log(spark, d, "event_type")
     held, new = (notes.fold_marks(log.where(x)) for x in ("event_type != 'error'", "event_type = 'error'"))
     return notes.merge_marks(held, new).select("path", "marks")
+
+
+FOLDER_DOCS = f"with {DOC_FILES_SQL}, docs as (select doc_id, path, language, content, size from doc_files where content is not null and size <= 1000000)"
+
+
+@query(f"{FOLDER_DOCS} select 'docs' as project, path, size, language, md5(content) as digest, true as readable from docs")
+def folder_files(spark, d):
+    """The documents written as files, hidden folders among them, and the folder read back."""
+    at = scratch_path(spark, "folder")
+    folder.write_folder(c.doc_files(spark, d), at)
+    return folder.read_folder(spark, at, "docs").select("project", "path", "size", "language", F.md5("content").alias("digest"), "readable")
+
+
+@query(f"{FOLDER_DOCS} select 'docs' as project, path, size, language, md5(content) as digest from docs where starts_with(path, '.cache/en') or starts_with(path, 'src/fr/d1')")
+def folder_part(spark, d):
+    """Only the folders that can hold such paths are listed."""
+    at = scratch_path(spark, "folder")
+    folder.write_folder(c.doc_files(spark, d), at)
+    return folder.read_folder(spark, at, "docs", [".cache/en", "src/fr/d1"]).select("project", "path", "size", "language", F.md5("content").alias("digest"))
+
+
+@query(f"""{FOLDER_DOCS}, two as (select path, 'change' as op, content as text from docs where doc_id % 10 <> 0 union all select path, 'delete', null from docs where doc_id % 10 = 1
+ union all select path, 'change', content from docs where doc_id % 10 = 0 union all select path, 'change', content || ' more' from docs where doc_id % 10 = 7)
+select path, op, cast(coalesce(strlen(text), 0) as bigint) as size, md5(text) as digest from two""")
+def folder_changes(spark, d):
+    """A folder before and after additions, changes and deletions, told by one stream that is stopped between the two."""
+    at = scratch_path(spark, "watched")
+    own = c.doc_files(spark, d).where("content is not null and size <= 1000000")
+    folder.write_folder(own.where("doc_id % 10 <> 0"), f"{at}/tree")
+
+    def told():
+        stream = folder.watch_folder(spark, f"{at}/tree", "docs", f"{at}/listings", max_file_size=2_000_000)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+
+    told()
+    folder.delete_files(own.where("doc_id % 10 = 1"), f"{at}/tree")
+    folder.write_folder(own.where("doc_id % 10 = 0"), f"{at}/tree")
+    folder.write_folder(own.where("doc_id % 10 = 7").withColumn("content", F.concat("content", F.lit(" more"))), f"{at}/tree")
+    told()
+    return spark.read.schema(folder.CHANGES).parquet(f"{at}/out").select("path", "op", "size", F.md5("content").alias("digest"))
