@@ -11,7 +11,7 @@ from quarry.operators import content, filters, graph, history, notes, search_ind
 from quarry.operators.scratch import scratch_path, stored
 from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
-from quarry.sources import folder
+from quarry.sources import clustered, folder
 from quarry.sources.files import read_index, write_index
 from quarry.streaming import bursts
 from quarry.streaming import changes as ch
@@ -612,3 +612,32 @@ def folder_changes(spark, d):
     folder.write_folder(own.where("doc_id % 10 = 7").withColumn("content", F.concat("content", F.lit(" more"))), f"{at}/tree")
     told()
     return spark.read.schema(folder.CHANGES).parquet(f"{at}/out").select("path", "op", "size", F.md5("content").alias("digest"))
+
+
+def _supplies(df, key):
+    """The symbol that a supplier's key names, whether there is one or not."""
+    k = F.col(key)
+    return df.select(F.lit("parts").alias("project"), F.concat(F.lit("lib/supply_"), k, F.lit("."), c._lang(k, c.EXT)).alias("path"), F.concat(F.lit("supply_"), k).alias("name"))
+
+
+def _clustered(spark, d):
+    at = scratch_path(spark, "clustered")
+    clustered.write_clustered(symbols.extract_symbols(c.code_corpus(spark, d)), at)
+    return at
+
+
+@query(f"{DEFS} select d.path, d.name, d.start_line from defs d join supplier on d.name = 'supply_' || s_suppkey where s_acctbal > 9000")
+def index_lookup(spark, d):
+    """Symbols of the largest balances, by a clustered index that gives their row groups alone."""
+    return clustered.lookup(spark, _clustered(spark, d), _supplies(c.table(spark, d, "supplier").where("s_acctbal > 9000"), "s_suppkey")).select("path", "name", "start_line")
+
+
+@query("with langs as (select list_value('py','rs','ts','js','go','java','scala') as e) select 'lib/supply_' || c_custkey || '.' || e[c_custkey % 7 + 1] as path, 'supply_' || c_custkey as name, cast(c_custkey in (select s_suppkey from supplier) as bigint) as n_symbols from customer, langs")
+def index_found(spark, d):
+    """Symbols asked for by customer keys, with 0 for those that are not there."""
+    return clustered.found(spark, _clustered(spark, d), _supplies(c.table(spark, d, "customer"), "c_custkey"), few=1000).select("path", "name", "n_symbols")
+
+
+@query(f"{DEFS} select path, name, start_line from defs where name in ('supply_3', 'make_part_7', 'test_order_5', 'nowhere')")
+def index_names(spark, d):
+    return clustered.lookup_names(spark, _clustered(spark, d), ["supply_3", "make_part_7", "test_order_5", "nowhere"]).select("path", "name", "start_line")
