@@ -10,14 +10,29 @@ from quarry.functions.names import normalize_mark
 TARGET = ["project", "path", "name"]
 
 
-def definition_events(log: DataFrame) -> DataFrame:
-    """log (project, path, name, ts, seq, op, value) with accepted: define only while nothing is set, redefine always."""
+def of_known(log: DataFrame, known: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Events whose target is among the known ones; null keys are alike."""
+    keys = keys or ["project", "path"]
+    own = known.select(*[F.col(k).alias(f"known_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]
+    return log.join(own, same, "left_semi")
+
+
+def definition_events(log: DataFrame, known: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """log (project, path, name, ts, seq, op, value) with accepted: define only while nothing is set, redefine always.  With `known`, a table of the
+    targets that there are, by `keys` (project and path), an event of any other target is not accepted."""
     by = Window.partitionBy(*TARGET).orderBy("ts", "seq")
-    return log.withColumn("accepted", (F.col("op") == "redefine") | (F.row_number().over(by) == 1))
+    accepted = (F.col("op") == "redefine") | (F.row_number().over(by) == 1)
+    if known is None:
+        return log.withColumn("accepted", accepted)
+    own = known.select(*[F.col(k).alias(f"known_{k}") for k in keys or ["project", "path"]]).distinct().withColumn("is_known", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys or ["project", "path"]]
+    return log.join(own, same, "left").withColumn("accepted", F.coalesce("is_known", F.lit(False)) & accepted).select(*log.columns, "accepted")
 
 
-def fold_definitions(log: DataFrame) -> DataFrame:
-    """The current value of each target, without a window: the last redefine, or else the first event."""
+def fold_definitions(log: DataFrame, known: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The current value of each target, without a window: the last redefine, or else the first event.  With `known`, of known targets only."""
+    log = log if known is None else of_known(log, known, keys)
     last = F.max_by(F.when(F.col("op") == "redefine", F.col("value")), F.when(F.col("op") == "redefine", F.struct("ts", "seq")))
     return log.groupBy(*TARGET).agg(last.alias("last"), F.max(F.col("op") == "redefine").alias("any"), F.min_by("value", F.struct("ts", "seq")).alias("first")).select(*TARGET, F.when(F.col("any"), F.col("last")).otherwise(F.col("first")).alias("value"))
 

@@ -13,7 +13,7 @@ from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
 from quarry.sources import clustered, folder
 from quarry.sources.files import read_index, write_index
-from quarry.streaming import bursts
+from quarry.streaming import activity, bursts
 from quarry.streaming import changes as ch
 
 QUERIES, ORACLES = {}, {}
@@ -641,3 +641,49 @@ def index_found(spark, d):
 @query(f"{DEFS} select path, name, start_line from defs where name in ('supply_3', 'make_part_7', 'test_order_5', 'nowhere')")
 def index_names(spark, d):
     return clustered.lookup_names(spark, _clustered(spark, d), ["supply_3", "make_part_7", "test_order_5", "nowhere"]).select("path", "name", "start_line")
+
+
+@query(f"{DEFS} select path, name, start_line as line from defs")
+def definition_lines(spark, d):
+    """Of all lines of the code, those that define what their file is named after."""
+    named = F.coalesce(*[F.when(F.col("path").rlike(p), F.concat(F.lit(q), F.regexp_extract("path", p, 1))) for p, q in ((r"^src/.*/part_(\d+)[.]", "make_part_"), (r"^lib/supply_(\d+)[.]", "supply_"), (r"^tests/test_order_(\d+)[.]", "test_order_"), (r"^sql/supply_(\d+)[.]", "supply_"))])
+    lines = c.code_corpus(spark, d).select("path", "language", named.alias("name"), F.posexplode(content.line_array(F.col("content"))).alias("i", "text"))
+    return lines.where(names.is_definition_line(F.col("text"), F.col("name"), F.col("language"))).select("path", "name", (F.col("i") + 1).alias("line"))
+
+
+@query(f"with {DOC_FILES_SQL} select path, case when size > 600 then 'delete' else 'change' end as op, size from doc_files where not regexp_matches(path, '^node_modules/|/node_modules/') and not regexp_matches(path, '(^|/)[.]') and not regexp_matches(path, '[.](min[.]js|lock)$')")
+def filtered_changes(spark, d):
+    """Changes of ignored, hidden and large files in a stream: the first two go, the last are deletions."""
+    at = scratch_path(spark, "filtered")
+    own = c.doc_files(spark, d).select("project", "path", F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("ts"), F.lit("change").alias("op"), "size", F.lit(None).cast("timestamp").alias("modified"), "content")
+    own.write.parquet(f"{at}/in")
+    stream = ch.filter_changes(ch.read_changes(spark, f"{at}/in"), 600)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select("path", "op", "size")
+
+
+KNOWN = "known as (select distinct 'd' || doc_id as path from labels where quality = 1)"
+
+
+@query(f"with {LOG}, {KNOWN} select event_id, path in (select path from known) and (op = 'redefine' or row_number() over (partition by path order by ts, event_id) = 1) as accepted from log")
+def definition_events_known(spark, d):
+    """Events of documents that no label calls good are not accepted."""
+    known = c.table(spark, d, "labels").where("quality = 1").selectExpr("'docs' as project", "concat('d', doc_id) as path")
+    return notes.definition_events(c.annotation_log(spark, d), known).select(F.col("seq").alias("event_id"), "accepted")
+
+
+@query(f"with {LOG}, {KNOWN} select path, coalesce(arg_max(value, (ts, event_id)) filter (where op = 'redefine'), arg_min(value, (ts, event_id))) as value from log where path in (select path from known) group by path")
+def fold_definitions_known(spark, d):
+    known = c.table(spark, d, "labels").where("quality = 1").selectExpr("'docs' as project", "concat('d', doc_id) as path")
+    return notes.fold_definitions(c.annotation_log(spark, d), known).select("path", "value")
+
+
+@query(f"with {HISTORY} select session_id, epoch_us(time_bucket(interval '1 hour', ts)) as window_us, count(*) as entries, epoch_us(max(ts)) as last_us from h group by all")
+def activity_stream(spark, d):
+    """The log as a stream of four files, its windows counted as they grow."""
+    at = scratch_path(spark, "activity")
+    log = c.history(spark, d)
+    log.repartition(4).write.parquet(f"{at}/in")
+    stream = ch.read_changes(spark, f"{at}/in", log.schema, files_per_trigger=1)
+    activity.maintain_activity(stream, f"{at}/out", f"{at}/checkpoint", late="3650 days").awaitTermination()
+    return activity.current_activity(spark, f"{at}/out").select("session_id", F.unix_micros("window_start").alias("window_us"), "entries", F.unix_micros("last_active").alias("last_us"))

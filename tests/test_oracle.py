@@ -8,7 +8,7 @@ import pytest
 from quarry.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-FEW = ["grep_matches", "chunk_indices", "filter_ignored", "directory_rollup", "snapshot_diff", "call_edges", "test_coverage", "untested_symbols", "implementation", "symbol_shapes", "call_shapes", "variable_shapes", "dedup_shapes", "apply_changes", "maintained_index", "debounce_stream", "index_lookup", "index_found", "index_names", "folder_files", "folder_part", "folder_changes", "debounce_timers", "index_round_trip", "reject_missing", "variables", "fold_definitions", "fold_marks", "all_history", "debounce_batch"]
+FEW = ["grep_matches", "chunk_indices", "filter_ignored", "directory_rollup", "snapshot_diff", "call_edges", "test_coverage", "untested_symbols", "implementation", "symbol_shapes", "call_shapes", "variable_shapes", "dedup_shapes", "apply_changes", "maintained_index", "debounce_stream", "definition_lines", "filtered_changes", "definition_events_known", "fold_definitions_known", "activity_stream", "index_lookup", "index_found", "index_names", "folder_files", "folder_part", "folder_changes", "debounce_timers", "index_round_trip", "reject_missing", "variables", "fold_definitions", "fold_marks", "all_history", "debounce_batch"]
 
 
 def plain(v):
