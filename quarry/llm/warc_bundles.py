@@ -3,7 +3,7 @@
 write_bundles() groups records into independent Zstandard frames and frames into bundle files; each file ends with the
 seek table of the public seekable format (a skippable frame with the sizes of all frames).  read_bundles() reads files back;
 index_bundles() maps record identifiers to (file, frame, frame offset, offset in the decompressed frame, length), and
-read_record() opens one frame only.  Files are written by Spark's own writer, so any file system that Spark knows will do.
+read_record() opens one frame only; lookup() reads frames by range.  Files are written by Spark's own writer, so any file system that Spark knows will do.
 
 Of records with equal payloads of at least `revisit_bytes` bytes the one with the largest identifier is a response and the others are
 revisits of it.  Null html: an empty payload.  Null url: no target.  Rows that repeat the largest identifier are all
@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.folder import opened
+
 from .shared import scratch_dir, table
 
 #: Fixed values of the public seekable format.
@@ -161,21 +163,55 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """page_id -> file, frame, frame_offset, offset, length."""
-    return read_bundles(spark, path).select("page_id", "file", "frame", "frame_offset", "offset", "length")
+    """page_id -> file, frame, frame_offset, offset, length, and the page_id that a revisit refers to."""
+    return read_bundles(spark, path).select("page_id", "file", "frame", "frame_offset", "offset", "length", "refers_to")
+
+
+def read_frame(file: pa.NativeFile, size: int, frame: int) -> bytes:
+    """One decompressed frame of an open bundle of `size` bytes; what is read is the end of the seek table, one of its entries or all up to it where
+    the frame's place is not known, and the frame."""
+    n, flags, magic = struct.unpack("<IBI", file.read_at(9, size - 9))
+    if magic != SEEKABLE:
+        raise ValueError("no seek table at the end")
+    if not 0 <= frame < n:
+        raise IndexError(f"frame {frame} of {n}")
+    width = 12 if flags & 0x80 else 8
+    entries = file.read_at(width * (frame + 1), size - 9 - width * n)
+    at = sum(struct.unpack_from("<I", entries, width * k)[0] for k in range(frame))
+    packed, raw = struct.unpack_from("<II", entries, width * frame)
+    return zstandard.ZstdDecompressor().decompress(file.read_at(packed, at), max_output_size=raw)
 
 
 def lookup(spark: SparkSession, path: str, index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, html) of the wanted page_ids; only files that hold one are parsed, and of those only the frames in question."""
+    """(page_id, html) of the wanted page_ids, read by range: of a bundle the seek table and the frames in question, never the file.
+
+    The payload of a revisit is that of the response it refers to.  Repeated wanted ids count once, unknown and null ones give nothing; rows that
+    share an id are all given.  Frames are dealt to the tasks one by one, so a bundle that many ids lie in is read by many.
+    `path` is the folder that `index` was made of; the index names its files.
+    """
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, read_record(c, f, o)[1].decode()) for c, at in zip(b["content"], b["at"], strict=True) for p, f, o in ((x["page_id"], x["frame"], x["offset"]) for x in at)]
-            yield pd.DataFrame(rows, columns=["page_id", "html"])
-
-    at = index.join(wanted.select("page_id").distinct(), "page_id").groupBy("file").agg(F.collect_list(F.struct("page_id", "frame", "offset")).alias("at"))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.join(at, files.path == at.file).select("content", "at").mapInPandas(get, "page_id long, html string")
+            for name, frame, at in zip(b["file"], b["frame"], b["at"], strict=True):
+                fs, where = opened(name)
+                with fs.open_input_file(where) as file:
+                    raw = read_frame(file, file.size(), int(frame))
+                rows = []
+                for offset in at:
+                    _, start, end, _ = parsed(raw, offset)
+                    rows.append((name, frame, offset, raw[start:end].partition(b"\r\n\r\n")[2].decode()))
+                yield pd.DataFrame(rows, columns=["file", "frame", "offset", "html"])
+
+    asked = index.join(wanted.select("page_id").distinct(), "page_id")
+    own = asked.where("refers_to is null").select("page_id", "file", "frame", "offset")
+    again = asked.where("refers_to is not null").selectExpr("page_id", "refers_to as source")
+    # Rows that repeat the largest id hold one payload each; a revisit takes the first of them.
+    held = index.where("refers_to is null").join(again.select(F.col("source").alias("page_id")).distinct(), "page_id", "left_semi")
+    held = held.groupBy(F.col("page_id").alias("source")).agg(F.min(F.struct("file", "frame", "offset")).alias("place"))
+    own = own.unionByName(again.join(held, "source").select("page_id", "place.*"))
+    # A payload is read once, however many ask for it; a frame's list is bounded by its records.
+    frames = own.groupBy("file", "frame").agg(F.collect_set("offset").alias("at"))
+    return own.join(frames.mapInPandas(get, "file string, frame int, offset long, html string"), ["file", "frame", "offset"]).select("page_id", "html")
 
 
 def op8_warc_bundles(spark, sf_dir: str) -> DataFrame:
