@@ -4,53 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.lexer import code_facts
 from quarry.functions.names import PARSED, is_definition_line, is_text_definition_line, kind_named
+from quarry.functions.shapes import facts_of
 from quarry.functions.text import byte_slice, line_array, trimmed
 
-FACTS = (
-    "struct<symbols array<struct<name string, kind string, start_byte long, end_byte long, start_line int, end_line int, signature string, parent string>>, "
-    "calls array<struct<callee string, line int, text string, start_byte long, caller string>>, variables array<struct<name string, pos long, within array<struct<function string, start long>>>>, "
-    "spans array<struct<start long, end long>>, lines array<long>>"
-)
+FACTS = {
+    "symbols": "array<struct<name string, kind string, start_byte long, end_byte long, start_line int, end_line int, signature string, parent string>>",
+    "calls": "array<struct<callee string, line int, text string, start_byte long, caller string>>",
+    "variables": "array<struct<name string, pos long, within array<struct<function string, start long>>>>",
+    "spans": "array<struct<start long, end long>>", "lines": "array<long>",
+}
+#: Shapes that a Python worker has read.
+_SHAPES: dict = {}
 
 
-def _facts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for content, language in batches:
-        yield pd.DataFrame([code_facts(c or "", lang) for c, lang in zip(content, language, strict=True)])
+def with_facts(files: DataFrame, *wanted: str) -> DataFrame:
+    """files with the column facts (all of FACTS, or the wanted ones); narrow, so store its result when several operators need it.  Marked as nondeterministic, so that
+    Spark infers no filter on what is exploded from it, which would run the lexer a second time."""
+    wanted = wanted or tuple(FACTS)
 
+    def facts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from quarry.operators import symbols  # the worker's own module keeps the shapes between tasks
 
-def with_facts(files: DataFrame) -> DataFrame:
-    """files with the column facts; narrow, so store its result when several operators need it.  Marked as nondeterministic, so that
-    Spark infers no filter on what is exploded from it, which would run the lexer a second time."""
-    return files.where("content is not null").withColumn("facts", F.pandas_udf(_facts, FACTS).asNondeterministic()("content", "language"))
+        for content, language in batches:
+            yield facts_of(content.to_pylist(), language.to_pylist(), wanted, symbols._SHAPES)
+
+    out = F.arrow_udf(facts, f"struct<{', '.join(f'{x}: {FACTS[x]}' for x in wanted)}>").asNondeterministic()
+    return files.where("content is not null").withColumn("facts", out("content", "language"))
 
 
-def _facts_of(files: DataFrame) -> DataFrame:
-    """files that have no facts yet get them; only parsed languages are read."""
-    return files if "facts" in files.columns else with_facts(files.where(F.col("language").isin(PARSED)))
+def _facts_of(files: DataFrame, what: str) -> DataFrame:
+    """files that have no facts yet get the ones asked for; only parsed languages are read."""
+    return files if "facts" in files.columns else with_facts(files.where(F.col("language").isin(PARSED)), what)
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    return _facts_of(files).select("project", "path", "language", F.inline("facts.symbols"))
+    return _facts_of(files, "symbols").select("project", "path", "language", F.inline("facts.symbols"))
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
-    return _facts_of(files).select("project", "path", "language", F.inline("facts.calls"))
+    return _facts_of(files, "calls").select("project", "path", "language", F.inline("facts.calls"))
 
 
 def code_spans(files: DataFrame) -> DataFrame:
-    return _facts_of(files).select("project", "path", F.inline("facts.spans"))
+    return _facts_of(files, "spans").select("project", "path", F.inline("facts.spans"))
 
 
 def all_variables(files: DataFrame) -> DataFrame:
     """Distinct names bound in each function, with the first place; self and _ are left out.  The sweep over a file's functions is the lexer's,
     so a row goes to the functions around it and not to all of the file."""
-    own = _facts_of(files).select("project", "path", F.explode("facts.variables").alias("v")).where("v.name not in ('self', '_')")
+    own = _facts_of(files, "variables").select("project", "path", F.explode("facts.variables").alias("v")).where("v.name not in ('self', '_')")
     own = own.select("project", "path", "v.name", "v.pos", F.explode("v.within").alias("f"))
     return own.groupBy("project", "path", F.col("f.function").alias("function"), F.col("f.start").alias("fn_start_byte"), "name").agg(F.min("pos").alias("pos"))
 
