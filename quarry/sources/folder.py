@@ -136,13 +136,13 @@ class FolderStream(DataSourceStreamReader):
     """What changed in a folder since the last batch: changed and new files, and deletions.
 
     An offset is the number of a listing, a Parquet file in the folder `listings`, which says what has been told up to it; so offsets stay small, a batch that is
-    run again has the same files, and deletions are seen.  A batch tells at most `max_files` changes, in the order of their paths; its listing is the last one with
+    run again has the same files, and deletions are seen.  A batch tells all changes or, with `max_files`, so many, in the order of their paths; its listing is then the last one with
     these alone.  Listings before the last batch's are removed once it is committed.
     """
 
     SCHEMA = pa.schema([("project", pa.string()), ("path", pa.string()), ("ts", STAMP), ("op", pa.string()), ("size", pa.int64()), ("modified", STAMP), ("content", pa.string())])
 
-    def __init__(self, root: str, project: str, listings: str, max_file_size: int, partition_bytes: int, max_files: int):
+    def __init__(self, root: str, project: str, listings: str, max_file_size: int, partition_bytes: int, max_files: int | None):
         self.root, self.project, self.listings = root, project, listings
         self.max_file_size, self.partition_bytes, self.max_files = max_file_size, partition_bytes, max_files
 
@@ -264,7 +264,7 @@ class FolderSource(DataSource):
         return FolderReader(self.options["path"], self.options.get("project"), under, *self._common())
 
     def streamReader(self, schema) -> FolderStream:
-        return FolderStream(self.options["path"], self.options.get("project"), self.options["listings"], *self._common(), int(self.options.get("max_files", 100_000)))
+        return FolderStream(self.options["path"], self.options.get("project"), self.options["listings"], *self._common(), int(self.options["max_files"]) if "max_files" in self.options else None)
 
     def writer(self, schema, overwrite) -> FolderWriter:
         kind = FolderRemover if self.options.get("remove") == "true" else FolderWriter
@@ -283,10 +283,11 @@ def read_folder(spark: SparkSession, root: str, project: str, under: list[str] |
     return load_files(at.load(root))
 
 
-def watch_folder(spark: SparkSession, root: str, project: str, listings: str, max_files: int = 100_000, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
+def watch_folder(spark: SparkSession, root: str, project: str, listings: str, max_files: int | None = None, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
     """A stream of changes, as filter_changes, debounce and maintain_index take them.  `listings` belongs to one stream, like its checkpoint.  A file over the
-    size limit has null content (filter_changes makes it a deletion), and so has one that is not UTF-8."""
-    at = _registered(spark).readStream.format("quarry_folder").options(project=project, listings=listings, max_files=max_files, max_file_size=max_file_size)
+    size limit has null content (filter_changes makes it a deletion), and so has one that is not UTF-8.  A batch tells all changes, in partitions of bounded
+    bytes; with `max_files` at most so many, and a run with availableNow is one batch, so the rest waits for the next run."""
+    at = _registered(spark).readStream.format("quarry_folder").options(project=project, listings=listings, max_file_size=max_file_size, **({} if max_files is None else {"max_files": max_files}))
     return at.load(root)
 
 

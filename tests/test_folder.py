@@ -86,3 +86,13 @@ def test_sink_round_trip(spark, tmp_path):
     folder.delete_files(spark.createDataFrame([("b.py",), ("never.py",)], "path string"), f"{tmp_path}/out")
     assert {r.path for r in folder.read_folder(spark, f"{tmp_path}/out", "p").collect()} == {".x/_a.py", "c/d.py"}
     assert not [f for _, _, fs in os.walk(f"{tmp_path}/out") for f in fs if f.startswith(".part-")]
+
+
+def test_a_run_tells_all_changes_of_a_large_folder(tmp_path):
+    os.makedirs(f"{tmp_path}/tree")
+    for k in range(100_050):
+        os.close(os.open(f"{tmp_path}/tree/{k}", os.O_CREAT))
+    stream = folder.FolderSource({"path": f"{tmp_path}/tree", "listings": f"{tmp_path}/listings"}).streamReader(None)
+    assert sum(len(p.files) for p in stream.partitions(stream.initialOffset(), stream.latestOffset())) == 100_050
+    few = folder.FolderSource({"path": f"{tmp_path}/tree", "listings": f"{tmp_path}/few", "max_files": "70"}).streamReader(None)
+    assert [sum(len(p.files) for p in few.partitions({"listing": k}, few.latestOffset())) for k in range(2)] == [70, 70]
