@@ -271,24 +271,21 @@ def call_edges_of(spark, d):
 
 @query(f"{DEFS} select path, callee, line, caller from sites")
 def enclosing_symbol(spark, d):
-    f = _facts(spark, d)
-    return graph.enclosing_symbol(symbols.extract_calls(f), symbols.extract_symbols(f)).select("path", "callee", "line", "caller")
+    return graph.enclosing_symbol(symbols.extract_calls(c.code_corpus(spark, d))).select("path", "callee", "line", "caller")
 
 
 @query(f"""{DEFS}, one as (select distinct caller as symbol from sites where callee = 'supply_7'), two as (select distinct caller as symbol from sites where callee in (select symbol from one))
 select symbol, 1 as depth from one union all select symbol, 2 from two""")
 def trace_callers(spark, d):
-    f = _facts(spark, d)
-    return graph.trace_callers(graph.caller_pairs(symbols.extract_calls(f), symbols.extract_symbols(f)), "supply_7").select("symbol", "depth")
+    return graph.trace_callers(graph.caller_pairs(symbols.extract_calls(c.code_corpus(spark, d))), "supply_7").select("symbol", "depth")
 
 
 @query(f"""{DEFS}, starts as (select 'supply_' || s_suppkey as start from supplier where s_acctbal < 0), one as (select distinct callee as start, caller as symbol from sites join starts on callee = start),
 two as (select distinct o.start, s.caller as symbol from sites s join one o on s.callee = o.symbol) select start, symbol, 1 as depth from one union all select start, symbol, 2 from two anti join one using (start, symbol)""")
 def trace_many(spark, d):
     """Everything that calls, at any remove, the suppliers that owe money."""
-    f = _facts(spark, d)
     starts = c.table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("concat('supply_', s_suppkey) as start")
-    return graph.trace_many(graph.caller_pairs(symbols.extract_calls(f), symbols.extract_symbols(f)), starts).select("start", "symbol", "depth")
+    return graph.trace_many(graph.caller_pairs(symbols.extract_calls(c.code_corpus(spark, d))), starts).select("start", "symbol", "depth")
 
 
 TESTS = f"{DEFS}, t as (select caller as test, callee from sites where starts_with(caller, 'test_')), names as (select distinct name from defs)"

@@ -4,6 +4,7 @@ import random
 
 from quarry.functions import shapes
 from quarry.functions.lexer import SPAN, code_facts
+from quarry.operators import graph, symbols
 from quarry.plans import corpora as c
 
 WANTED = ("symbols", "calls", "variables", "spans", "lines")
@@ -32,3 +33,12 @@ def test_shapes_give_what_each_text_gives_alone():
 
 def test_rust_binds_whole_names():
     assert [v["name"] for v in code_facts("fn f() { let value = 1; let mut other: i32 = 2; let Some(inner) = g(); let (p, qq) = h(); }", "rust")["variables"]] == ["value", "other", "inner", "p", "qq"]
+
+
+def test_calls_keep_the_callers_that_the_lexer_found(spark):
+    files = symbols.with_facts(c.shape_files(spark, "/root/testdata/sf0.001"))
+    calls, own = symbols.extract_calls(files), symbols.extract_symbols(files)
+    columns = ["path", "callee", "line", "start_byte", "caller"]
+    want = sorted(map(tuple, graph.enclosing_symbol(calls, own).select(*columns).collect()))
+    assert want and sorted(map(tuple, graph.enclosing_symbol(calls).select(*columns).collect())) == want
+    assert {tuple(r) for r in graph.caller_pairs(calls).collect()} == {(x[4], x[1]) for x in want}
