@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.scratch import stored
+
 KEYS = ["project", "path", "name"]
 ROWS_PER_FILE, ROWS_PER_GROUP = 2_000_000, 20_000
 #: Keys up to this number go into the scan's own conditions; more are joined with the whole table.
@@ -16,6 +18,7 @@ FEW = 2_000
 def write_clustered(rows: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, rows_per_group: int = ROWS_PER_GROUP) -> None:
     """Writes a table of symbols in ranges of (project, path, name, start_byte), sorted, in small row groups: those of a file's symbols are told by the bounds of
     `path`, those of a name by a Bloom filter of `name` (or its dictionary).  Ranges are cut by rows, so a hot project or path is spread over several."""
+    rows = stored(rows, "to-cluster")  # counting, sampling the ranges and writing read the rows three times; what they come from runs once
     order = KEYS + [c for c in ("start_byte",) if c in rows.columns]
     files = max(1, math.ceil(rows.count() / rows_per_file))
     writer = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite")

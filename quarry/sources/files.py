@@ -56,6 +56,7 @@ def scan_files(spark: SparkSession, root: str, project: str, max_file_size: int
 def write_index(tables: dict[str, DataFrame], path: str, rows_per_file: int = 1_000_000) -> None:
     """Each table to path/name, by project; a project's rows are spread over as many files as it needs."""
     for name, df in tables.items():
+        df = stored(df, "to-index")  # it is read twice; what it comes from runs once
         size = df.groupBy("project").agg(F.ceil(F.count("*") / rows_per_file).alias("pieces")).selectExpr("project as of", "pieces")
         spread = df.join(size, F.col("project").eqNullSafe(F.col("of")))
         spread = spread.withColumn("piece", F.pmod(F.xxhash64(*[c for c in df.columns if c in ("path", "name", "start_byte")] or [F.lit(0)]), F.col("pieces")))

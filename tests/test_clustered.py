@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quarry.sources import clustered
+from quarry.sources.files import read_index, write_index
 
 SCHEMA = "project string, path string, name string, kind string, start_byte long"
 
@@ -61,3 +62,18 @@ def test_empty_tables(spark, tmp_path):
     one = spark.createDataFrame([("p", "a", "b")], none.schema)
     assert clustered.lookup(spark, f"{tmp_path}/e", one).collect() == [] and clustered.lookup(spark, f"{tmp_path}/e", none).collect() == []
     assert [r.n_symbols for r in clustered.found(spark, f"{tmp_path}/e", one).collect()] == [0]
+
+
+def test_what_an_index_comes_from_runs_once(spark, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    rows = spark.range(500).selectExpr("'p' as project", "concat('f', id) as path", "concat('n', id) as name", "'function' as kind", "id as start_byte").mapInArrow(each, SCHEMA)
+    clustered.write_clustered(rows, f"{tmp_path}/clustered", rows_per_file=100)
+    assert ran.value == 500 and spark.read.parquet(f"{tmp_path}/clustered").count() == 500
+    write_index({"symbols": rows}, f"{tmp_path}/index", 100)
+    assert ran.value == 1000 and read_index(spark, f"{tmp_path}/index", "symbols").count() == 500
