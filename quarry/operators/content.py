@@ -71,7 +71,7 @@ def code_matches(files: DataFrame, pattern: str, context_lines: int = 2) -> Data
     """Matching lines whose first match is code.  Files without a grammar keep all; offsets are true bytes, with \\r\\n too."""
     from quarry.operators.symbols import with_facts
 
-    spans = with_facts(files).select("project", "path", F.col("facts.spans").alias("spans"), F.col("facts.lines").alias("starts"), "content")
+    spans = with_facts(files, "spans", "lines").select("project", "path", F.col("facts.spans").alias("spans"), F.col("facts.lines").alias("starts"), "content")
     c, p = context_lines, checked(pattern)
     own = spans.select("project", "path", "spans", "starts", line_array(F.col("content")).alias("l"))
     own = own.select("project", "path", "spans", "starts", "l", F.posexplode("l").alias("i", "text")).where(F.col("text").rlike(p))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.names import PARSED, is_definition_line, is_text_definition_line, kind_named
-from quarry.functions.shapes import facts_of
+from quarry.functions.shapes import facts_of_batch
 from quarry.functions.text import byte_slice, line_array, trimmed
 
 FACTS = {
@@ -31,7 +31,7 @@ def with_facts(files: DataFrame, *wanted: str) -> DataFrame:
         from quarry.operators import symbols  # the worker's own module keeps the shapes between tasks
 
         for content, language in batches:
-            yield facts_of(content.to_pylist(), language.to_pylist(), wanted, symbols._SHAPES)
+            yield facts_of_batch(content, language, wanted, symbols._SHAPES)
 
     out = F.arrow_udf(facts, f"struct<{', '.join(f'{x}: {FACTS[x]}' for x in wanted)}>").asNondeterministic()
     return files.where("content is not null").withColumn("facts", out("content", "language"))

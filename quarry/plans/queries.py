@@ -140,10 +140,10 @@ def gitignore(spark, d):
     return filters.filter_gitignore(f, filters.gitignore_rules(rules)).select("project", "path")
 
 
-def _facts(spark, d):
-    """The code corpus after the one lexer pass, stored: several operators read it."""
+def _facts(spark, d, *wanted, content=False):
+    """The code corpus after the one lexer pass, with the wanted facts, stored: several operators read it."""
     f = c.code_corpus(spark, d)
-    return stored(symbols.with_facts(f.where(F.col("language") != "sql")).select("project", "path", "language", "content", "facts"), "facts")
+    return stored(symbols.with_facts(f.where(F.col("language") != "sql"), *wanted).select("project", "path", "language", *(["content"] if content else []), "facts"), "facts")
 
 
 DEFS = f"with {CODE_SQL}"
@@ -179,7 +179,7 @@ def symbol_count_by_file(spark, d):
 
 @query(f"{DEFS} select path, name, 'parts' as project from defs")
 def dedup_symbols(spark, d):
-    return symbols.dedup_symbols(symbols.extract_symbols(_facts(spark, d)).where("kind != 'class'")).select("project", "path", "name")
+    return symbols.dedup_symbols(symbols.extract_symbols(c.code_corpus(spark, d)).where("kind != 'class'")).select("project", "path", "name")
 
 
 @query(f"""{DEFS}, body as (select path, caller as name, string_agg('    ' || callee || '(x)' || case when language in ('rust', 'typescript', 'javascript', 'java') then ';' else '' end, chr(10) order by line) as calls
@@ -188,7 +188,7 @@ select path, d.name, md5(case language when 'python' then 'def ' || d.name || '(
   when 'scala' then 'def ' || d.name || '(x: Int) = {{' else 'function ' || d.name || '(x) {{' end || coalesce(chr(10) || calls, '') || case when language = 'python' then '' else chr(10) || '}}' end) as digest
 from defs d left join body using (path)""")
 def implementation(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", content=True)
     s = symbols.extract_symbols(f).where("kind != 'class'")
     return symbols.implementation(s, f, s.select("project", "path", "name")).select("path", "name", F.md5(F.col("source").cast("binary")).alias("digest"))
 
@@ -237,7 +237,7 @@ def call_sites(spark, d):
 
 @query(f"{DEFS} select path, line, trim(callee) || '(x)' || case when language in ('rust','typescript','javascript','java') then ';' else '' end as text from sites join parts using (path) where callee = 'supply_1' order by path, line limit 50")
 def find_callers(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", "calls")
     path = "lib/supply_1.rs"
     return symbols.find_callers(symbols.extract_calls(f), symbols.extract_symbols(f), "supply_1", path).select("path", "line", "text")
 
@@ -250,21 +250,21 @@ def callers_text(spark, d):
 
 @query(f"{DEFS} select s.path, s.callee, count(*) as n_calls, cast(min(s.line) as int) as first_line, f.path as def_path from sites s join defs f on f.name = s.callee group by all")
 def call_edges(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", "calls")
     return graph.call_edges(symbols.extract_calls(f), symbols.extract_symbols(f)).select("path", "callee", "n_calls", "first_line", "def_path")
 
 
 @query(f"""{DEFS}, s as (select callee, count(*) as n_calls, count(distinct path) as n_files from sites group by callee), f as (select name as callee, count(*) as n_defs from defs group by name)
 select callee, n_calls, n_files, n_defs, n_files * n_defs as n_edges from s join f using (callee)""")
 def call_classes(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", "calls")
     return graph.call_classes(symbols.extract_calls(f), symbols.extract_symbols(f))
 
 
 @query(f"{DEFS} select s.path, s.callee, count(*) as n_calls, cast(min(s.line) as int) as first_line, f.path as def_path from sites s join defs f on f.name = s.callee join supplier on s.callee = 'supply_' || s_suppkey where s_acctbal < 0 group by all")
 def call_edges_of(spark, d):
     """The edges of the suppliers that owe money, out of the name classes."""
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", "calls")
     names = c.table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("concat('supply_', s_suppkey) as callee")
     return graph.expanded(symbols.extract_calls(f), symbols.extract_symbols(f), names).select("path", "callee", "n_calls", "first_line", "def_path")
 
@@ -293,20 +293,20 @@ TESTS = f"{DEFS}, t as (select caller as test, callee from sites where starts_wi
 
 @query(f"{TESTS} select distinct test as name, 2 as start_line from t where contains(callee, 'make_part_1') order by 'tests/' || test || '.py' limit 20")
 def find_tests(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", content=True)
     return graph.find_tests(symbols.extract_symbols(f), f, "make_part_1").select("name", "start_line")
 
 
 @query(f"{TESTS} select distinct test, name from t join (select distinct c.callee, name from (select distinct callee from t) c join names on contains(c.callee, name)) using (callee) union select t.test, names.name from (select distinct test from t) t join names on contains(t.test, names.name)")
 def test_coverage(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", content=True)
     s = symbols.extract_symbols(f).where("kind != 'class'")
     return graph.test_coverage(s, f).select("test", "name")
 
 
 @query(f"{TESTS}, seen as (select distinct name from (select distinct callee from t) t join names on contains(callee, name)) select name, path from defs anti join seen using (name) where not starts_with(path, 'tests/')")
 def untested_symbols(spark, d):
-    f = _facts(spark, d)
+    f = _facts(spark, d, "symbols", content=True)
     return graph.untested_symbols(symbols.extract_symbols(f).where("kind != 'class'"), f).select("name", "path")
 
 
@@ -534,7 +534,7 @@ def index_round_trip(spark, d):
 def attach_symbol_annotations(spark, d):
     key = F.col("s_suppkey")
     own = c.table(spark, d, "supplier").where("s_acctbal > 0").select(F.lit("parts").alias("project"), F.concat(F.lit("lib/supply_"), key, F.lit("."), c._lang(key, c.EXT)).alias("path"), F.concat(F.lit("supply_"), key).alias("name"), F.lit("symbol_definition").alias("target"), F.col("s_name").alias("value"))
-    s = symbols.extract_symbols(_facts(spark, d)).where("kind != 'class'")
+    s = symbols.extract_symbols(c.code_corpus(spark, d)).where("kind != 'class'")
     return notes.attach_symbol_annotations(s, own).select("path", "name", "definition")
 
 
