@@ -9,7 +9,7 @@ when what remains has fewer than `min_words` words or less than `min_left` of it
 Base rules per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; base_failed when
 n_words < 10 or 100 * n_repeat_words > 20 * n_words.  kept is false for base_failed or depleted documents.
 
-cleaned(), the pipeline's stage, goes further: near copies count once, too (`_gone_beside_copies`).  line_rules() counts distinct
+cleaned(), the pipeline's stage, goes further: near copies count once, too (`_common_beside_copies`).  line_rules() counts distinct
 texts, as the SQL of its query does.
 
 Null and empty texts: all counts 0, base_failed.  Repeated rows and a null doc_id: each row gets its own result.
@@ -100,8 +100,10 @@ def _judged(docs: DataFrame, max_docs: int, max_share: float, text: str = "text"
     return gone
 
 
-def _gone_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> DataFrame:
-    """host, k1, k2, gone and gone_words like _judged, where texts that share most of their lines count as one.
+def _common_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text: str = "text") -> DataFrame:
+    """g_key, g_host and common: the hashes of each host's lines above the limits, where texts that share most of their lines count as one.
+
+    A line above both limits stands in a twentieth of a host's texts (max_share), so a host has at most 20 times as many such lines as a text has on average, however many texts there are.
 
     A text whose words stand mostly in lines above the limits is either one of a group of near copies, whose lines stand mostly
     in such texts, or made of lines that other texts hold beside their own.  Only the former are grouped, by the one of their
@@ -132,9 +134,7 @@ def _gone_beside_copies(docs: DataFrame, max_docs: int, max_share: float, text:
     parts = part.groupBy("host", "part").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum(F.expr("n - 1")).alias("less_docs"))
     counted = held.select("host", "h", "c").distinct().join(fewer, ["host", "h"], "left").join(of_host.join(parts, "host", "left"), "host")
     common = counted.selectExpr("host", "h", "c - coalesce(less, 0) as c", "n_docs - coalesce(less_docs, 0) as n").where(f"c > {max_docs} and c > {max_share} * n")
-    common = common.selectExpr("xxhash64(host, h) as line", "host as of", "h as same")
-    hit = held.join(common, "line").where("host = of and h = same").groupBy(*texts).agg(F.collect_set("h").alias("gone"), F.sum("w").alias("gone_words"))
-    out = stored(hit.join(copies, texts).selectExpr("host as g_host", "k1 as g1", "k2 as g2", "gone", "gone_words div rows as gone_words"), "gone")
+    out = stored(common.groupBy("host").agg(F.collect_set("h").alias("common")).selectExpr("xxhash64(host) as g_key", "host as g_host", "common"), "common-lines")
     for x in (lines, copies, held, near, part):
         discard(x)
     return out
@@ -152,12 +152,16 @@ def line_rules(docs: DataFrame, max_docs: int = 20, max_share: float = 0.05, min
 
 def cleaned(docs: DataFrame, max_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
     """The kept rows with docs' own columns, without the removed lines, near copies counted once; n_chars follows the text where there is such a column."""
-    gone = _gone_beside_copies(docs, max_docs, max_share).select(F.xxhash64("g_host", "g1", "g2").alias("g_t"), "g_host", "g1", "g2", "gone", "gone_words")
-    base = F.expr(_base_sql().replace("{text}", "`text`"))
-    k1, k2 = _keys("text")
-    held = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce("source", F.lit("")).alias("g_h"), k1.alias("g_k1"), k2.alias("g_k2"), base.alias("b"))
-    held = held.where("b.w.n_words >= 10 and 100 * b.w.n_repeat_words <= 20 * b.w.n_words").withColumn("g_key", F.xxhash64("g_h", "g_k1", "g_k2"))
-    out = held.join(gone, (held.g_key == gone.g_t) & (held.g_h == gone.g_host) & (held.g_k1 == gone.g1) & (held.g_k2 == gone.g2), "left")
+    common = _common_beside_copies(docs, max_docs, max_share)
+    held = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce("source", F.lit("")).alias("g_h"))
+    # Exploded, so that no filter is pushed below the counts, which would work them out again.
+    held = held.select("d", "g_h", F.xxhash64("g_h").alias("g_of"), F.explode_outer(F.array(F.expr(_base_sql().replace("{text}", "d.text")))).alias("b"))
+    held = held.where("b.w.n_words >= 10 and 100 * b.w.n_repeat_words <= 20 * b.w.n_words")
+    # One array for each host and not a row for each text, so texts need no exchange; where there are very many hosts, both sides are exchanged and a large host can be split.
+    held = held.join(common, (F.col("g_of") == F.col("g_key")) & (F.col("g_h") == F.col("g_host")), "left")
+    own = f"filter(transform({_normal('d.text').replace('`', '')}, l -> if(l = '', null, struct(xxhash64(l) as h, size(split(l, ' ')) as w))), x -> x is not null)"
+    lost = _let(own, "own", _let("array_intersect(own.h, common)", "gone", "if(size(gone) > 0, struct(gone, aggregate(filter(own, x -> array_contains(gone, x.h)), 0L, (n, x) -> n + x.w) as gone_words), null)"))
+    out = held.select("d", "b", F.explode_outer(F.array(F.expr(f"if(common is null, null, {lost})"))).alias("lost")).select("d", "b", "lost.gone", "lost.gone_words")
     left = "b.w.n_words - gone_words"
     out = out.where(f"gone is null or not ({left} < {min_words} or {left} < {min_left} * b.w.n_words)")
     normal = "trim(regexp_replace(lower(l), '[ \\\\t\\\\x0B\\\\f\\\\r]+', ' '))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import jaccard_join, packing
+from quarry.llm import jaccard_join, line_rules, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,3 +78,17 @@ def test_empty_table_through_all_stages(spark, tmp_path):
     path = f"file://{tmp_path}"
     write(spark, path, [], [])
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_texts_are_not_exchanged_for_their_common_lines(spark):
+    rows = [(k, f"This line stands in all the texts of host {k % 4}.\n" + "\n".join(words(f"{k} {j}", 12) for j in range(3)), f"h{k % 4}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # smaller than a row for each text
+        out = line_rules.cleaned(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert {r.doc_id: r.text for r in out.collect()} == {k: text.split("\n", 1)[1] for k, text, _ in rows}
