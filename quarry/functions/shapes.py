@@ -40,7 +40,10 @@ CALL = pa.struct([("callee", pa.string()), ("line", pa.int32()), ("text", pa.str
 WITHIN = pa.struct([("function", pa.string()), ("start", pa.int64())])
 VARIABLE = pa.struct([("name", pa.string()), ("pos", pa.int64()), ("within", pa.list_(WITHIN))])
 SPAN_TYPE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-TYPES = {"symbols": pa.list_(SYMBOL), "calls": pa.list_(CALL), "variables": pa.list_(VARIABLE), "spans": pa.list_(SPAN_TYPE), "lines": pa.list_(pa.int64())}
+#: Calls in brief: sites are calls without text, place and caller; callees are a text's sites by name.
+SITE = pa.struct([("callee", pa.string()), ("line", pa.int32())])
+CALLEE = pa.struct([("callee", pa.string()), ("n_calls", pa.int64()), ("first_line", pa.int32())])
+TYPES = {"symbols": pa.list_(SYMBOL), "calls": pa.list_(CALL), "variables": pa.list_(VARIABLE), "spans": pa.list_(SPAN_TYPE), "lines": pa.list_(pa.int64()), "sites": pa.list_(SITE), "callees": pa.list_(CALLEE)}
 
 
 def cut(text: str, language: str) -> tuple[str | None, list[str]]:
@@ -139,11 +142,13 @@ class Shape:
             if what == "lines":
                 out.append(lists(len(self.lines), longs(self.lines)))
                 continue
-            own = getattr(self, what)
+            own = self.calls if what == "sites" else getattr(self, what)
             if what == "symbols":
                 fields = [strings(column(own, 0)), same(column(own, 1), pa.string()), longs(column(own, 2)), longs(column(own, 3)), same(column(own, 4), pa.int32()), same(column(own, 5), pa.int32()), strings(column(own, 6)), strings(column(own, 7))]
             elif what == "calls":
                 fields = [strings(column(own, 0)), same(column(own, 1), pa.int32()), strings(column(own, 2)), longs(column(own, 3)), strings(column(own, 4))]
+            elif what == "sites":
+                fields = [strings(column(own, 0)), same(column(own, 1), pa.int32())]
             elif what == "variables":
                 within = [x for v in own for x in v[2]]
                 inner = pa.StructArray.from_arrays([strings(column(within, 0)), longs(column(within, 1))], fields=list(WITHIN))
@@ -167,7 +172,10 @@ def _shape(text: str, language: str, shape: str, known: dict[tuple[str, str], Sh
 
 
 def facts_of_batch(content: pa.StringArray, language: pa.StringArray, wanted: tuple[str, ...], known: dict[tuple[str, str], Shape | None]) -> pa.StructArray:
-    """facts_of for a batch's columns; texts equal but for digits go through as bytes."""
+    """facts_of for a batch's columns; texts equal but for digits go through as bytes.  Only here callees can be wanted."""
+    if "callees" in wanted:
+        own = facts_of_batch(content, language, tuple(dict.fromkeys("sites" if x == "callees" else x for x in wanted)), known)
+        return _struct([_by_name(own.field("sites")) if x == "callees" else own.field(x) for x in wanted], wanted)
     content, language = content.cast(pa.string()), language.cast(pa.string())
     n = len(content)
     offsets = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
@@ -214,6 +222,16 @@ def facts_of_batch(content: pa.StringArray, language: pa.StringArray, wanted: tu
     return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order))))
 
 
+def _by_name(sites: pa.ListArray) -> pa.ListArray:
+    """callees of each text's sites, in any order."""
+    flat = sites.flatten()
+    rows = pa.table({"text": pc.list_parent_indices(sites), "callee": flat.field("callee"), "line": flat.field("line")})
+    out = rows.group_by(["text", "callee"]).aggregate([("line", "count"), ("line", "min")]).sort_by("text")
+    own, callee, n, first = (out[x].combine_chunks() for x in ("text", "callee", "line_count", "line_min"))
+    offsets = np.searchsorted(own.to_numpy(), np.arange(len(sites) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([callee, n, first], fields=list(CALLEE)))
+
+
 def _struct(columns: list[pa.Array], wanted: tuple[str, ...]) -> pa.StructArray:
     return pa.StructArray.from_arrays(columns, fields=[pa.field(what, TYPES[what]) for what in wanted])
 
@@ -243,7 +261,7 @@ def facts_of(texts: list[str | None], languages: list[str | None], wanted: tuple
         order += alone
         facts = [code_facts(texts[k] or "", languages[k]) for k in alone]
         for part, what in zip(parts, wanted, strict=True):
-            part.append(pa.array([f[what] for f in facts], TYPES[what]))
+            part.append(pa.array([f["calls" if what == "sites" else what] for f in facts], TYPES[what]))
     back = pa.array(np.argsort(np.array(order, np.int64)))
     columns = [pa.concat_arrays([x.cast(TYPES[what]) for x in part]).take(back) for part, what in zip(parts, wanted, strict=True)]
     return _struct(columns, wanted)

@@ -18,12 +18,14 @@ FACTS = {
     "variables": "array<struct<name string, pos long, within array<struct<function string, start long>>>>",
     "spans": "array<struct<start long, end long>>", "lines": "array<long>",
 }
+#: Calls in brief: without text, place and caller, or a file's calls by name.
+BRIEF = {"sites": "array<struct<callee string, line int>>", "callees": "array<struct<callee string, n_calls long, first_line int>>"}
 #: Shapes that a Python worker has read.
 _SHAPES: dict = {}
 
 
 def with_facts(files: DataFrame, *wanted: str) -> DataFrame:
-    """files with the column facts (all of FACTS, or the wanted ones); narrow, so store its result when several operators need it.  Marked as nondeterministic, so that
+    """files with the column facts (all of FACTS, or the wanted ones, which may be of BRIEF); narrow, so store its result when several operators need it.  Marked as nondeterministic, so that
     Spark infers no filter on what is exploded from it, which would run the lexer a second time."""
     wanted = wanted or tuple(FACTS)
 
@@ -33,31 +35,36 @@ def with_facts(files: DataFrame, *wanted: str) -> DataFrame:
         for content, language in batches:
             yield facts_of_batch(content, language, wanted, symbols._SHAPES)
 
-    out = F.arrow_udf(facts, f"struct<{', '.join(f'{x}: {FACTS[x]}' for x in wanted)}>").asNondeterministic()
+    out = F.arrow_udf(facts, f"struct<{', '.join(f'{x}: {(FACTS | BRIEF)[x]}' for x in wanted)}>").asNondeterministic()
     return files.where("content is not null").withColumn("facts", out("content", "language"))
 
 
-def _facts_of(files: DataFrame, what: str) -> DataFrame:
+def facts_of(files: DataFrame, *what: str) -> DataFrame:
     """files that have no facts yet get the ones asked for; only parsed languages are read."""
-    return files if "facts" in files.columns else with_facts(files.where(F.col("language").isin(PARSED)), what)
+    return files if "facts" in files.columns else with_facts(files.where(F.col("language").isin(PARSED)), *what)
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    return _facts_of(files, "symbols").select("project", "path", "language", F.inline("facts.symbols"))
+    return facts_of(files, "symbols").select("project", "path", "language", F.inline("facts.symbols"))
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
-    return _facts_of(files, "calls").select("project", "path", "language", F.inline("facts.calls"))
+    return facts_of(files, "calls").select("project", "path", "language", F.inline("facts.calls"))
+
+
+def count_calls(files: DataFrame) -> DataFrame:
+    """The calls of each file by name, counted where the file is read: project, path, language, callee, n_calls, first_line."""
+    return facts_of(files, "callees").select("project", "path", "language", F.inline("facts.callees"))
 
 
 def code_spans(files: DataFrame) -> DataFrame:
-    return _facts_of(files, "spans").select("project", "path", F.inline("facts.spans"))
+    return facts_of(files, "spans").select("project", "path", F.inline("facts.spans"))
 
 
 def all_variables(files: DataFrame) -> DataFrame:
     """Distinct names bound in each function, with the first place; self and _ are left out.  The sweep over a file's functions is the lexer's,
     so a row goes to the functions around it and not to all of the file."""
-    own = _facts_of(files, "variables").select("project", "path", F.explode("facts.variables").alias("v")).where("v.name not in ('self', '_')")
+    own = facts_of(files, "variables").select("project", "path", F.explode("facts.variables").alias("v")).where("v.name not in ('self', '_')")
     own = own.select("project", "path", "v.name", "v.pos", F.explode("v.within").alias("f"))
     return own.groupBy("project", "path", F.col("f.function").alias("function"), F.col("f.start").alias("fn_start_byte"), "name").agg(F.min("pos").alias("pos"))
 

@@ -250,23 +250,22 @@ def callers_text(spark, d):
 
 @query(f"{DEFS} select s.path, s.callee, count(*) as n_calls, cast(min(s.line) as int) as first_line, f.path as def_path from sites s join defs f on f.name = s.callee group by all")
 def call_edges(spark, d):
-    f = _facts(spark, d, "symbols", "calls")
-    return graph.call_edges(symbols.extract_calls(f), symbols.extract_symbols(f)).select("path", "callee", "n_calls", "first_line", "def_path")
+    f = _facts(spark, d, "symbols", "callees")
+    return graph.call_edges(symbols.count_calls(f), symbols.extract_symbols(f)).select("path", "callee", "n_calls", "first_line", "def_path")
 
 
 @query(f"""{DEFS}, s as (select callee, count(*) as n_calls, count(distinct path) as n_files from sites group by callee), f as (select name as callee, count(*) as n_defs from defs group by name)
 select callee, n_calls, n_files, n_defs, n_files * n_defs as n_edges from s join f using (callee)""")
 def call_classes(spark, d):
-    f = _facts(spark, d, "symbols", "calls")
-    return graph.call_classes(symbols.extract_calls(f), symbols.extract_symbols(f))
+    return graph.call_classes_of(c.code_corpus(spark, d))
 
 
 @query(f"{DEFS} select s.path, s.callee, count(*) as n_calls, cast(min(s.line) as int) as first_line, f.path as def_path from sites s join defs f on f.name = s.callee join supplier on s.callee = 'supply_' || s_suppkey where s_acctbal < 0 group by all")
 def call_edges_of(spark, d):
     """The edges of the suppliers that owe money, out of the name classes."""
-    f = _facts(spark, d, "symbols", "calls")
+    f = _facts(spark, d, "symbols", "callees")
     names = c.table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("concat('supply_', s_suppkey) as callee")
-    return graph.expanded(symbols.extract_calls(f), symbols.extract_symbols(f), names).select("path", "callee", "n_calls", "first_line", "def_path")
+    return graph.expanded(symbols.count_calls(f), symbols.extract_symbols(f), names).select("path", "callee", "n_calls", "first_line", "def_path")
 
 
 @query(f"{DEFS} select path, callee, line, caller from sites")
