@@ -57,6 +57,11 @@ def count_calls(files: DataFrame) -> DataFrame:
     return facts_of(files, "callees").select("project", "path", "language", F.inline("facts.callees"))
 
 
+def call_sites(files: DataFrame) -> DataFrame:
+    """extract_calls without text, place and caller."""
+    return facts_of(files, "sites").select("project", "path", "language", F.inline("facts.sites"))
+
+
 def code_spans(files: DataFrame) -> DataFrame:
     return facts_of(files, "spans").select("project", "path", F.inline("facts.spans"))
 

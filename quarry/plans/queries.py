@@ -232,7 +232,7 @@ def declared_calls(spark, d):
 
 @query(f"{DEFS} select path, callee, line from sites")
 def call_sites(spark, d):
-    return symbols.extract_calls(c.code_corpus(spark, d)).select("path", "callee", "line")
+    return symbols.call_sites(c.code_corpus(spark, d)).select("path", "callee", "line")
 
 
 @query(f"{DEFS} select path, line, trim(callee) || '(x)' || case when language in ('rust','typescript','javascript','java') then ';' else '' end as text from sites join parts using (path) where callee = 'supply_1' order by path, line limit 50")
