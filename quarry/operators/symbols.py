@@ -121,6 +121,14 @@ def find_callers(calls: DataFrame, symbols: DataFrame, name: str, path: str, lim
     own = own.where(~((F.col("path") == path) & is_definition_line(F.col("text"), F.lit(name), F.col("language"))))
     return own.select("project", "path", "line", "text", "start_byte").orderBy("project", "path", "line", "start_byte").limit(limit)
 
+def facts_of_name(files: DataFrame, name: str) -> DataFrame:
+    """files with the symbols and calls of that name alone (facts), for find_callers.  Both are words of the text, but for the # of a private
+    method, so a file without the name is not read."""
+    own = with_facts(files.where(F.col("language").isin(PARSED) & F.contains("content", F.lit(name.lstrip("#")))), "symbols", "calls")
+    kept = F.struct(F.filter("facts.symbols", lambda x: x["name"] == name).alias("symbols"), F.filter("facts.calls", lambda x: x["callee"] == name).alias("calls"))
+    return own.select("project", "path", "language", kept.alias("facts")).where("size(facts.symbols) + size(facts.calls) > 0")
+
+
 
 def find_callers_text(files: DataFrame, name: str, path: str, limit: int | None = 50) -> DataFrame:
     """Lines that hold the name, in files without a grammar; limit None: all, unordered."""

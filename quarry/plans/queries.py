@@ -237,7 +237,7 @@ def call_sites(spark, d):
 
 @query(f"{DEFS} select path, line, trim(callee) || '(x)' || case when language in ('rust','typescript','javascript','java') then ';' else '' end as text from sites join parts using (path) where callee = 'supply_1' order by path, line limit 50")
 def find_callers(spark, d):
-    f = _facts(spark, d, "symbols", "calls")
+    f = stored(symbols.facts_of_name(c.code_corpus(spark, d), "supply_1"), "facts")
     path = "lib/supply_1.rs"
     return symbols.find_callers(symbols.extract_calls(f), symbols.extract_symbols(f), "supply_1", path).select("path", "line", "text")
 
