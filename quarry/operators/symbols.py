@@ -44,24 +44,29 @@ def facts_of(files: DataFrame, *what: str) -> DataFrame:
     return files if "facts" in files.columns else with_facts(files.where(F.col("language").isin(PARSED)), *what)
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    return facts_of(files, "symbols").select("project", "path", "language", F.inline("facts.symbols"))
+def extract_symbols(files: DataFrame, source: bool = False) -> DataFrame:
+    """The symbols of files; with source their texts, cut where the file is read, so that no file is joined again."""
+    own = facts_of(files, "symbols")
+    if not source:
+        return own.select("project", "path", "language", F.inline("facts.symbols"))
+    own = own.select("project", "path", "language", F.encode("content", "UTF-8").alias("data"), F.inline("facts.symbols"))
+    return own.withColumn("source", F.substring("data", (F.col("start_byte") + 1).cast("int"), (F.least("end_byte", F.octet_length("data")) - F.col("start_byte")).cast("int")).cast("string")).drop("data")
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
     return facts_of(files, "calls").select("project", "path", "language", F.inline("facts.calls"))
 
 
-def count_calls(files: DataFrame) -> DataFrame:
-    """The calls of each file by name, counted where the file is read: project, path, language, callee, n_calls, first_line."""
-    return facts_of(files, "callees").select("project", "path", "language", F.inline("facts.callees"))
-
-
 def call_sites(files: DataFrame) -> DataFrame:
     """extract_calls without text, place and caller."""
     return facts_of(files, "sites").select("project", "path", "language", F.inline("facts.sites"))
 
 
+def count_calls(files: DataFrame) -> DataFrame:
+    """The calls of each file by name, counted where the file is read: project, path, language, callee, n_calls, first_line."""
+    return facts_of(files, "callees").select("project", "path", "language", F.inline("facts.callees"))
+
+
 def code_spans(files: DataFrame) -> DataFrame:
     return facts_of(files, "spans").select("project", "path", F.inline("facts.spans"))
 
@@ -114,13 +119,6 @@ def not_found(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(symbols, ["project", "path", "name"], "left_anti")
 
 
-def find_callers(calls: DataFrame, symbols: DataFrame, name: str, path: str, limit: int = 50) -> DataFrame:
-    """Calls of that name anywhere, if the symbol exists, without definition lines in its own file."""
-    known = symbols.where((F.col("name") == name) & (F.col("path") == path)).select("project").distinct()
-    own = calls.where(F.col("callee") == name).join(known, "project", "left_semi")
-    own = own.where(~((F.col("path") == path) & is_definition_line(F.col("text"), F.lit(name), F.col("language"))))
-    return own.select("project", "path", "line", "text", "start_byte").orderBy("project", "path", "line", "start_byte").limit(limit)
-
 def facts_of_name(files: DataFrame, name: str) -> DataFrame:
     """files with the symbols and calls of that name alone (facts), for find_callers.  Both are words of the text, but for the # of a private
     method, so a file without the name is not read."""
@@ -129,6 +127,13 @@ def facts_of_name(files: DataFrame, name: str) -> DataFrame:
     return own.select("project", "path", "language", kept.alias("facts")).where("size(facts.symbols) + size(facts.calls) > 0")
 
 
+def find_callers(calls: DataFrame, symbols: DataFrame, name: str, path: str, limit: int = 50) -> DataFrame:
+    """Calls of that name anywhere, if the symbol exists, without definition lines in its own file."""
+    known = symbols.where((F.col("name") == name) & (F.col("path") == path)).select("project").distinct()
+    own = calls.where(F.col("callee") == name).join(known, "project", "left_semi")
+    own = own.where(~((F.col("path") == path) & is_definition_line(F.col("text"), F.lit(name), F.col("language"))))
+    return own.select("project", "path", "line", "text", "start_byte").orderBy("project", "path", "line", "start_byte").limit(limit)
+
 
 def find_callers_text(files: DataFrame, name: str, path: str, limit: int | None = 50) -> DataFrame:
     """Lines that hold the name, in files without a grammar; limit None: all, unordered."""

@@ -292,8 +292,7 @@ TESTS = f"{DEFS}, t as (select caller as test, callee from sites where starts_wi
 
 @query(f"{TESTS} select distinct test as name, 2 as start_line from t where contains(callee, 'make_part_1') order by 'tests/' || test || '.py' limit 20")
 def find_tests(spark, d):
-    f = _facts(spark, d, "symbols", content=True)
-    return graph.find_tests(symbols.extract_symbols(f), f, "make_part_1").select("name", "start_line")
+    return graph.find_tests(symbols.extract_symbols(c.code_corpus(spark, d), source=True), None, "make_part_1").select("name", "start_line")
 
 
 @query(f"{TESTS} select distinct test, name from t join (select distinct c.callee, name from (select distinct callee from t) c join names on contains(c.callee, name)) using (callee) union select t.test, names.name from (select distinct test from t) t join names on contains(t.test, names.name)")
