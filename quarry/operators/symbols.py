@@ -108,9 +108,11 @@ def search_many(symbols: DataFrame, queries: list[str], limit: int = 20) -> Data
     return symbols.withColumn("query", F.explode(hit)).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
-def implementation(symbols: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of the wanted (project, path, name); what is not found is missing (see not_found)."""
+def implementation(symbols: DataFrame, files: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """The text of the wanted (project, path, name); what is not found is missing (see not_found).  Without files the symbols hold their source."""
     own = symbols.join(wanted.select("project", "path", "name").distinct(), ["project", "path", "name"])
+    if files is None:
+        return own.select("project", "path", "name", "start_byte", "source")
     own = own.join(files.select("project", "path", "content"), ["project", "path"])
     return own.select("project", "path", "name", "start_byte", byte_slice(F.col("content"), F.col("start_byte"), F.least("end_byte", F.octet_length("content"))).alias("source"))
 

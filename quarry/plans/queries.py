@@ -188,9 +188,8 @@ select path, d.name, md5(case language when 'python' then 'def ' || d.name || '(
   when 'scala' then 'def ' || d.name || '(x: Int) = {{' else 'function ' || d.name || '(x) {{' end || coalesce(chr(10) || calls, '') || case when language = 'python' then '' else chr(10) || '}}' end) as digest
 from defs d left join body using (path)""")
 def implementation(spark, d):
-    f = _facts(spark, d, "symbols", content=True)
-    s = symbols.extract_symbols(f).where("kind != 'class'")
-    return symbols.implementation(s, f, s.select("project", "path", "name")).select("path", "name", F.md5(F.col("source").cast("binary")).alias("digest"))
+    s = stored(symbols.extract_symbols(c.code_corpus(spark, d), source=True).where("kind != 'class'").select("project", "path", "name", "start_byte", "source"), "symbols")
+    return symbols.implementation(s, None, s.select("project", "path", "name")).select("path", "name", F.md5(F.col("source").cast("binary")).alias("digest"))
 
 
 def _shapes(spark, d):
