@@ -34,12 +34,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import WordHashes, discard, ngram_hashes, stored, table, word_array
+from .shared import discard, ngram_hashes, stored, table
 
 #: Classes that a region may have to be compared directly, and how much the number of pivots grows from one split to the next.
 LEAF, MORE = 32, 8
@@ -56,6 +57,73 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+#: Bytes of texts whose words are told apart and hashed at a time, about; slots of the marks of what stands in the shared order.
+TEXT_BYTES, MARKS = 2 << 20, 1 << 22
+#: Bytes with A-Z lower-cased, which of them end words, and the constants of XXH64.
+LOWER, BLANK = np.frombuffer(bytes(range(256)).lower(), np.uint8), np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    return (h << np.uint64(k)) | (h >> np.uint64(64 - k))
+
+
+def xxh64_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxhash.xxh64_intdigest of the words data[start : start + size], those of one size together; data has eight more bytes at its end."""
+    out = np.empty(len(starts), np.uint64)
+    lanes, halves = (np.ndarray(len(data) - 7, t, data, strides=(1,)) for t in ("<u8", "<u4"))
+    held = np.minimum(sizes, 32).astype(np.uint8)
+    by = np.argsort(held, kind="stable")
+    cuts = np.searchsorted(held[by], np.arange(33))
+    for size in range(1, 32):
+        rows = by[cuts[size] : cuts[size + 1]]
+        if not len(rows):
+            continue
+        at, h, rest = starts[rows], np.full(len(rows), P5 + np.uint64(size)), size
+        while rest >= 8:
+            h = _rolled(h ^ (_rolled(lanes[at] * P2, 31) * P1), 27) * P1 + P4
+            at, rest = at + 8, rest - 8
+        if rest >= 4:
+            h = _rolled(h ^ (halves[at].astype(np.uint64) * P1), 23) * P2 + P3
+            at, rest = at + 4, rest - 4
+        for k in range(rest):
+            h = _rolled(h ^ (data[at + k].astype(np.uint64) * P5), 11) * P1
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        out[rows] = h ^ (h >> np.uint64(32))
+    for k in by[cuts[32] :].tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes())
+    return out
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The set of each text, sorted: np.unique(ngram_hashes(word_array(words_of(text)))), null as ''.  The words and windows of some megabytes of texts are
+    found and hashed together."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    k = 0
+    while k < len(texts):
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] + TEXT_BYTES, "right")) - 1)
+        data = np.append(LOWER[whole[ends[k] : ends[to]]], np.full(8, 32, np.uint8))
+        own = ends[k : to + 1] - ends[k]
+        blank = BLANK[data]
+        edge = np.zeros(len(data) + 1, bool)  # words end with their text
+        edge[own] = True
+        first = ~blank
+        first[1:] &= blank[:-1] | edge[1:-1]
+        last = ~blank
+        last[:-1] &= blank[1:] | edge[1:-1]
+        starts = np.flatnonzero(first)
+        h = xxh64_of(data, starts, np.flatnonzero(last) + 1 - starts)
+        windows = ngram_hashes(h, n) if len(h) >= n else h
+        cuts = np.searchsorted(starts, own).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            x = np.sort(windows[a : b - n + 1] if b - a >= n else ngram_hashes(h[a:b], n))
+            yield x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+        k = to
+
+
 def shingle_order(docs: DataFrame, n: int, part_shingles: int = PART_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the shingles that many documents hold.
 
@@ -65,7 +133,7 @@ def shingle_order(docs: DataFrame, n: int, part_shingles: int = PART_SHINGLES) -
     """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, texts, sets, held = WordHashes(), set(), [], 0
+        texts, sets, held = set(), [], 0
 
         def part() -> pa.RecordBatch:
             h, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -73,12 +141,14 @@ def shingle_order(docs: DataFrame, n: int, part_shingles: int = PART_SHINGLES) -
             return pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], names=["h", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                mark = xxhash.xxh3_64_digest((text or "").encode("utf-8", "surrogatepass"))
-                if mark in texts:  # copies of one text say nothing of what different texts share
-                    continue
-                texts.add(mark)
-                sets.append(np.unique(ngram_hashes(word_array(words_of(text), cache), n)))
+            keep = []
+            for k, text in enumerate(pc.fill_null(b.column(0), "").cast(pa.binary())):
+                mark = xxhash.xxh3_64_digest(text.as_buffer())
+                if mark not in texts:  # copies of one text say nothing of what different texts share
+                    texts.add(mark)
+                    keep.append(k)
+            for own in shingle_sets(b.column(0).take(pa.array(keep, pa.int64())), n):
+                sets.append(own)
                 held += len(sets[-1])
                 if held >= part_shingles:
                     yield part()
@@ -95,25 +165,27 @@ def shingled(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
     """doc_id, n_shingles, cid (a 128-bit hash of the set), head (the shingles whose regions the document enters, in order) and
     sketch: for 1024 classes of shingles whether the set holds an odd number, so that sketches differ in at most |x - y| + |y - x| bits."""
     known, count = order
+    columns = {"n_shingles": pa.int64(), "cid": pa.binary(), "head": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64())}
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        marks = np.zeros(MARKS, bool)
+        marks[(known & np.uint64(MARKS - 1)).astype(np.int64)] = True
         for b in batches:
             rows = []
-            for text in b:
-                sets = np.unique(ngram_hashes(word_array(words_of(text), cache), n))
+            for sets in shingle_sets(b, n):
                 m = len(sets)
                 c = np.zeros(m, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
-                    c = np.where(known[at] == sets, count[at], 0)
+                some = np.flatnonzero(marks[(sets & np.uint64(MARKS - 1)).astype(np.int64)])
+                if len(some):  # few shingles stand in the order, and others are not looked up
+                    at = np.minimum(np.searchsorted(known, sets[some]), len(known) - 1)
+                    c[some] = np.where(known[at] == sets[some], count[at], 0)
                 # sets is sorted, so that a stable sort by count breaks ties by hash.
                 head = sets[np.argsort(c, kind="stable")[: m - (percent * m + 99) // 100 + 1]] if m else sets
                 odd = np.bincount((sets & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
                 rows.append((m, xxhash.xxh3_128_digest(sets.tobytes()) if m else None, head.astype(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n_shingles", "cid", "head", "sketch"])
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, columns.values(), strict=True)], names=list(columns))
 
-    out = F.pandas_udf(run, "struct<n_shingles long, cid binary, head array<long>, sketch array<long>>")
+    out = F.arrow_udf(run, "struct<n_shingles long, cid binary, head array<long>, sketch array<long>>")
     return docs.select("doc_id", out("text").alias("s")).select("doc_id", "s.*")
 
 
@@ -141,11 +213,10 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
     @F.pandas_udf("struct<both long, whole long>")
     def overlap(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        cache, last, held, out = WordHashes(), None, None, []
-        for q, s, t in zip(p, a, b, strict=True):
+        last, held, out = None, None, []
+        for q, s, x in zip(p, a, shingle_sets(pa.array(b, pa.string()), n), strict=True):
             if q != last or held is None:
-                last, held = q, np.unique(ngram_hashes(word_array(words_of(s), cache), n))
-            x = np.unique(ngram_hashes(word_array(words_of(t), cache), n))
+                last, held = q, next(shingle_sets(pa.array([s], pa.string()), n))
             at = np.minimum(np.searchsorted(held, x), len(held) - 1)
             both = int((held[at] == x).sum())
             out.append((both, len(held) + len(x) - both))
@@ -202,13 +273,12 @@ def between_parts(members: DataFrame, texts: DataFrame, n: int, percent: int) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for _, held in _groups(batches, ["region", "tb", "qb"], ["asks", "sid", "own", "root", "text"]):
             asks = [x for x in held if x[0]]
             all_ = [x for x in held if not x[0]]
             if not asks or not all_:
                 continue
-            left, right = ([np.unique(ngram_hashes(word_array(words_of(x[4]), cache), n)) for x in side] for side in (asks, all_))
+            left, right = (list(shingle_sets(pa.array([x[4] for x in side], pa.string()), n)) for side in (asks, all_))
             both = _common(left, right)
             whole = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - both
             own = np.array([x[2] for x in asks])[:, None] | np.array([x[2] for x in all_])[None, :]
@@ -243,10 +313,9 @@ def link_counts(members: DataFrame, texts: DataFrame, n: int, percent: int) -> D
     """(sid, linked): the rows of all other classes that a class links with.  members: sid, root, rows and nb, the blocks of its component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for key, held in _groups(batches, ["root", "lo", "hi"], ["b", "sid", "rows", "text"]):
             sids, weights = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
-            sets = [np.unique(ngram_hashes(word_array(words_of(x[3]), cache), n)) for x in held]
+            sets = list(shingle_sets(pa.array([x[3] for x in held], pa.string()), n))
             sizes = np.array([len(x) for x in sets], np.int64)
             one = key[1] == key[2]
             cut = len(held) if one else sum(x[0] == key[1] for x in held)  # sorted: the lower block first
