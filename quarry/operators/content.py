@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import line_array, numbered
-from quarry.operators.search_index import first_of, literal_matches
+from quarry.operators.search_index import first_matches, first_of
 
 
 def checked(pattern: str) -> str:
@@ -102,7 +102,7 @@ def grep_many(files: DataFrame, patterns: DataFrame, max_matches: int = 50, lite
     """Per pattern (pattern_id, pattern): its first lines and its total.  Literal patterns are automata that read each line once.  Regular
     expressions go to the tasks in blocks of PATTERN_BLOCK, and a line is tried pattern by pattern only where the block's alternation finds something."""
     if literal:
-        return first_of(literal_matches(files, patterns), max_matches)
+        return first_matches(files, patterns, max_matches)
     rows = patterns.select("pattern_id", "pattern").orderBy("pattern_id").toLocalIterator()
     blocks: list[list] = [[]]
     for r in rows:
