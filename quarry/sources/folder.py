@@ -5,15 +5,19 @@ Names that begin with a dot or underscore are files like others.  Links to folde
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +33,8 @@ LISTING = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", p
 PARTITION_BYTES, OPEN_COST = 64 << 20, 256 << 10
 #: Bytes of content in one Arrow batch, about.
 BATCH_BYTES = 8 << 20
+#: Files of a listing that are sorted in memory, and in a row group of a stored one.
+SORTED, GROUP = 100_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -79,6 +85,108 @@ def listed(root: str, prefixes: list[str] | None = None) -> list[Found]:
     return sorted(out, key=lambda f: f.path)
 
 
+def walked(root: str) -> Iterator[Found]:
+    """The files under a folder, folder by folder in no order.  A local folder is read as it comes; others are given by their file system as one list for each folder."""
+    fs, base = opened(root)
+    local, level = isinstance(fs, pafs.LocalFileSystem), [base]
+    while level:
+        at = level.pop()
+        if not local:
+            for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+                if i.type == pafs.FileType.Directory:
+                    level.append(i.path)
+                elif i.type == pafs.FileType.File:
+                    yield Found(i.path[len(base) + 1 :], i.size, (i.mtime_ns or 0) // 1000)
+            continue
+        try:
+            entries = os.scandir(at)
+        except FileNotFoundError:
+            continue
+        with entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    level.append(e.path)
+                    continue
+                try:
+                    if e.is_file():
+                        st = e.stat()
+                        yield Found(e.path[len(base) + 1 :], st.st_size, st.st_mtime_ns // 1000)
+                except FileNotFoundError:  # gone since
+                    continue
+
+
+def in_order(files: Iterator[Found], at: str) -> Iterator[Found]:
+    """files in the order of their paths; runs of `SORTED` files are sorted in memory and merged from the folder `at`."""
+    runs: list[str] = []
+    while run := list(islice(files, SORTED)):
+        run.sort(key=lambda f: f.path)
+        if not runs and len(run) < SORTED:
+            yield from run
+            return
+        runs.append(f"{at}/{len(runs)}")
+        with Listing(pafs.LocalFileSystem(), runs[-1], 0) as out:
+            for f in run:
+                out.add(f)
+    yield from heapq.merge(*(held(pafs.LocalFileSystem(), r, small=True) for r in runs), key=lambda f: f.path)
+
+
+class Listing:
+    """A listing as it is written, a row group at a time."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, listed: int):
+        self.rows: list[Found] = []
+        self.out = pq.ParquetWriter(path, LISTING.with_metadata({"listed": str(listed)}), filesystem=fs)
+
+    def add(self, f: Found) -> None:
+        self.rows.append(f)
+        if len(self.rows) >= GROUP:
+            self.flush()
+
+    def flush(self) -> None:
+        self.out.write_table(pa.table([[f.path for f in self.rows], [f.size for f in self.rows], [f.modified for f in self.rows]], schema=self.out.schema))
+        self.rows = []
+
+    def __enter__(self) -> Listing:
+        return self
+
+    def __exit__(self, *error) -> None:
+        if self.rows:
+            self.flush()
+        self.out.close()
+
+
+def held(fs: pafs.FileSystem, path: str, first: str | None = None, last: str | None = None, small: bool = False) -> Iterator[Found]:
+    """The files of a stored listing in their order, from the path `first` on and before `last`; only row groups that can hold such are read."""
+    with fs.open_input_file(path) as source:
+        at = pq.ParquetFile(source)
+        for k in range(at.num_row_groups):
+            own = at.metadata.row_group(k).column(0).statistics
+            if own is not None and own.has_min_max and (first is not None and own.max < first or last is not None and own.min >= last):
+                continue
+            for b in at.iter_batches(2_000 if small else 10_000, row_groups=[k]):
+                if first is not None:
+                    b = b.filter(pc.greater_equal(b.column(0), first))
+                if last is not None:
+                    b = b.filter(pc.less(b.column(0), last))
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    yield Found(*row)
+
+
+def changed(old: Iterator[Found], new: Iterator[Found]) -> Iterator[tuple[Found | None, Found | None]]:
+    """(old, change) by path, of two listings in order: a file that is as it was has no change, one that has gone is a deletion."""
+    a, b = next(old, None), next(new, None)
+    while a or b:
+        if b is None or a and a.path < b.path:
+            yield a, Found(a.path, 0, 0, "delete")
+            a = next(old, None)
+        elif a is None or b.path < a.path:
+            yield None, b
+            b = next(new, None)
+        else:
+            yield a, None if a == b else b
+            a, b = next(old, None), next(new, None)
+
+
 def balanced(files: list[Found], partition_bytes: int = PARTITION_BYTES) -> list[Files]:
     """Runs of files of about equal cost: neighbours in the tree stay together and no partition is much over its bytes unless one file is."""
     out, run, cost = [], [], 0
@@ -92,7 +200,7 @@ def balanced(files: list[Found], partition_bytes: int = PARTITION_BYTES) -> list
     return [*out, Files(run)] if run else out
 
 
-def _contents(root: str, files: list[Found], max_file_size: int) -> Iterator[tuple[Found, bytes | None]]:
+def _contents(root: str, files: Iterator[Found] | list[Found], max_file_size: int) -> Iterator[tuple[Found, bytes | None]]:
     """Each file with its bytes; null for deletions and for files that are too large, nothing for one that has gone since it was listed."""
     fs, base = opened(root)
     for f in files:
@@ -132,12 +240,24 @@ class FolderReader(DataSourceReader):
         return _batches(rows, self.SCHEMA, 4)
 
 
+class Changes(InputPartition):
+    """What changed between two listings, from a path on and before another."""
+
+    def __init__(self, source: FolderStream, start: int, end: int, first: str, last: str | None):
+        self.source, self.start, self.end, self.first, self.last = source, start, end, first, last
+
+    @property
+    def files(self) -> list[Found]:
+        return list(self.source._told(self.start, self.end, self.first, self.last))
+
+
 class FolderStream(DataSourceStreamReader):
     """What changed in a folder since the last batch: changed and new files, and deletions.
 
     An offset is the number of a listing, a Parquet file in the folder `listings`, which says what has been told up to it; so offsets stay small, a batch that is
     run again has the same files, and deletions are seen.  A batch tells all changes or, with `max_files`, so many, in the order of their paths; its listing is then the last one with
-    these alone.  Listings before the last batch's are removed once it is committed.
+    these alone.  Listings before the last batch's are removed once it is committed.  The driver reads the folder and the last listing side by side and holds neither; tasks
+    get a range of paths each.
     """
 
     SCHEMA = pa.schema([("project", pa.string()), ("path", pa.string()), ("ts", STAMP), ("op", pa.string()), ("size", pa.int64()), ("modified", STAMP), ("content", pa.string())])
@@ -151,42 +271,59 @@ class FolderStream(DataSourceStreamReader):
         found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
         return sorted(int(i.base_name.split(".")[0]) for i in found if i.base_name.split(".")[0].isdigit())
 
-    def _held(self, n: int) -> tuple[dict[str, Found], int]:
-        """A listing and the time at which it was made; number 0 is that of an empty folder."""
+    def _held(self, n: int, first: str | None = None, last: str | None = None) -> Iterator[Found]:
+        """A listing, or the part of it from a path to another; number 0 is that of an empty folder."""
+        if n == 0:
+            return iter(())
+        fs, base = opened(self.listings)
+        return held(fs, f"{base}/{n}.parquet", first, last)
+
+    def _listed(self, n: int) -> int:
+        """The time at which a listing was made."""
         if n == 0:
-            return {}, 0
+            return 0
         fs, base = opened(self.listings)
-        t = pq.read_table(f"{base}/{n}.parquet", filesystem=fs)
-        return {p: Found(p, s, m) for p, s, m in zip(*(t.column(c).to_pylist() for c in LISTING.names))}, int(t.schema.metadata[b"listed"])
+        return int(pq.read_schema(f"{base}/{n}.parquet", filesystem=fs).metadata[b"listed"])
 
-    @staticmethod
-    def _changed(old: dict[str, Found], new: dict[str, Found]) -> list[Found]:
-        gone = [Found(p, 0, 0, "delete") for p in old.keys() - new.keys()]
-        return sorted([f for p, f in new.items() if old.get(p) != f] + gone, key=lambda f: f.path)
+    def _told(self, start: int, end: int, first: str | None = None, last: str | None = None) -> Iterator[Found]:
+        listed = self._listed(end)
+        for _, f in changed(self._held(start, first, last), self._held(end, first, last)):
+            if f is not None:
+                yield Found(f.path, f.size, f.modified or listed, f.op)
 
     def initialOffset(self) -> dict:
         return {"listing": 0}
 
     def latestOffset(self) -> dict:
-        last = (self._names() or [0])[-1]
-        old, _ = self._held(last)
-        told = self._changed(old, {f.path: f for f in listed(self.root)})[: self.max_files]
-        if not told:
-            return {"listing": last}
-        for f in told:
-            old.pop(f.path, None) if f.op == "delete" else old.update({f.path: f})
+        last, told = (self._names() or [0])[-1], 0
         fs, base = opened(self.listings)
         fs.create_dir(base, recursive=True)
-        rows = sorted(old.values(), key=lambda f: f.path)
-        table = pa.table([[f.path for f in rows], [f.size for f in rows], [f.modified for f in rows]], schema=LISTING.with_metadata({"listed": str(int(time.time() * 1_000_000))}))
         part = f"{base}/part-{uuid.uuid4().hex}"
-        pq.write_table(table, part, filesystem=fs)
+        with tempfile.TemporaryDirectory(prefix="listing-") as runs:
+            with Listing(fs, part, int(time.time() * 1_000_000)) as out:
+                for was, f in changed(self._held(last), in_order(walked(self.root), runs)):
+                    if f is not None and (self.max_files is None or told < self.max_files):
+                        told += 1
+                        was = None if f.op == "delete" else f
+                    if was is not None:
+                        out.add(was)
+        if not told:
+            fs.delete_file(part)
+            return {"listing": last}
         fs.move(part, f"{base}/{last + 1}.parquet")  # under its name it is whole
         return {"listing": last + 1}
 
     def partitions(self, start: dict, end: dict):
-        old, new = self._held(start["listing"])[0], self._held(end["listing"])
-        return [*balanced([Found(f.path, f.size, f.modified or new[1], f.op) for f in self._changed(old, new[0])], self.partition_bytes)]
+        """Ranges of paths, whose files the tasks take from the listings themselves."""
+        out, first, cost = [], None, 0
+        for f in self._told(start["listing"], end["listing"]):
+            more = f.size + OPEN_COST
+            if first is None or cost + more > self.partition_bytes:
+                if first is not None:
+                    out.append((first, f.path))
+                first, cost = f.path, 0
+            cost += more
+        return [Changes(self, start["listing"], end["listing"], *x) for x in ([*out, (first, None)] if first is not None else [])]
 
     def read(self, partition):
         def text(data: bytes | None) -> str | None:
@@ -195,7 +332,8 @@ class FolderStream(DataSourceStreamReader):
             except UnicodeDecodeError:
                 return None
 
-        rows = ((self.project, f.path, f.modified, f.op, f.size, None if f.op == "delete" else f.modified, text(data)) for f, data in _contents(self.root, partition.files, self.max_file_size))
+        told = self._told(partition.start, partition.end, partition.first, partition.last)
+        rows = ((self.project, f.path, f.modified, f.op, f.size, None if f.op == "delete" else f.modified, text(data)) for f, data in _contents(self.root, told, self.max_file_size))
         return _batches(rows, self.SCHEMA, 6)
 
     def commit(self, end: dict) -> None:

@@ -96,3 +96,33 @@ def test_a_run_tells_all_changes_of_a_large_folder(tmp_path):
     assert sum(len(p.files) for p in stream.partitions(stream.initialOffset(), stream.latestOffset())) == 100_050
     few = folder.FolderSource({"path": f"{tmp_path}/tree", "listings": f"{tmp_path}/few", "max_files": "70"}).streamReader(None)
     assert [sum(len(p.files) for p in few.partitions({"listing": k}, few.latestOffset())) for k in range(2)] == [70, 70]
+
+
+def test_the_driver_holds_no_listing_of_a_watched_folder(tmp_path, monkeypatch):
+    import tracemalloc
+
+    n, cut = 60_000, [0]
+
+    def tree(root):
+        # In no order, as a file system gives them; the second listing lacks some files and has others changed.
+        for k in range(n):
+            at = k * 7919 % n
+            if not cut[0] or at % 1000:
+                yield folder.Found(f"src/{at:07}.py", 10 + (cut[0] and at % 1000 == 7), 5)
+
+    monkeypatch.setattr(folder, "walked", tree)
+    monkeypatch.setattr(folder, "SORTED", 5_000)
+    monkeypatch.setattr(folder, "GROUP", 5_000)
+    source = folder.FolderStream(str(tmp_path / "tree"), "p", str(tmp_path / "listings"), 1000, folder.PARTITION_BYTES, None)
+    tracemalloc.start()
+    first = source.latestOffset()
+    parts = source.partitions({"listing": 0}, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20, peak  # the listing alone is more than that as objects
+    assert sum(len(p.files) for p in parts) == n and max(len(p.files) for p in parts) <= folder.PARTITION_BYTES // folder.OPEN_COST
+    cut[0] = 1
+    second = source.latestOffset()
+    got = [f for p in source.partitions(first, second) for f in p.files]
+    assert [(f.path, f.op, f.size) for f in got] == sorted([(f"src/{k:07}.py", "delete", 0) for k in range(0, n, 1000)] + [(f"src/{k:07}.py", "change", 11) for k in range(7, n, 1000)])
+    assert source.latestOffset() == second
