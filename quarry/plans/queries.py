@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import names
-from quarry.functions.names import normalize_kind
+from quarry.functions.names import is_test_symbol, normalize_kind
 from quarry.functions.text import preview, rfc3339
 from quarry.operators import content, filters, graph, history, notes, search_index, structure, symbols
-from quarry.operators.scratch import DIFFERENCES, scratch_path, stored
+from quarry.operators.scratch import DIFFERENCES, SMALL, scratch_path, stored
 from quarry.plans import corpora as c
 from quarry.plans.corpora import CODE_SQL, DOC_FILES_SQL, URL_FILES_SQL
 from quarry.sources import clustered, folder
@@ -140,10 +140,10 @@ def gitignore(spark, d):
     return filters.filter_gitignore(f, filters.gitignore_rules(rules)).select("project", "path")
 
 
-def _facts(spark, d, *wanted, content=False):
+def _facts(spark, d, *wanted):
     """The code corpus after the one lexer pass, with the wanted facts, stored: several operators read it."""
     f = c.code_corpus(spark, d)
-    return stored(symbols.with_facts(f.where(F.col("language") != "sql"), *wanted).select("project", "path", "language", *(["content"] if content else []), "facts"), "facts")
+    return stored(symbols.with_facts(f.where(F.col("language") != "sql"), *wanted).select("project", "path", "language", "facts"), "facts")
 
 
 DEFS = f"with {CODE_SQL}"
@@ -286,6 +286,13 @@ def trace_many(spark, d):
     return graph.trace_many(graph.caller_pairs_of(c.code_corpus(spark, d)), starts, via=False).select("start", "symbol", "depth")
 
 
+def _with_test_bodies(spark, d):
+    """The symbols, stored, tests with their source."""
+    s = symbols.extract_symbols(c.code_corpus(spark, d), source=True).where("kind != 'class'")
+    body = F.when(is_test_symbol(F.col("language"), F.col("name"), F.col("path")), F.col("source"))
+    return stored(s.select("project", "path", "language", "name", "start_line", "signature", body.alias("source")), "symbols", SMALL)
+
+
 TESTS = f"{DEFS}, t as (select caller as test, callee from sites where starts_with(caller, 'test_')), names as (select distinct name from defs)"
 
 
@@ -296,15 +303,12 @@ def find_tests(spark, d):
 
 @query(f"{TESTS} select distinct test, name from t join (select distinct c.callee, name from (select distinct callee from t) c join names on contains(c.callee, name)) using (callee) union select t.test, names.name from (select distinct test from t) t join names on contains(t.test, names.name)")
 def test_coverage(spark, d):
-    f = _facts(spark, d, "symbols", content=True)
-    s = symbols.extract_symbols(f).where("kind != 'class'")
-    return graph.test_coverage(s, f).select("test", "name")
+    return graph.test_coverage(_with_test_bodies(spark, d), None).select("test", "name")
 
 
 @query(f"{TESTS}, seen as (select distinct name from (select distinct callee from t) t join names on contains(callee, name)) select name, path from defs anti join seen using (name) where not starts_with(path, 'tests/')")
 def untested_symbols(spark, d):
-    f = _facts(spark, d, "symbols", content=True)
-    return graph.untested_symbols(symbols.extract_symbols(f).where("kind != 'class'"), f).select("name", "path")
+    return graph.untested_symbols(_with_test_bodies(spark, d), None).select("name", "path")
 
 
 @query(f"{DEFS} select path, name as function, 'x' as name from defs")
